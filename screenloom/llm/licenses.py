@@ -61,6 +61,10 @@ def _literal(d: dict[str, float]):
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(float(v)))])
 
 
+def _dot(vector, weights):
+    return F.aggregate(vector, F.lit(0.0), lambda a, y: a + y["w"] * F.coalesce(F.element_at(weights, y["t"]), F.lit(0.0)))
+
+
 def nearest_template(lines, model: Model):
     """Of an array of (i, line): the best (cosine, neg_i, neg_o, license), so the first line and template of equals.
 
@@ -75,8 +79,7 @@ def nearest_template(lines, model: Model):
     def scored(x):
         out = []
         for o, (name, weights) in enumerate(model.rows):
-            m = _literal(weights)
-            dot = F.aggregate(x["v"], F.lit(0.0), lambda a, y, m=m: a + y["w"] * F.coalesce(F.element_at(m, y["t"]), F.lit(0.0)))
+            dot = _dot(x["v"], _literal(weights))
             out.append(F.struct(F.round(dot / F.greatest(x["n"], F.lit(1e-9)), 9).alias("cosine"), (-x["i"]).alias("neg_i"), F.lit(-o).alias("neg_o"), F.lit(name).alias("license")))
         return F.array_max(F.array(*out))
 
