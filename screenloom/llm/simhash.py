@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -236,8 +236,9 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     near = _pairs_in_small(rows, ["f0"]).where(F.bit_count(F.col("x.f0").bitwiseXOR(F.col("y.f0"))) <= radius).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     dense = rows.where(F.col("n") > BUCKET).select("id", "f0").distinct()
     whole = Plan((tuple(range(64)),), (2 if radius else 0,))
-    star = _shared(probe_keys(dense, whole), ["f0"]).where(F.col("id") != F.col("lead.id"))
-    star = star.where(F.bit_count(F.col("f0").bitwiseXOR(F.col("lead.f0"))) <= radius) if radius == 2 else star.where(F.bit_count(F.col("f0").bitwiseXOR(F.col("lead.f0"))) <= radius)
+    # A key has at most 65 fingerprints, those at most one bit from it, so a window over it is bounded.
+    lead = F.min(F.struct("id", "f0")).over(Window.partitionBy("key"))
+    star = probe_keys(dense, whole).withColumn("lead", lead).where((F.col("id") != F.col("lead.id")) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("lead.f0"))) <= radius))
     return near.unionByName(star.select(F.col("id").alias("a"), F.col("lead.id").alias("b"))).distinct()
 
 
