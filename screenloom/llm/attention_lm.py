@@ -4,9 +4,11 @@ Texts are split in blocks of a bounded size, written once: each has its distinct
 ids, and its documents as places in that list. So words meet their corpus counts once a block and not once a document,
 and words are cut into subwords once a block.
 
-The model gives the next subword's class by masked attention over a window, on top of the class's bigram log
-probability, and the subword within its class by bigram counts; counts cover all training texts. Attention weights are
-trained on every window of every training text, each task on its own blocks, and averaged by their tokens.
+Each word, and the end of each text, is a target once. Its context window is the subword ids before it, of which those
+before the text's start are masked; windows of neighbouring targets overlap. Masked attention over the window gives the
+probabilities of the target's class, a cluster of words by their subwords; the word's share of its class comes from
+counts of all training texts, and words never seen there are spelled by subword pairs. Attention weights are trained on
+every target of every training text, each task on its own blocks, and averaged by their targets.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 from ._common import WordHash, chunks, written
 from .byte_bpe import default_pattern, encoding, load_ranks
 
-#: Subwords are the vocabulary's first ranks; then the end of a text, then what stands before its start.
+#: Subwords are the vocabulary's first ranks; then the end of a text (or word), then what stands before its start.
 SUBWORDS = 1022
 END, START = SUBWORDS, SUBWORDS + 1
 VOCAB, CLASSES = SUBWORDS + 2, 32
-WINDOW, SCORED = 32, 24
-DIM, HIDDEN, BATCH = 8, 24, 128
+WINDOW, DIM, HIDDEN = 16, 8, 32
+BATCH = 1024
 LN10 = np.log(10.0)
 
 
@@ -44,14 +46,13 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
     def block(keys: list, texts: list[bytes], hashes: WordHash) -> dict:
         enc = encoding(ranks, pattern, SUBWORDS)
         words, sizes = [], []
-        counts: Counter = Counter()
-        for k, t in zip(keys, texts, strict=True):
+        for t in texts:
             w = t.split()
             words += w
             sizes.append(len(w))
-        order = [w for w, _ in Counter(words).most_common()]
-        place = {w: i for i, w in enumerate(order)}
-        at = np.fromiter(map(place.__getitem__, words), np.int32, len(words))
+        place: dict[bytes, int] = {}
+        at = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int32, len(words))
+        order = list(place)
         train = np.repeat(np.array([k is not None and not held_out(k) for k in keys], bool), sizes)
         n = np.bincount(at[train], minlength=len(order))
         # A word's ids are those of its bytes after a space; bytes that are no UTF-8 go as replacement characters.
@@ -79,135 +80,174 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
     return docs.mapInPandas(run, "block long, keys binary, nulls binary, sizes binary, at binary, sub_sizes binary, subs binary, words array<long>, counts array<int>, train_texts long")
 
 
-def _sequences(row, training_only: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(subword ids of the block's texts, each with its end; ids in each text)."""
-    sizes, at = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["at"], np.int32)
-    keys, nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
-    if training_only:
-        use = np.array([not n and not held_out(k) for k, n in zip(keys.tolist(), nulls.tolist(), strict=True)], bool)
-        at, sizes = at[np.repeat(use, sizes)], sizes[use]
-    subs, lens = np.frombuffer(row["subs"], np.int16), np.frombuffer(row["sub_sizes"], np.int32)
-    starts = np.cumsum(lens) - lens
-    n = lens[at]
-    own = np.repeat(starts[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    flat = subs[own].astype(np.int32)
-    word_text = np.repeat(np.arange(len(sizes)), sizes)
-    per_text = np.bincount(word_text, weights=n, minlength=len(sizes)).astype(np.int64)
-    return np.insert(flat, np.cumsum(per_text), END) if len(sizes) else flat, per_text + 1
-
-
-def windows(flat: np.ndarray, sizes: np.ndarray, some: int = 8192):
-    """Batches of (inputs (B, WINDOW), targets (B, SCORED) with -1 for none, text (B)): every id is a target once, and is
-    seen with WINDOW - SCORED ids before its window's first target."""
-    n = -(-sizes // SCORED)
-    text = np.repeat(np.arange(len(sizes)), n)
-    first = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * SCORED
-    base, size = (np.cumsum(sizes) - sizes)[text], sizes[text]
-    for lo in range(0, len(text), some):
-        f, b, s = first[lo : lo + some, None], base[lo : lo + some, None], size[lo : lo + some, None]
-        place = f + np.arange(WINDOW) - (WINDOW - SCORED) - 1
-        inputs = np.where((place >= 0) & (place < s), flat[np.clip(b + place, 0, len(flat) - 1)], START)
-        goal = f + np.arange(SCORED)
-        targets = np.where(goal < s, flat[np.clip(b + goal, 0, len(flat) - 1)], -1)
-        yield inputs, targets, text[lo : lo + some]
+class Block:
+    """A block's arrays; ``texts`` picks some of its texts (none: all)."""
 
+    def __init__(self, row: dict, training_only: bool = False):
+        self.sizes, self.at = np.frombuffer(row["sizes"], np.int32).astype(np.int64), np.frombuffer(row["at"], np.int32)
+        self.keys, self.nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
+        self.held = np.array([bool(n) or held_out(k) for k, n in zip(self.keys.tolist(), self.nulls.tolist(), strict=True)], bool)
+        self.subs, self.lens = np.frombuffer(row["subs"], np.int16), np.frombuffer(row["sub_sizes"], np.int32).astype(np.int64)
+        if training_only:
+            self.at, self.sizes = self.at[np.repeat(~self.held, self.sizes)], self.sizes[~self.held]
 
-@dataclass
-class Tables:
-    """From bigram counts: classes of subwords, log P(class | before), log P(subword | class, before)."""
+    def targets(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, WINDOW of START before each text; for each target, where it starts there; its class).
+
+        Targets are the words of each text and its end. ``cls``: the class of each of the block's words.
+        """
+        n_docs = len(self.sizes)
+        ends = np.cumsum(self.sizes)
+        lens = np.append(self.lens, [1, WINDOW])  # an end, and what stands before a text
+        subs = np.concatenate([self.subs, [END], np.full(WINDOW, START, np.int16)])
+        starts = np.cumsum(lens) - lens
+        seq = np.insert(self.at.astype(np.int64), np.repeat(np.concatenate([[0], ends]), np.concatenate([[1], np.full(max(0, n_docs - 1), 2), [1]]) if n_docs else [0, 0]), np.tile([len(self.lens) + 1, len(self.lens)], n_docs))
+        n = lens[seq]
+        places = np.cumsum(n) - n
+        flat = subs[np.repeat(starts[seq] - places, n) + np.arange(n.sum())].astype(np.int32)
+        real = seq <= len(self.lens)
+        return flat, places[real], np.append(cls, CLASSES)[seq[real]]
 
-    cls: np.ndarray
-    class_log: np.ndarray
-    within_log: np.ndarray
 
+def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """(WINDOW, targets) ids before each target, the nearest first."""
+    return flat[places[None, :] - 1 - np.arange(WINDOW)[:, None]]
 
-def tables(counts: np.ndarray, spellings: list[bytes], prior: float = 8.0) -> Tables:
-    uni = counts.sum(0) + 0.5
-    order = sorted(range(VOCAB), key=lambda i: spellings[i])
-    share = np.cumsum(uni[order]) / uni.sum()
-    cls = np.zeros(VOCAB, np.int64)
-    cls[order] = np.minimum((share * CLASSES * 0.999999).astype(int), CLASSES - 1)  # neighbours by spelling, of even mass
-    p = (counts + prior * uni / uni.sum()) / (counts.sum(1, keepdims=True) + prior)
-    by_class = np.zeros((VOCAB, CLASSES))
-    for c in range(CLASSES):
-        by_class[:, c] = p[:, cls == c].sum(1)
-    return Tables(cls, np.log(np.maximum(by_class, 1e-30)).astype(np.float32), (np.log(p) - np.log(np.maximum(by_class[:, cls], 1e-30))).astype(np.float32))
+
+@dataclass
+class Tables:
+    """From subword pairs within the training words: word clusters and the spelling of unseen words."""
+
+    vectors: np.ndarray
+    centres: np.ndarray
+    pair_log: np.ndarray
+
+    def classes(self, block: Block) -> np.ndarray:
+        """The class of each word: the centre nearest to the mean of its subwords' vectors."""
+        if not len(block.lens):
+            return np.zeros(0, np.int64)
+        mean = np.add.reduceat(self.vectors[block.subs], np.cumsum(block.lens) - block.lens, axis=0) / block.lens[:, None]
+        return np.argmax(mean @ self.centres.T - (self.centres**2).sum(1) / 2, axis=1)
+
+    def spelled(self, block: Block) -> np.ndarray:
+        """log10 probability of each word's subwords and end."""
+        if not len(block.lens):
+            return np.zeros(0)
+        starts = np.cumsum(block.lens) - block.lens
+        before = np.concatenate([[START], block.subs[:-1]])
+        before[starts] = START
+        inside = np.add.reduceat(self.pair_log[before, block.subs], starts)
+        return inside + self.pair_log[block.subs[starts + block.lens - 1], END]
+
+
+def tables(pairs: np.ndarray, prior: float = 8.0, seed: int = 3) -> Tables:
+    uni = pairs.sum(0) + 0.5
+    p = (pairs + prior * uni / uni.sum()) / (pairs.sum(1, keepdims=True) + prior)
+    # Spectral embedding of the subwords: those of one kind of word (a language, say) are near each other.
+    inner = pairs[:SUBWORDS, :SUBWORDS]
+    both = inner + inner.T
+    mass = both.sum(1) + 1.0
+    u, s, _ = np.linalg.svd(both / np.sqrt(np.outer(mass, mass)))
+    vectors = u[:, : DIM] * s[:DIM] / np.sqrt(mass)[:, None]
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    vectors[both.sum(1) == 0] = 0
+    rng = np.random.default_rng(seed)
+    weight = np.sqrt(mass)
+    centres = vectors[rng.choice(len(vectors), CLASSES, replace=False, p=weight / weight.sum())]
+    for _ in range(25):
+        near = np.argmax(vectors @ centres.T - (centres**2).sum(1) / 2, axis=1)
+        total = np.bincount(near, weights=weight, minlength=CLASSES)
+        sums = np.stack([np.bincount(near, weights=weight * vectors[:, d], minlength=CLASSES) for d in range(DIM)], axis=1)
+        centres = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-12)[:, None], centres)
+    return Tables(np.vstack([vectors, np.zeros((VOCAB - SUBWORDS, DIM))]), centres, np.log10(p))
 
 
-_SHAPES = {"e": (VOCAB, DIM), "p": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "w1": (DIM, HIDDEN), "w2": (DIM, HIDDEN), "b": (HIDDEN,), "o": (HIDDEN, CLASSES)}
-_MASK = np.where(np.arange(WINDOW)[None, :] > np.arange(WINDOW - SCORED, WINDOW)[:, None], np.float32(-1e9), np.float32(0))
+_SHAPES = {"e": (VOCAB, DIM), "pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "w1": (HIDDEN, DIM), "w2": (HIDDEN, DIM), "b": (HIDDEN, 1), "o": (CLASSES + 1, HIDDEN), "ob": (CLASSES + 1, 1)}
+_PLACES = np.cumsum([0, *[int(np.prod(s)) for s in _SHAPES.values()]])
 
 
-def start_weights(seed: int = 1) -> dict[str, np.ndarray]:
+def start_weights(shares: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
+    """Random weights; the output's bias is the log share of each class, so training starts at the class unigram."""
     rng = np.random.default_rng(seed)
-    out = {k: (rng.standard_normal(s) * (0.3 if k in "ep" else s[0] ** -0.5 if len(s) > 1 else 0)).astype(np.float32) for k, s in _SHAPES.items()}
-    out["o"] *= 0.1
-    return out
+    w = {k: (rng.standard_normal(s) * (0.5 if k in ("e", "pos") else s[1] ** -0.5)).astype(np.float32) for k, s in _SHAPES.items()}
+    w["o"] *= 0.1
+    w["b"] *= 0
+    w["ob"] = np.log(shares)[:, None].astype(np.float32)
+    return w
+
 
+def forward(w: dict, ids: np.ndarray):
+    """(ln probability of each class (CLASSES + 1, n), what the gradient needs) for windows ``ids`` (WINDOW, n).
 
-def forward(w: dict, t: Tables, inputs: np.ndarray, targets: np.ndarray):
-    """ln probability of each target (0 where there is none) and what the gradient needs. Masked: no id sees a later one."""
-    n = len(inputs)
-    x = w["e"][inputs] + w["p"]
-    q, k, v = np.split((x.reshape(-1, DIM) @ w["qkv"]).reshape(n, WINDOW, 3 * DIM), 3, axis=2)
-    q = q[:, -SCORED:] * np.float32(DIM**-0.5)
-    a = q @ k.transpose(0, 2, 1)
-    a += _MASK
-    a -= a.max(2, keepdims=True)
+    Causal: a window holds only what stands before its target. Places before the text's start are masked, but for the
+    nearest.
+    """
+    kt, vt = (w["e"] @ w["k"]).T, (w["e"] @ w["v"]).T
+    kp, vp = w["pos"] @ w["k"], w["pos"] @ w["v"]
+    x = w["e"].T[:, ids[0]]
+    q = (w["q"].T @ x) * np.float32(DIM**-0.5)
+    k, v = kt[:, ids], vt[:, ids]
+    a = kp @ q
+    for d in range(DIM):
+        a += k[d] * q[d]
+    a[1:][ids[1:] == START] = -1e9
+    a -= a.max(0)
     np.exp(a, out=a)
-    a /= a.sum(2, keepdims=True)
-    c = (a @ v).reshape(-1, DIM)
-    xs = x[:, -SCORED:].reshape(-1, DIM)
-    h = xs @ w["w1"]
-    h += c @ w["w2"]
+    a /= a.sum(0)
+    c = vp.T @ a
+    for d in range(DIM):
+        c[d] += (v[d] * a).sum(0)
+    h = w["w1"] @ x
+    h += w["w2"] @ c
     h += w["b"]
     np.maximum(h, 0, out=h)
-    before, goal = inputs[:, -SCORED:].ravel(), targets.ravel()
-    z = h @ w["o"]
-    z += t.class_log[before]
-    z -= z.max(1, keepdims=True)
-    ez = np.exp(z)
-    total = ez.sum(1)
-    real = goal >= 0
-    to = np.maximum(goal, 0)
-    log_p = np.where(real, z[np.arange(len(z)), t.cls[to]] - np.log(total) + t.within_log[before, to], 0)
-    return log_p, (x, q, k, v, a, c, xs, h, ez, total, real, to)
-
-
-def gradient(w: dict, t: Tables, inputs: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean log loss of a class."""
-    _, (x, q, k, v, a, c, xs, h, ez, total, real, to) = forward(w, t, inputs, targets)
-    n = len(inputs)
-    dz = ez / total[:, None]
-    dz[np.arange(len(dz)), t.cls[to]] -= 1
-    dz *= (real / max(1, real.sum())).astype(np.float32)[:, None]
-    g = {"o": h.T @ dz}
-    dh = dz @ w["o"].T
+    z = w["o"] @ h
+    z += w["ob"]
+    z -= z.max(0)
+    z -= np.log(np.exp(z).sum(0))
+    return z, (x, q, k, v, a, c, h, kp, vp)
+
+
+def _spread(ids: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Sums of g (DIM, ...) by id: (VOCAB, DIM)."""
+    flat = ids.ravel()
+    return np.stack([np.bincount(flat, weights=x.ravel(), minlength=VOCAB) for x in g], axis=1).astype(np.float32)
+
+
+def gradient(w: dict, ids: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss of the targets' classes."""
+    z, (x, q, k, v, a, c, h, kp, vp) = forward(w, ids)
+    n = len(goal)
+    dz = np.exp(z)
+    dz[goal, np.arange(n)] -= 1
+    dz /= np.float32(n)
+    g = {"o": dz @ h.T, "ob": dz.sum(1, keepdims=True)}
+    dh = w["o"].T @ dz
     dh *= h > 0
-    g["w1"], g["w2"], g["b"] = xs.T @ dh, c.T @ dh, dh.sum(0)
-    dx = np.zeros_like(x)
-    dx[:, -SCORED:] = (dh @ w["w1"].T).reshape(n, SCORED, DIM)
-    dc = (dh @ w["w2"].T).reshape(n, SCORED, DIM)
-    da = dc @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(2, keepdims=True))
-    d3 = np.zeros((n, WINDOW, 3 * DIM), np.float32)
-    d3[:, -SCORED:, :DIM] = ds @ k * np.float32(DIM**-0.5)
-    d3[:, :, DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
-    d3[:, :, 2 * DIM :] = a.transpose(0, 2, 1) @ dc
-    d3 = d3.reshape(-1, 3 * DIM)
-    g["qkv"] = x.reshape(-1, DIM).T @ d3
-    dx += (d3 @ w["qkv"].T).reshape(x.shape)
-    g["p"] = dx.sum(0)
-    ids, flat = inputs.ravel(), dx.reshape(-1, DIM)
-    order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["e"] = np.zeros_like(w["e"])
-    g["e"][ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
+    g["w1"], g["w2"], g["b"] = dh @ x.T, dh @ c.T, dh.sum(1, keepdims=True)
+    dx, dc = w["w1"].T @ dh, w["w2"].T @ dh
+    da = vp @ dc
+    for d in range(DIM):
+        da += v[d] * dc[d]
+    dvp = a @ dc.T
+    ds = a * (da - (da * a).sum(0))
+    dq = kp.T @ ds
+    for d in range(DIM):
+        dq[d] += (k[d] * ds).sum(0)
+    dkp = ds @ q.T
+    # Of keys and values by id: one sum by (place in the window, id) pairs for each dimension.
+    dkt, dvt = _spread(ids, ds[None] * q[:, None]), _spread(ids, a[None] * dc[:, None])
+    dq *= np.float32(DIM**-0.5)
+    g["q"] = x @ dq.T
+    dx += w["q"] @ dq
+    g["k"], g["v"] = w["e"].T @ dkt + w["pos"].T @ dkp, w["e"].T @ dvt + w["pos"].T @ dvp
+    g["pos"] = dkp @ w["k"].T + dvp @ w["v"].T
+    g["e"] = dkt @ w["k"].T + dvt @ w["v"].T + _spread(ids[0], dx)
     return g
 
 
 class Adam:
-    def __init__(self, w: dict, rate: float = 3e-3):
+    def __init__(self, w: dict, rate: float = 0.01):
         self.w, self.rate, self.n = w, rate, 0
         self.m = {k: np.zeros_like(x) for k, x in w.items()}
         self.v = {k: np.zeros_like(x) for k, x in w.items()}
@@ -221,36 +261,54 @@ class Adam:
             self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
 
 
-def _spellings(ranks: bytes, pattern: str) -> list[bytes]:
-    enc = encoding(ranks, pattern, SUBWORDS)
-    return [enc.decode_single_token_bytes(i) for i in range(SUBWORDS)] + [b"\x00end", b"\x00start"]
+def _small(blocks: DataFrame) -> DataFrame:
+    return blocks.drop("words", "train_texts")
 
 
-def bigram_counts(blocks: DataFrame) -> np.ndarray:
-    """Counts of subword pairs in all training texts; VOCAB**2 numbers at most come to the driver."""
+def pair_counts(blocks: DataFrame) -> np.ndarray:
+    """Counts of subword pairs in the training words of all blocks; VOCAB**2 numbers at most come to the driver."""
 
     def run(batches):
         held = np.zeros(VOCAB * VOCAB, np.int64)
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                flat, sizes = _sequences(row, True)
-                if len(flat):
-                    before = np.concatenate([[START], flat[:-1]])
-                    before[np.cumsum(sizes)[:-1]] = START
-                    held += np.bincount(before * VOCAB + flat, minlength=len(held))
+                lens, subs = np.frombuffer(row["sub_sizes"], np.int32), np.frombuffer(row["subs"], np.int16).astype(np.int64)
+                use = np.asarray(row["counts"]) > 0
+                if not use.any():
+                    continue
+                subs, lens = subs[np.repeat(use, lens)], lens[use].astype(np.int64)
+                seq = np.insert(subs, np.cumsum(lens), END)
+                before = np.concatenate([[START], np.where(seq[:-1] == END, START, seq[:-1])])
+                held += np.bincount(before * VOCAB + seq, minlength=len(held))
         at = np.flatnonzero(held)
         yield pd.DataFrame({"k": at, "n": held[at]})
 
-    got = blocks.drop("words", "counts").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    got = blocks.select("sub_sizes", "subs", "counts").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(VOCAB * VOCAB)
     out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(float)
     return out.reshape(VOCAB, VOCAB)
 
 
-def train(blocks: DataFrame, t: Tables, rounds: int = 1) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` passes over all windows of the training texts: each task steps through its own blocks
-    from the shared start, and its weights count by its ids."""
-    w = start_weights()
+def class_counts(blocks: DataFrame, t: Tables) -> np.ndarray:
+    """Training tokens of each class of words."""
+
+    def run(batches):
+        total = np.zeros(CLASSES)
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                total += np.bincount(t.classes(Block(row)), weights=np.asarray(row["counts"], float), minlength=CLASSES)
+        yield pd.DataFrame({"k": np.arange(CLASSES), "n": total.astype(np.int64)})
+
+    got = _small(blocks).mapInPandas(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(CLASSES)
+    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(float)
+    return out
+
+
+def train(blocks: DataFrame, t: Tables, shares: np.ndarray, rounds: int = 1) -> dict[str, np.ndarray]:
+    """Weights after ``rounds`` passes over all targets of the training texts: each task steps through its own blocks
+    from the shared start, and its weights count by its targets."""
+    w = start_weights(shares)
     for _ in range(rounds):
         now = w
 
@@ -260,34 +318,31 @@ def train(blocks: DataFrame, t: Tables, rounds: int = 1) -> dict[str, np.ndarray
             rng = np.random.default_rng(5)
             for pdf in batches:
                 for row in pdf.to_dict("records"):
-                    flat, sizes = _sequences(row, True)
-                    for inputs, targets, _ in windows(flat, sizes):
-                        order = rng.permutation(len(inputs))
-                        for at in range(0, len(order), BATCH):
-                            some = order[at : at + BATCH]
-                            adam.step(gradient(own, t, inputs[some], targets[some]))
-                    n += len(flat)
+                    cls = t.classes(Block(row))
+                    flat, places, goal = Block(row, True).targets(cls)
+                    order = rng.permutation(len(places))
+                    for at in range(0, len(order), BATCH):
+                        some = order[at : at + BATCH]
+                        adam.step(gradient(own, windows(flat, places[some]), goal[some]))
+                    n += len(places)
             if n:
                 v = np.concatenate([own[k].ravel() for k in _SHAPES]).astype(float)
                 yield pd.DataFrame({"k": np.arange(len(v)), "v": v * n, "n": np.full(len(v), float(n))})
 
-        got = blocks.drop("words", "counts").mapInPandas(run, "k long, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        got = _small(blocks).mapInPandas(run, "k long, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
         if len(got):
-            flat = np.zeros(sum(int(np.prod(s)) for s in _SHAPES.values()))
+            flat = np.zeros(_PLACES[-1])
             flat[got["k"].to_numpy(np.int64)] = got["v"].to_numpy()
-            at, w = 0, {}
-            for k, s in _SHAPES.items():
-                w[k] = flat[at : at + int(np.prod(s))].reshape(s).astype(np.float32)
-                at += int(np.prod(s))
+            w = {k: flat[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(_SHAPES.items(), _PLACES[:-1], _PLACES[1:], strict=True)}
     return w
 
 
-def text_scores(w: dict, t: Tables, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """ln probability of each text's ids, its end included."""
-    out = np.zeros(len(sizes))
-    for inputs, targets, text in windows(flat, sizes, 512):
-        log_p, _ = forward(w, t, inputs, targets)
-        out += np.bincount(text, weights=log_p.reshape(len(text), SCORED).sum(1, dtype=float), minlength=len(sizes))
+def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarray, some: int = 4096) -> np.ndarray:
+    """ln probability of each target's class."""
+    out = np.zeros(len(places))
+    for at in range(0, len(places), some):
+        z, _ = forward(w, windows(flat, places[at : at + some]))
+        out[at : at + some] = z[goal[at : at + some], np.arange(z.shape[1])]
     return out
 
 
@@ -305,33 +360,40 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
     # Word counts of the corpus: a row for each word and block, summed by hash.
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("h"), F.col("x.counts").alias("n"))
     corpus = written(words.groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
-    ends = blocks.agg(F.sum("train_texts")).first()[0] or 0
-    total = corpus.agg(F.sum("c"), F.count("*")).first()
-    n_train, v = int(total[0] or 0) + int(ends), int(total[1]) + (ends > 0)
+    ends = int(blocks.agg(F.sum("train_texts")).first()[0] or 0)
+    total = corpus.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))).first()
+    n_train, v = int(total[0] or 0) + ends, int(total[1]) + (ends > 0)
+    unseen = min(0.5, ((total[2] or 0) + 0.5) / (n_train + 1))  # the mass of unseen words, by Good and Turing
     known = words.join(corpus, "h").select(F.col("block").alias("at_block"), "i", "c")
-    t = tables(bigram_counts(blocks), _spellings(ranks, pat))
-    w = train(blocks, t, rounds)
+    t = tables(pair_counts(blocks))
+    by_class = class_counts(blocks, t)
+    w = train(blocks, t, (np.append(by_class, ends) + 0.5) / (n_train + 0.5 * (CLASSES + 1)), rounds)
     below = np.log10(n_train + 0.5 * (v + 1))
 
     def run(block, counts):
         out = []
         for row in block.to_dict("records"):
-            sizes, at = np.frombuffer(row["sizes"], np.int32), np.frombuffer(row["at"], np.int32)
-            c = np.zeros(len(np.frombuffer(row["sub_sizes"], np.int32)))
+            b = Block(row)
+            c = np.zeros(len(b.lens))
             c[counts["i"].to_numpy()] = counts["c"].to_numpy()
-            own = np.repeat(np.arange(len(sizes)), sizes)
-            base = np.bincount(own, weights=(np.log10(c + 0.5) - below)[at], minlength=len(sizes)) + np.log10(ends + 0.5) - below
-            keys, nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
+            own = np.repeat(np.arange(len(b.sizes)), b.sizes)
+            base = np.bincount(own, weights=(np.log10(c + 0.5) - below)[b.at], minlength=len(b.sizes)) + np.log10(ends + 0.5) - below
+            cls = t.classes(b)
+            share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(by_class[cls], 1)) + np.log10(1 - unseen), t.spelled(b) + np.log10(unseen))
+            flat, places, goal = b.targets(cls)
+            targets = np.repeat(np.arange(len(b.sizes)), b.sizes + 1)
+            model = np.bincount(targets, weights=target_scores(w, flat, places, goal), minlength=len(b.sizes)) / LN10
+            model += np.bincount(own, weights=share[b.at], minlength=len(b.sizes))
             out.append(pd.DataFrame({
-                "key": pd.array(np.where(nulls, 0, keys), "Int64"),
-                "held_out": [bool(n) or held_out(k) for k, n in zip(keys.tolist(), nulls.tolist(), strict=True)],
-                "n_tokens": sizes.astype(np.int64) + 1,
-                "n_known": np.bincount(own, weights=c[at] > 0, minlength=len(sizes)).astype(np.int64) + (ends > 0),
+                "key": pd.array(np.where(b.nulls, 0, b.keys), "Int64"),
+                "held_out": b.held,
+                "n_tokens": b.sizes + 1,
+                "n_known": np.bincount(own, weights=c[b.at] > 0, minlength=len(b.sizes)).astype(np.int64) + (ends > 0),
                 "train_tokens": n_train,
                 "base_score": base,
-                "score": text_scores(w, t, *_sequences(row, False)) / LN10,
+                "score": model,
             }))
-            out[-1].loc[nulls, "key"] = pd.NA
+            out[-1].loc[b.nulls, "key"] = pd.NA
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     got = blocks.drop("words", "counts").groupBy("block").cogroup(known.groupBy("at_block")).applyInPandas(run, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
