@@ -1,4 +1,6 @@
-"""Queries over the driver's tables, each with its SQL."""
+"""Queries over the driver's tables, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import q_data, q_elements
+
+QUERIES: dict = q_elements.QUERIES | q_data.QUERIES
+SQL: dict = q_elements.SQL | q_data.SQL
