@@ -154,17 +154,17 @@ class CallablePredictor(Predictor):
     """A plain function of a row (dict) as a predictor of one column."""
 
     def __init__(self, function: Callable[[dict], object], schema: str = "prediction string"):
-        self.function, self.schema = function, schema
+        self.function, self.schema, self.column = function, schema, schema.split()[0]
 
     def predict(self, batch: pd.DataFrame) -> pd.DataFrame:
-        name = _parse_datatype_string(self.schema).names[0]
-        return pd.DataFrame({name: [self.function(r) for r in batch.to_dict("records")]})
+        return pd.DataFrame({self.column: [self.function(r) for r in batch.to_dict("records")]})
 
 
 def predicted(df: DataFrame, keys: list[str], predictor: Predictor) -> DataFrame:
     """keys with the predictor's columns and error: a batch that fails has null columns and its error, and the rest goes on."""
     fields = _parse_datatype_string(predictor.schema).fields
     schema = ", ".join([f"{k} {df.schema[k].dataType.simpleString()}" for k in keys] + [f"{f.name} {f.dataType.simpleString()}" for f in fields] + ["error string"])
+    names = [f.name for f in fields]
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor.open()
@@ -176,7 +176,7 @@ def predicted(df: DataFrame, keys: list[str], predictor: Predictor) -> DataFrame
                         raise ValueError(f"{len(got)} predictions for {len(pdf)} rows")
                     got["error"] = None
                 except Exception as e:  # a model's error is a value of its rows
-                    got = pd.DataFrame({f.name: [None] * len(pdf) for f in fields} | {"error": [repr(e)] * len(pdf)})
+                    got = pd.DataFrame({n: [None] * len(pdf) for n in names} | {"error": [repr(e)] * len(pdf)})
                 yield pd.concat([pdf[keys].reset_index(drop=True), got], axis=1)
         finally:
             predictor.close()

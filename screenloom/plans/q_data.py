@@ -381,14 +381,14 @@ def dup01(spark, d):
     return dedupe.perceptual_hashes(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query("dup02_hamming", f"{_HASHES_SQL} SELECT p_partkey, bit_count(xor(hash, 1234567890123456789)) AS distance FROM h")
+@query("dup02_hamming", f"{_HASHES_SQL} SELECT p_partkey, CAST(bit_count(xor(hash, 1234567890123456789)) AS BIGINT) AS distance FROM h")
 def dup02(spark, d):
-    return _hashes(spark, d).select("p_partkey", dedupe.hamming(F.col("hash"), F.lit(1234567890123456789)).alias("distance"))
+    return _hashes(spark, d).select("p_partkey", dedupe.hamming(F.col("hash"), F.lit(1234567890123456789)).cast("long").alias("distance"))
 
 
-@query("dup03_within_radius", f"{_HASHES_SQL} SELECT a.hash AS hash_a, b.hash AS hash_b, bit_count(xor(a.hash, b.hash)) AS distance FROM h a JOIN h b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 8")
+@query("dup03_within_radius", f"{_HASHES_SQL} SELECT a.hash AS hash_a, b.hash AS hash_b, CAST(bit_count(xor(a.hash, b.hash)) AS BIGINT) AS distance FROM h a JOIN h b ON a.hash < b.hash AND bit_count(xor(a.hash, b.hash)) <= 8")
 def dup03(spark, d):
-    return dedupe.within_radius(_hashes(spark, d), "p_partkey")
+    return dedupe.within_radius(_hashes(spark, d), "p_partkey").withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("dup04_groups", "SELECT p_partkey, p_partkey // 8 * 8 AS group_id FROM part")
@@ -463,7 +463,7 @@ def nms08(spark, d):
 # Labels and model answers
 
 _RAW = ("navbar", " Button ", "search box", "PROGRESS-BAR", "icon", "Logo_Image", "-", "Utility_Button", "list item", "zzz", "tabs", "check/box", "")
-_EXPECTED = ("Navigation Bar", "Button", "Search Field", "Progress bar", "File Icon", "Logo", "Table", "Utility Button", "List Item", None, "Tab", "Checkbox", None)
+_EXPECTED = ("Navigation Bar", "Button", "Search Field", "Progress bar", "File Icon", "Logo", "Table", "Button", "List Item", None, "Tab", "Checkbox", None)
 
 
 @query("lbl04_normalized", f"SELECT p_partkey, {sql_pick(_EXPECTED, 'p_partkey')} AS label FROM part")
@@ -558,7 +558,7 @@ def qlt03(spark, d):
     return model_io.quality_scores(_quality_answers(spark, d), "doc_id", "answer", QUALITY).groupBy("accepted").agg(F.count("*").alias("n"), F.round(F.avg("coverage_score"), 6).alias("avg_coverage"))
 
 
-@query("qlt04_weighted", "SELECT doc_id, round(0.4 * (quality * 80 + 10) + 0.25 * 7, 6) AS weighted FROM labels")
+@query("qlt04_weighted", "SELECT doc_id, round(0.4::DOUBLE * (quality * 80 + 10) + 0.25 * 7, 6) AS weighted FROM labels")
 def qlt04(spark, d):
     s = model_io.quality_scores(_quality_answers(spark, d), "doc_id", "answer")
     w = 0.4 * F.col("coverage_score") + 0.25 * F.col("false_positive_score") + 0.2 * F.col("duplication_score") + 0.15 * F.col("localization_score")
