@@ -7,7 +7,7 @@ and words are cut into subwords once a block.
 Each word, and the end of each text, is a target once. Its context window is the subword ids before it, of which those
 before the text's start are masked; windows of neighbouring targets overlap. Masked attention over the window gives the
 probabilities of the target's class, a cluster of words by their subwords; the word's share of its class comes from
-counts of all training texts, and words never seen there are spelled by subword pairs. Attention weights are trained on
+counts of all training texts, and words never seen there are spelled by the subword pairs of their class. Attention weights are trained on
 every target of every training text, each task on its own blocks, and averaged by their targets.
 """
 
@@ -116,11 +116,11 @@ def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tables:
-    """From subword pairs within the training words: word clusters and the spelling of unseen words."""
+    """Word clusters from subword pairs within the training words, and the pairs' smoothed probabilities."""
 
     vectors: np.ndarray
     centres: np.ndarray
-    pair_log: np.ndarray
+    pair: np.ndarray
 
     def classes(self, block: Block) -> np.ndarray:
         """The class of each word: the centre nearest to the mean of its subwords' vectors."""
@@ -129,16 +129,6 @@ class Tables:
         mean = np.add.reduceat(self.vectors[block.subs], np.cumsum(block.lens) - block.lens, axis=0) / block.lens[:, None]
         return np.argmax(mean @ self.centres.T - (self.centres**2).sum(1) / 2, axis=1)
 
-    def spelled(self, block: Block) -> np.ndarray:
-        """log10 probability of each word's subwords and end."""
-        if not len(block.lens):
-            return np.zeros(0)
-        starts = np.cumsum(block.lens) - block.lens
-        before = np.concatenate([[START], block.subs[:-1]])
-        before[starts] = START
-        inside = np.add.reduceat(self.pair_log[before, block.subs], starts)
-        return inside + self.pair_log[block.subs[starts + block.lens - 1], END]
-
 
 def tables(pairs: np.ndarray, prior: float = 8.0, seed: int = 3) -> Tables:
     uni = pairs.sum(0) + 0.5
@@ -159,7 +149,7 @@ def tables(pairs: np.ndarray, prior: float = 8.0, seed: int = 3) -> Tables:
         total = np.bincount(near, weights=weight, minlength=CLASSES)
         sums = np.stack([np.bincount(near, weights=weight * vectors[:, d], minlength=CLASSES) for d in range(DIM)], axis=1)
         centres = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-12)[:, None], centres)
-    return Tables(np.vstack([vectors, np.zeros((VOCAB - SUBWORDS, DIM))]), centres, np.log10(p))
+    return Tables(np.vstack([vectors, np.zeros((VOCAB - SUBWORDS, DIM))]), centres, p)
 
 
 _SHAPES = {"e": (VOCAB, DIM), "pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "w1": (HIDDEN, DIM), "w2": (HIDDEN, DIM), "b": (HIDDEN, 1), "o": (CLASSES + 1, HIDDEN), "ob": (CLASSES + 1, 1)}
@@ -265,28 +255,37 @@ def _small(blocks: DataFrame) -> DataFrame:
     return blocks.drop("words", "train_texts")
 
 
+def _word_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, id before, id) of every subword and end of the block's training words."""
+    lens, subs = np.frombuffer(row["sub_sizes"], np.int32), np.frombuffer(row["subs"], np.int16).astype(np.int64)
+    use = np.asarray(row["counts"]) > 0
+    subs, own, n = subs[np.repeat(use, lens)], np.flatnonzero(use), lens[use].astype(np.int64)
+    seq = np.insert(subs, np.cumsum(n), END)
+    before = np.concatenate([[START], np.where(seq[:-1] == END, START, seq[:-1])]) if len(seq) else seq
+    return np.repeat(own, n + 1), before, seq
+
+
+def _summed(blocks: DataFrame, run, size: int) -> np.ndarray:
+    """Counts (k, n) by k: summed in each task and then by Spark; ``size`` numbers at most come to the driver."""
+    got = blocks.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.float32)
+    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
+    return out
+
+
 def pair_counts(blocks: DataFrame) -> np.ndarray:
-    """Counts of subword pairs in the training words of all blocks; VOCAB**2 numbers at most come to the driver."""
+    """Counts of subword pairs in the training words of all blocks, a word once a block."""
 
     def run(batches):
         held = np.zeros(VOCAB * VOCAB, np.int64)
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                lens, subs = np.frombuffer(row["sub_sizes"], np.int32), np.frombuffer(row["subs"], np.int16).astype(np.int64)
-                use = np.asarray(row["counts"]) > 0
-                if not use.any():
-                    continue
-                subs, lens = subs[np.repeat(use, lens)], lens[use].astype(np.int64)
-                seq = np.insert(subs, np.cumsum(lens), END)
-                before = np.concatenate([[START], np.where(seq[:-1] == END, START, seq[:-1])])
+                _, before, seq = _word_pairs(row)
                 held += np.bincount(before * VOCAB + seq, minlength=len(held))
         at = np.flatnonzero(held)
         yield pd.DataFrame({"k": at, "n": held[at]})
 
-    got = blocks.select("sub_sizes", "subs", "counts").mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(VOCAB * VOCAB)
-    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    return out.reshape(VOCAB, VOCAB)
+    return _summed(blocks.select("sub_sizes", "subs", "counts"), run, VOCAB * VOCAB).reshape(VOCAB, VOCAB).astype(float)
 
 
 def class_counts(blocks: DataFrame, t: Tables) -> np.ndarray:
@@ -305,6 +304,39 @@ def class_counts(blocks: DataFrame, t: Tables) -> np.ndarray:
     return out
 
 
+def class_spelling(blocks: DataFrame, t: Tables, prior: float = 16.0) -> np.ndarray:
+    """(CLASSES, VOCAB, VOCAB) log10 probabilities of subword pairs in the training words of each class, smoothed by those
+    of all; its size is fixed whatever the corpus."""
+
+    def run(batches):
+        held = np.zeros(CLASSES * VOCAB * VOCAB, np.int32)
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                own, before, seq = _word_pairs(row)
+                k, n = np.unique((t.classes(Block(row))[own] * VOCAB + before) * VOCAB + seq, return_counts=True)
+                held[k] += n.astype(np.int32)
+        at = np.flatnonzero(held)
+        yield pd.DataFrame({"k": at, "n": held[at].astype(np.int64)})
+
+    counts = _summed(_small(blocks), run, CLASSES * VOCAB * VOCAB).reshape(CLASSES, VOCAB, VOCAB)
+    out = np.empty(counts.shape, np.float16)  # halves keep three digits, and a broadcast of 64 MB
+    for k in range(CLASSES):
+        out[k] = np.log10((counts[k] + prior * t.pair) / (counts[k].sum(1, keepdims=True) + prior))
+    return out
+
+
+def spelled(table: np.ndarray, block: Block, cls: np.ndarray) -> np.ndarray:
+    """log10 probability of each of the block's words by the subword pairs of its class, its end included."""
+    if not len(block.lens):
+        return np.zeros(0)
+    starts = np.cumsum(block.lens) - block.lens
+    subs = block.subs.astype(np.int64)
+    before = np.concatenate([[START], subs[:-1]])
+    before[starts] = START
+    inside = np.add.reduceat(table[np.repeat(cls, block.lens), before, subs].astype(float), starts)
+    return inside + table[cls, subs[starts + block.lens - 1], END]
+
+
 def train(blocks: DataFrame, t: Tables, shares: np.ndarray, rounds: int = 1) -> dict[str, np.ndarray]:
     """Weights after ``rounds`` passes over all targets of the training texts: each task steps through its own blocks
     from the shared start, and its weights count by its targets."""
@@ -367,6 +399,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
     known = words.join(corpus, "h").select(F.col("block").alias("at_block"), "i", "c")
     t = tables(pair_counts(blocks))
     by_class = class_counts(blocks, t)
+    spelling = blocks.sparkSession.sparkContext.broadcast(class_spelling(blocks, t))
     w = train(blocks, t, (np.append(by_class, ends) + 0.5) / (n_train + 0.5 * (CLASSES + 1)), rounds)
     below = np.log10(n_train + 0.5 * (v + 1))
 
@@ -379,7 +412,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
             own = np.repeat(np.arange(len(b.sizes)), b.sizes)
             base = np.bincount(own, weights=(np.log10(c + 0.5) - below)[b.at], minlength=len(b.sizes)) + np.log10(ends + 0.5) - below
             cls = t.classes(b)
-            share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(by_class[cls], 1)) + np.log10(1 - unseen), t.spelled(b) + np.log10(unseen))
+            share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(by_class[cls], 1)) + np.log10(1 - unseen), spelled(spelling.value, b, cls) + np.log10(unseen))
             flat, places, goal = b.targets(cls)
             targets = np.repeat(np.arange(len(b.sizes)), b.sizes + 1)
             model = np.bincount(targets, weights=target_scores(w, flat, places, goal), minlength=len(b.sizes)) / LN10
