@@ -155,9 +155,9 @@ def plan(prints: DataFrame, radius: int, words: int = 1) -> Plan:
         return Plan((tuple(range(bits)),), (2,))
     together = sums.drop(-1).sort_index().to_numpy().reshape(bits, bits)
     choices = [correlated_parts(together, n, m) for m in range(max(1, -(-(radius + 1) // 3)), min(radius + 1, max(1, -(-(radius + 1) // 3)) + 3) + 1)]
-    # Pairs that agree in a whole partition, counted over all fingerprints.
+    # Comparisons of what agrees in a whole partition, counted over all fingerprints: pairs, or one a member where many do.
     keyed = F.explode(F.array(*[F.struct(F.lit(f"{c}:{i}").alias("part"), F.xxhash64(*[F.col(x).bitwiseAND(F.lit(m)) for x, m in zip(names, _masks(p, words), strict=True)]).alias("h")) for c, parts in enumerate(choices) for i, p in enumerate(parts)]))
-    same = prints.select(keyed.alias("k")).groupBy("k.part", "k.h").agg(F.count("*").alias("n")).groupBy("part").agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"))
+    same = prints.select(keyed.alias("k")).groupBy("k.part", "k.h").agg(F.count("*").alias("n")).groupBy("part").agg(F.sum(F.when(F.col("n") <= BUCKET, F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n"))).alias("pairs"))
     pairs = {r.part: float(r.pairs) for r in same.collect()}  # a few rows
     p = np.diag(together) / n
     differ = 2 * p * (1 - p)
