@@ -80,7 +80,7 @@ def latent_basis(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int
                 at, w = weigh([bytes(x) for x in words], idf)
                 total[at] += np.outer(w, w @ start[at])
         at = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"k": at, "v": [x.tolist() for x in total[at]]})
+        yield pd.DataFrame({"k": at, "v": pd.Series([x.tolist() for x in total[at]], dtype=object)})
 
     each = rows.select("terms").mapInPandas(sketch, "k long, v array<double>").select("k", F.posexplode("v").alias("j", "x"))
     got = each.groupBy("k", "j").agg(F.sum("x").alias("x")).toPandas()

@@ -33,6 +33,8 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. Proprietary and confidential"),
 )
 TERM = r"[^a-z0-9.]+"
+#: Columns that scan() makes; those of such names in its input give way.
+_MADE = ("own_license", "cosine", "line", "is_license_file", "license", "inherited_from")
 
 
 def terms_of(text: str) -> list[str]:
@@ -98,13 +100,14 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", least: float
     (the first line and template of equals). A licence file is named LICENSE, LICENCE or COPYING, or has at most
     ``file_words`` words and an own licence. license is own_license, else that of the nearest ancestor directory with a
     licence file (in one directory: the highest cosine, then the smallest path); inherited_from is that directory.
+    Columns of these names give way.
     Null and empty texts have no own licence; null paths count as the top directory; repeated rows each get a row.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     anchor = r"(?i)licen|copyright|rights|redistribut|permission|domain"
     lines = F.filter(F.transform(F.split(whole, r"\r?\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(anchor))
     own = files.select(
-        F.struct(*[c for c in files.columns if c != text]).alias("_row"),
+        F.struct(*[c for c in files.columns if c != text and (c == path or c not in _MADE)]).alias("_row"),
         F.coalesce(F.col(path), F.lit("")).alias("_path"),
         nearest_template(lines, Model(templates)).alias("_best"),
         F.size(F.filter(F.split(whole, r"\s+"), lambda w: w != "")).alias("_words"),

@@ -9,8 +9,6 @@ further level the length doubles, as long as any candidate is left.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -137,11 +135,11 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length:
     don't remove each other's words.
     """
     spans = repeated_spans(df, text, key, length)
-    by_doc = spans.groupBy("doc", "th").agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
+    by_doc = spans.groupBy(F.col("doc").alias("_s_doc"), F.col("th").alias("_s_th")).agg(F.collect_list(F.struct("first", "last")).alias("_spans"))
     made = ("kept_text", "n_words", "n_removed")
     base = df.drop(*[c for c in made if c not in (text, key)])
-    joined = base.withColumns({"_doc": F.col(key).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(by_doc, (F.col("_doc") == F.col("doc")) & (F.col("_th") == F.col("th")), "left")
-    joined = joined.select(*base.columns, F.col(text).cast("binary").alias("_raw"), F.col("_spans.first").alias("_first"), F.col("_spans.last").alias("_last"))
+    joined = base.withColumns({"_s_d": F.col(key).cast("long"), "_s_t": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}).join(by_doc, (F.col("_s_d") == F.col("_s_doc")) & (F.col("_s_t") == F.col("_s_th")), "left")
+    joined = joined.select(*base.columns, F.col(text).cast("binary").alias("_s_raw"), F.col("_spans.first").alias("_s_first"), F.col("_spans.last").alias("_s_last"))
 
     schema = T.StructType([*base.schema.fields, T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -149,7 +147,7 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length:
         for b in batches:
             get = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
             kept, n_words, n_removed = [], [], []
-            for raw, first, last in zip(get("_raw"), get("_first"), get("_last"), strict=True):
+            for raw, first, last in zip(get("_s_raw"), get("_s_first"), get("_s_last"), strict=True):
                 words = (raw or b"").split()
                 n, gone = len(words), 0
                 if first and n >= length:
@@ -163,7 +161,7 @@ def drop_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length:
                 kept.append(raw)
                 n_words.append(n)
                 n_removed.append(gone)
-            names = [c for c in b.schema.names if c not in ("_raw", "_first", "_last")]
+            names = [c for c in b.schema.names if c not in ("_s_raw", "_s_first", "_s_last")]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, *made])
 
     return joined.mapInArrow(run, schema)
@@ -188,4 +186,15 @@ def op6_substrings(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_substrings": op6_substrings}
-SQL: dict[str, str] = {}
+SQL = {
+    "op6_substrings": r"""
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM docs WHERE len(ws) >= 50),
+windows AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS low FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM windows JOIN firsts USING (h) WHERE low < doc_id),
+words AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS at FROM docs),
+kept AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.at) AS t, count(*) AS n FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.at = w.at GROUP BY w.doc_id)
+SELECT d.doc_id, len(ws) AS n_words, len(ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+}
