@@ -126,6 +126,21 @@ def src11(spark, d):
     return readers.elements_of(_documents(spark, d, "annotations"), "screen", "doc", ("items", "data", "annotations")).select("screen", "seq", "x", "h")
 
 
+@query("src13_images", "SELECT name FROM (SELECT 'p' || page_id || CASE page_id % 3 WHEN 0 THEN '.jpg' WHEN 1 THEN '.PNG' ELSE '.txt' END AS name, page_id % 3 AS k FROM pages) WHERE k < 2 ORDER BY k = 0, name LIMIT 20")
+def src13(spark, d):
+    end = F.when(F.col("page_id") % 3 == 0, ".jpg").when(F.col("page_id") % 3 == 1, ".PNG").otherwise(".txt")
+    return readers.images(table(spark, d, "pages").select(F.concat(F.lit("p"), "page_id", end).alias("name")), most=20).select("name")
+
+
+@query("src22_image_size", "SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN CAST(1000 + page_id AS INTEGER) END AS width, CASE WHEN page_id % 4 <> 0 THEN 900 END AS height FROM pages")
+def src22(spark, d):
+    four = lambda c: F.lpad(F.hex(c), 8, "0")
+    head = F.when(F.col("page_id") % 4 == 0, "00").otherwise("89504E470D0A1A0A")
+    png = F.unhex(F.concat(head, F.lit("0000000D49484452"), four(F.col("page_id") + 1000), four(F.lit(900))))
+    made = readers.png_size(png)
+    return table(spark, d, "pages").select("page_id", made["width"].alias("width"), made["height"].alias("height"))
+
+
 @query("src14_dataset_join", "SELECT page_id, 'p' || page_id || '.elements.json' AS truth FROM pages WHERE page_id % 4 <> 0")
 def src14(spark, d):
     p = table(spark, d, "pages").select("page_id", F.concat(F.lit("p"), "page_id").alias("stem"))
@@ -732,6 +747,19 @@ def met09(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(metrics.distance(F.lower("p_name"), F.lower("p_type")), 6).alias("distance"))
 
 
+@query("met08_assignment")
+def met08(spark, d):
+    """Text costs of each screen's cheapest assignment."""
+    return metrics.edit_distances(truth(spark, d), predictions(spark, d), KEYS).select("screen", "n_gt", "n_pred", F.round("cost", 6).alias("cost"))
+
+
+@query("met10_truth_overlap", f"{EVAL_SQL}, p AS (SELECT a.screen, a.seq AS gt, b.seq AS pred, {INTER_SQL} AS inter, a.w * a.h + b.w * b.h AS s FROM gt a JOIN pred b ON a.screen = b.screen) SELECT screen, gt, pred, round(inter / (s - inter), 6) AS iou FROM p WHERE 2 * inter > s - inter")
+def met10(spark, d):
+    pairs = metrics.overlapping(truth(spark, d), predictions(spark, d).select("screen", "seq", *"xywh"), KEYS)
+    value = iou(Box.of("a_"), Box.of("b_"))
+    return pairs.where(value > 0.5).select("screen", F.col("a_seq").alias("gt"), F.col("b_seq").alias("pred"), F.round(value, 6).alias("iou"))
+
+
 @query("met11_means", "SELECT event_type AS metric, round(avg(CASE WHEN event_id % 5 <> 0 THEN value END), 6) AS mean, count(CASE WHEN event_id % 5 <> 0 THEN value END) AS n FROM events GROUP BY 1")
 def met11(spark, d):
     e = table(spark, d, "events").withColumn("v", F.when(F.col("event_id") % 5 != 0, F.col("value")))

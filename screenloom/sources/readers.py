@@ -225,3 +225,31 @@ def is_blank(pixels: Column, white: float = 0.99) -> Column:
     mean = F.aggregate(pixels, F.lit(0.0), lambda a, p: a + p) / n
     spread = F.aggregate(F.transform(pixels, lambda p: (p - mean) * (p - mean)), F.lit(0.0), lambda a, p: a + p) / n
     return F.coalesce((n <= 0) | (bright > white * n) | (F.sqrt(spread) < 5), F.lit(True))
+
+
+def images(df: DataFrame, extensions=(".png", ".jpg", ".jpeg"), most: int | None = None) -> DataFrame:
+    """name and its place of the image files in ``df`` (name): by extension in the given order, then by name; ``most`` of
+    them at most, which is a sampling limit and counts images before any other test."""
+    rank = F.coalesce(*[F.when(F.endswith(F.lower("name"), F.lit(e)), F.lit(k)) for k, e in enumerate(extensions)])
+    found = df.select("name", rank.alias("rank")).where("rank IS NOT NULL")
+    return found.orderBy("rank", "name").limit(most) if most is not None else found
+
+
+def png_size(content: Column) -> dict[str, Column]:
+    """Width and height from the header of a PNG's bytes; null for anything else."""
+    number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int")
+    ok = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
+    return {"width": F.when(ok, number(17)), "height": F.when(ok, number(21))}
+
+
+def class_config(text: str) -> list[str]:
+    """Class names of a list file, a JSON list, or a JSON object with ``categories`` (by id) or ``classes``."""
+    import json
+
+    try:
+        got = json.loads(text)
+    except ValueError:
+        return [x.strip() for x in text.splitlines() if x.strip()]
+    if isinstance(got, dict) and "categories" in got:
+        return [c["name"] for c in sorted(got["categories"], key=lambda c: c["id"])]
+    return list(map(str, got["classes"] if isinstance(got, dict) else got))
