@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed values of the format: coordinates go from 0 to NORM, and one outer element holds the screen.
 NORM = 500
 _OPEN, _CLOSE = "<screentag>", "</screentag>"
 _LOCS = re.compile(r"<loc_(\d+)><loc_(\d+)><loc_(\d+)><loc_(\d+)>")
