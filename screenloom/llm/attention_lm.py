@@ -40,6 +40,20 @@ def held_out(key) -> bool:
     return zlib.crc32(str(int(key)).encode()) % 5 == 1
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An int32 array, byte by byte of rising weight and compressed: small numbers take little room."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> DataFrame:
     """One row a block: its number, keys, text sizes, words' hashes, training counts, subwords, and the texts' words."""
 
@@ -62,7 +76,7 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
             "keys": np.array([-1 if k is None else int(k) for k in keys], np.int64).tobytes(),
             "nulls": np.array([k is None for k in keys], bool).tobytes(),
             "sizes": np.array(sizes, np.int32).tobytes(),
-            "at": at.tobytes(),
+            "at": packed(at),
             "sub_sizes": np.array(list(map(len, ids)), np.int32).tobytes(),
             "subs": np.array([x for y in ids for x in y], np.int16).tobytes(),
             "words": hashes.of(order).view(np.int64),
@@ -81,10 +95,10 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
 
 
 class Block:
-    """A block's arrays; ``texts`` picks some of its texts (none: all)."""
+    """A block's arrays, of all its texts or of those that are learnt from."""
 
     def __init__(self, row: dict, training_only: bool = False):
-        self.sizes, self.at = np.frombuffer(row["sizes"], np.int32).astype(np.int64), np.frombuffer(row["at"], np.int32)
+        self.sizes, self.at = np.frombuffer(row["sizes"], np.int32).astype(np.int64), unpacked(row["at"])
         self.keys, self.nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
         self.held = np.array([bool(n) or held_out(k) for k, n in zip(self.keys.tolist(), self.nulls.tolist(), strict=True)], bool)
         self.subs, self.lens = np.frombuffer(row["subs"], np.int16), np.frombuffer(row["sub_sizes"], np.int32).astype(np.int64)
@@ -97,11 +111,13 @@ class Block:
         Targets are the words of each text and its end. ``cls``: the class of each of the block's words.
         """
         n_docs = len(self.sizes)
+        if not n_docs:
+            return np.full(WINDOW, START, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         ends = np.cumsum(self.sizes)
         lens = np.append(self.lens, [1, WINDOW])  # an end, and what stands before a text
         subs = np.concatenate([self.subs, [END], np.full(WINDOW, START, np.int16)])
         starts = np.cumsum(lens) - lens
-        seq = np.insert(self.at.astype(np.int64), np.repeat(np.concatenate([[0], ends]), np.concatenate([[1], np.full(max(0, n_docs - 1), 2), [1]]) if n_docs else [0, 0]), np.tile([len(self.lens) + 1, len(self.lens)], n_docs))
+        seq = np.insert(self.at.astype(np.int64), np.repeat(np.concatenate([[0], ends]), np.concatenate([[1], np.full(n_docs - 1, 2), [1]])), np.tile([len(self.lens) + 1, len(self.lens)], n_docs))
         n = lens[seq]
         places = np.cumsum(n) - n
         flat = subs[np.repeat(starts[seq] - places, n) + np.arange(n.sum())].astype(np.int32)
@@ -172,11 +188,11 @@ def forward(w: dict, ids: np.ndarray):
     Causal: a window holds only what stands before its target. Places before the text's start are masked, but for the
     nearest.
     """
-    kt, vt = (w["e"] @ w["k"]).T, (w["e"] @ w["v"]).T
+    kt, vt = np.ascontiguousarray((w["e"] @ w["k"]).T), np.ascontiguousarray((w["e"] @ w["v"]).T)
     kp, vp = w["pos"] @ w["k"], w["pos"] @ w["v"]
-    x = w["e"].T[:, ids[0]]
+    x = np.ascontiguousarray(w["e"][ids[0]].T)
     q = (w["q"].T @ x) * np.float32(DIM**-0.5)
-    k, v = kt[:, ids], vt[:, ids]
+    k, v = np.take(kt, ids, axis=1, mode="clip"), np.take(vt, ids, axis=1, mode="clip")
     a = kp @ q
     for d in range(DIM):
         a += k[d] * q[d]
@@ -304,9 +320,9 @@ def class_counts(blocks: DataFrame, t: Tables) -> np.ndarray:
     return out
 
 
-def class_spelling(blocks: DataFrame, t: Tables, prior: float = 16.0) -> np.ndarray:
-    """(CLASSES, VOCAB, VOCAB) log10 probabilities of subword pairs in the training words of each class, smoothed by those
-    of all; its size is fixed whatever the corpus."""
+def class_spelling(blocks: DataFrame, t: Tables, prior: float = 16.0) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each class and id before, rows of log10 probabilities of the next id): subword pairs in the training words
+    of each class, smoothed by those of all. There are at most (CLASSES + 1) * VOCAB rows, whatever the corpus."""
 
     def run(batches):
         held = np.zeros(CLASSES * VOCAB * VOCAB, np.int32)
@@ -318,14 +334,20 @@ def class_spelling(blocks: DataFrame, t: Tables, prior: float = 16.0) -> np.ndar
         at = np.flatnonzero(held)
         yield pd.DataFrame({"k": at, "n": held[at].astype(np.int64)})
 
-    counts = _summed(_small(blocks), run, CLASSES * VOCAB * VOCAB).reshape(CLASSES, VOCAB, VOCAB)
-    out = np.empty(counts.shape, np.float16)  # halves keep three digits, and a broadcast of 64 MB
+    counts = _summed(_small(blocks), run, CLASSES * VOCAB * VOCAB).reshape(CLASSES * VOCAB, VOCAB)
+    seen = np.flatnonzero(counts.any(1))
+    pooled = np.log10(t.pair).astype(np.float16)  # halves keep three digits
+    rows = np.empty((len(seen), VOCAB), np.float16)
     for k in range(CLASSES):
-        out[k] = np.log10((counts[k] + prior * t.pair) / (counts[k].sum(1, keepdims=True) + prior))
-    return out
+        own = np.flatnonzero(seen // VOCAB == k)
+        c = counts[seen[own]]
+        rows[own] = np.log10((c + prior * t.pair[seen[own] % VOCAB]) / (c.sum(1, keepdims=True) + prior))
+    at = np.tile(np.arange(VOCAB), CLASSES)  # contexts that the class doesn't have are those of all
+    at[seen] = VOCAB + np.arange(len(seen))
+    return at.astype(np.int32).reshape(CLASSES, VOCAB), np.vstack([pooled, rows])
 
 
-def spelled(table: np.ndarray, block: Block, cls: np.ndarray) -> np.ndarray:
+def spelled(table: tuple[np.ndarray, np.ndarray], block: Block, cls: np.ndarray) -> np.ndarray:
     """log10 probability of each of the block's words by the subword pairs of its class, its end included."""
     if not len(block.lens):
         return np.zeros(0)
@@ -333,8 +355,9 @@ def spelled(table: np.ndarray, block: Block, cls: np.ndarray) -> np.ndarray:
     subs = block.subs.astype(np.int64)
     before = np.concatenate([[START], subs[:-1]])
     before[starts] = START
-    inside = np.add.reduceat(table[np.repeat(cls, block.lens), before, subs].astype(float), starts)
-    return inside + table[cls, subs[starts + block.lens - 1], END]
+    at, rows = table
+    inside = np.add.reduceat(rows[at[np.repeat(cls, block.lens), before], subs].astype(float), starts)
+    return inside + rows[at[cls, subs[starts + block.lens - 1]], END]
 
 
 def train(blocks: DataFrame, t: Tables, shares: np.ndarray, rounds: int = 1) -> dict[str, np.ndarray]:
