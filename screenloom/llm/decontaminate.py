@@ -71,7 +71,7 @@ def latent_basis(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int
     whatever the number of rows.
     """
     wide = rank + 8
-    start = np.random.default_rng(seed).standard_normal((DIMS, wide)).astype(np.float32)
+    start = np.random.default_rng(seed).standard_normal((DIMS, wide), np.float32)
 
     def sketch(batches):
         total = np.zeros((DIMS, wide))
@@ -84,13 +84,20 @@ def latent_basis(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int
 
     each = rows.select("terms").mapInPandas(sketch, "k long, v array<double>").select("k", F.posexplode("v").alias("j", "x"))
     got = each.groupBy("k", "j").agg(F.sum("x").alias("x")).toPandas()
-    z = np.zeros((DIMS, wide))
-    z[got["k"].to_numpy(np.int64), got["j"].to_numpy(np.int64)] = got["x"].to_numpy()
+    if not len(got):
+        return np.zeros((DIMS, 1), np.float32)
+    dims, at = np.unique(got["k"].to_numpy(np.int64), return_inverse=True)  # the others are zero
+    z = np.zeros((len(dims), wide))
+    z[at, got["j"].to_numpy(np.int64)] = got["x"].to_numpy()
+    del got
     # Singular vectors of the Nystroem form of A'A; the null directions go.
     q, r = np.linalg.qr(z)
-    u, s, _ = np.linalg.svd(r @ np.linalg.pinv(start.T.astype(float) @ z) @ r.T)
+    u, s, _ = np.linalg.svd(r @ np.linalg.pinv(start[dims].T.astype(float) @ z) @ r.T)
     keep = s > 1e-6 * max(s[0], 1e-12)
-    return (q @ u[:, keep])[:, :rank].astype(np.float32)
+    found = (q @ u[:, keep])[:, :rank].astype(np.float32)
+    out = np.zeros((DIMS, found.shape[1]), np.float32)
+    out[dims] = found
+    return out
 
 
 def weigh(words: list[bytes], idf: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
