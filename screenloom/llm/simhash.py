@@ -21,6 +21,12 @@ from .components import components
 
 #: Members of a bucket that are compared pair by pair; larger buckets take the ways for dense groups.
 BUCKET = 32
+#: The same for wider fingerprints, where more texts share a bucket without being near, and the leads of a larger bucket.
+WIDE_BUCKET, LEADS = 64, 256
+
+
+#: text_key of texts without words.
+_NO_WORDS = bytes.fromhex("99aa06d3014798d86001c324468d497f")
 
 
 def shingle_hashes(text: bytes, n: int) -> np.ndarray:
@@ -214,11 +220,11 @@ def _shared(keys: DataFrame, names: list[str]) -> DataFrame:
     return keys.join(counted, "key")
 
 
-def _pairs_in_small(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Pairs within buckets of at most BUCKET rows, which bounds both the lists and the pairs."""
-    lists = rows.where(F.col("n") <= BUCKET).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("l"))
+def _pairs_in_small(rows: DataFrame, names: list[str], most: int = BUCKET) -> DataFrame:
+    """Pairs within buckets of at most ``most`` rows, which bounds both the lists and the pairs."""
+    lists = rows.where(F.col("n") <= most).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", *names))).alias("l"))
     one = lists.select("l", F.posexplode("l").alias("i", "x"))
-    return one.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(BUCKET))).alias("y")).select(F.struct(F.col("x.id"), *[F.col(f"x.{c}") for c in names]).alias("x"), "y")
+    return one.select("x", F.explode(F.slice("l", F.col("i") + 2, F.lit(most))).alias("y")).select(F.struct(F.col("x.id"), *[F.col(f"x.{c}") for c in names]).alias("x"), "y")
 
 
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
@@ -264,34 +270,85 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
 
     Fingerprints of 64 * ``words`` bits meet in a partition (any two within ``radius`` bits do; most others up to
     similarity ``least`` too), those at most ``far`` bits apart are candidates, and the shingle sets decide. Equal word
-    sequences meet first. In buckets above BUCKET members, all are paired with the smallest id, those within ``near``
-    bits of it leave, and so on with what is left. Keys are unique integers; rows with null keys or without words are
-    left out, in no group.
+    sequences meet first. Each row is tried with its nearest in each bucket; then those of a bucket that this leaves in
+    different groups are compared. In buckets above WIDE_BUCKET members, these are compared with up to LEADS of them,
+    those within ``near`` bits of one leave, and so on with what is left. Keys are unique integers; rows with null keys
+    or without words are left out, in no group.
     """
     names = [f"f{k}" for k in range(words)]
-    f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where("key IS NOT NULL"), "fingerprints")
+    f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where(F.col("key").isNotNull() & (F.col("text_key") != F.lit(_NO_WORDS))), "fingerprints")
     reps = written(f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names]), "distinct")
     how = plan(reps, radius, words)
-    rows = written(_shared(probe_keys(reps, how, words), names), "probes")
-    apart = lambda a, b: sum((F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in names[1:]), F.bit_count(F.col(f"{a}f0").bitwiseXOR(F.col(f"{b}f0"))))
-    found = [_pairs_in_small(rows, names).where(apart("x.", "y.") <= far).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))]
-    left = rows.where(F.col("n") > BUCKET)
-    while not left.isEmpty():
-        led = left.where(F.col("id") != F.col("lead.id")).withColumn("d", apart("", "lead."))
-        found.append(led.where(F.col("d") <= far).select(F.col("lead.id").alias("a"), F.col("id").alias("b")))
-        again = written(_shared(led.where(F.col("d") > near).select("key", "id", *names), names), "probes")
-        found.append(_pairs_in_small(again, names).where(apart("x.", "y.") <= far).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
-        left = again.where(F.col("n") > BUCKET)
-    pairs = found[0]
-    for x in found[1:]:
-        pairs = pairs.unionByName(x)
-    pairs = written(pairs.distinct(), "pairs")
-    sure = verified(df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), pairs, n, least)
-    comp = components(sure)
+    rows = written(_shared(probe_keys(reps, how, words), names).select("key", "id", *names, "n"), "probes")
+    whole = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    # First each row with its nearest in each bucket; what that links needs no more comparisons.
+    first = written(_nearest(rows, names, far).distinct(), "nearest")
+    sure = written(verified(whole, first, n, least), "links")
+    known = components(sure)
+    told = rows.join(known, F.col("id") == F.col("node"), "left").select("key", "id", *names, F.coalesce("component", "id").alias("label"))
+    mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    rest = written(_between(written(told.join(mixed, "key"), "mixed"), names, near, far).distinct(), "pairs")
+    comp = components(sure.unionByName(verified(whole, rest, n, least)))
     own = reps.join(comp, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("component_id"))
     return f.join(own, "text_key").select(F.col("key").alias(key), "component_id")
 
 
+def _bits(x, y, names: list[str]):
+    """Differing bits of two structs or, for x None, of the row and y."""
+    return sum((F.bit_count((F.col(c) if x is None else x[c]).bitwiseXOR(y[c])) for c in names[1:]), F.bit_count((F.col(names[0]) if x is None else x[names[0]]).bitwiseXOR(y[names[0]])))
+
+
+def _lists(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """key and l, the members of buckets of at most WIDE_BUCKET rows in order of id."""
+    return rows.where(F.col("n") <= WIDE_BUCKET).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("id", *cols))).alias("l"))
+
+
+def _leads(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """key and leads of larger buckets: a row for each remainder of a hash, LEADS of a key at most, with the smallest id."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(LEADS))
+    return rows.where(F.col("n") > WIDE_BUCKET).groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", *cols)).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
+
+
+def _pair(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _nearest(rows: DataFrame, names: list[str], far: int) -> DataFrame:
+    """(a, b): each member of a bucket with the nearest other one, or lead, at most ``far`` bits away."""
+    best = lambda l, own: F.array_min(F.transform(F.filter(l, lambda y: y["id"] != own["id"]), lambda y: F.struct(_bits(own, y, names).alias("d"), y["id"].alias("id"))))  # noqa: E731, E741
+    small = _lists(rows, names).select(F.explode(F.transform("l", lambda x: F.struct(x["id"].alias("id"), best(F.col("l"), x).alias("b")))).alias("p")).select("p.id", "p.b")
+    me = F.struct("id", *names)
+    large = rows.where(F.col("n") > WIDE_BUCKET).join(_leads(rows, names), "key").select("id", best(F.col("leads"), me).alias("b"))
+    return small.unionByName(large).where(F.col("b.d") <= far).select(*_pair(F.col("id"), F.col("b.id")))
+
+
+def _between(rows: DataFrame, names: list[str], near: int, far: int) -> DataFrame:
+    """(a, b): members of a bucket with different labels, at most ``far`` bits apart.
+
+    Members of larger buckets are compared with the leads; leads and those within ``near`` bits of one leave, and what is
+    left is a bucket again.
+    """
+    cols, found = [*names, "label"], []
+    fits = lambda x, y: (x["label"] != y["label"]) & (_bits(x, y, names) <= far)
+    while True:
+        one = _lists(rows, cols).select("l", F.posexplode("l").alias("i", "x"))
+        found.append(one.select("x", F.explode(F.filter(F.slice("l", F.col("i") + 2, F.lit(WIDE_BUCKET)), lambda y: fits(F.col("x"), y))).alias("y")).select(*_pair(F.col("x.id"), F.col("y.id"))))
+        led = rows.where(F.col("n") > WIDE_BUCKET).join(_leads(rows, cols), "key")
+        me = F.struct("id", *cols)
+        led = led.select("key", "id", *cols, F.filter("leads", lambda y: fits(me, y)).alias("l"), F.exists("leads", lambda y: _bits(None, y, names) <= near).alias("leaves"))
+        led = written(led.withColumn("l", F.transform("l", lambda y: y["id"])), "led")
+        found.append(led.select("id", F.explode("l").alias("other")).select(*_pair(F.col("id"), F.col("other"))))
+        left = led.where("NOT leaves")
+        mixed = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+        rows = written(left.select("key", "id", *cols).join(mixed, "key"), "mixed")
+        if rows.isEmpty():
+            break
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
 def verified(texts: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFrame:
     """The pairs (a, b) whose sets of ``n``-word shingles have a Jaccard similarity of ``least`` or more."""
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
