@@ -255,7 +255,7 @@ def test_lm_beats_the_base_on_held_out_texts(spark, docs_of):
     vocab = [[f"{a}{b}" for a in "ka ri mo tu se".split() for b in "na lo pe".split()], [f"{a}{b}" for a in "gx zw qy jh vv".split() for b in "bb dd ff".split()]]
     docs = docs_of([(i, " ".join(r.choice(vocab[i % 2]) for _ in range(150))) for i in range(200)])
     got = [x for x in attention_lm.score(docs).collect() if x.held_out]
-    assert sum(x.score for x in got) > sum(x.base_score for x in got) + 0.05 * sum(x.n_tokens for x in got)
+    assert sum(x.score for x in got) > sum(x.base_score for x in got) + 0.15 * sum(x.n_tokens for x in got)
 
 
 def brute_quality(text):
