@@ -77,7 +77,7 @@ def latent_basis(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int
         total = np.zeros((DIMS, wide))
         for pdf in batches:
             for words in pdf["terms"]:
-                at, w = weigh([bytes(x) for x in words], idf)
+                at, w, _ = weigh([bytes(x) for x in words], idf)
                 total[at] += np.outer(w, w @ start[at])
         at = np.flatnonzero(np.abs(total).sum(1))
         yield pd.DataFrame({"k": at, "v": pd.Series([x.tolist() for x in total[at]], dtype=object)})
@@ -100,12 +100,13 @@ def latent_basis(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int
     return out
 
 
-def weigh(words: list[bytes], idf: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed places and unit TF-IDF weights of the words; repeated ones weigh 1 + ln(count)."""
+def weigh(words: list[bytes], idf: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Hashed places and unit TF-IDF weights of the words, and their length before; repeated ones weigh 1 + ln(count)."""
     bag = Counter(words)
     at = _bucket(list(bag))
     w = np.array([(1 + math.log(c)) * idf[x] for x, c in bag.items()])
-    return at, w / max(np.linalg.norm(w), 1e-12)
+    length = max(float(np.linalg.norm(w)), 1e-12)
+    return at, w / length, length
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -131,7 +132,6 @@ class Index:
         words = list(vocabulary.ids)
         self.idf_of = {w: math.log((n + 1) / (df[i] + 0.5)) + 0.05 if df[i] < n else 0.05 for w, i in vocabulary.ids.items()}
         self.idf = np.array([self.idf_of[w] for w in words] or [0.0])
-        self.other = math.log((n + 1) / 0.5)
         self.items = [(i, vocabulary.of(terms(t)), terms(t)) for i, t in items]
         self.items = [x for x in self.items if len(x[1])]
 
@@ -140,40 +140,39 @@ class Index:
         self.rows = (self.idf[:, None] * basis[_bucket(words)]).astype(np.float32) if words else np.zeros((0, basis.shape[1]), np.float32)
         latent = []
         for _, _, ws in self.items:
-            at, w = weigh(ws, self.idf_of)
-            latent.append(w @ basis[at])
+            at, w, length = weigh(ws, self.idf_of)
+            latent.append(length * (w @ basis[at]))
         x = np.array(latent) if latent else np.zeros((0, basis.shape[1]))
-        self.latent = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.lengths = np.maximum(np.linalg.norm(x, axis=1), 1e-9).astype(np.float32)
+        self.latent = (x / self.lengths[:, None]).astype(np.float32)
+        self.most = np.zeros(len(words))
+        for at in range(0, len(words) if len(latent) else 0, 4096):
+            self.most[at : at + 4096] = np.maximum((self.rows[at : at + 4096] @ self.latent.T / self.lengths).max(1), 0)
 
     def search(self, text: bytes, least: float, share: float, answer: float, sizes=(24, 48)) -> list[tuple[int, float, float, bool]]:
-        """(item, cosine, share of its words in common order, end found) of the passages that the text holds."""
+        """(item, cosine, share of its words in common order, end found) of the passages that the text holds.
+
+        The cosine is that of the projected window, which counts as no shorter than the projected passage: words outside
+        the benchmark don't lengthen it however rare they are, and a few words of a passage aren't near it.
+        """
         ids = self.vocabulary.of(terms(text))
-        known = np.flatnonzero(ids >= 0)
-        if not len(known) or not self.items:
+        if not self.items or not (ids >= 0).any():
             return []
-        mass = np.where(ids >= 0, self.idf[np.maximum(ids, 0)], 0.0) ** 2
-        own, total = np.concatenate([[0], np.cumsum(mass)]), np.concatenate([[0], np.cumsum(np.where(ids >= 0, mass, self.other**2))])
         best: dict[int, tuple[float, int, int]] = {}
-        for size in sizes:  # repeated terms of a window weigh 1 + ln(count)
+        # A window's product with a passage is at most the sum of its words' largest ones, as 1 + ln(count) is at most the
+        # count; divided by the passage's length it is at least the cosine, so other windows can't reach ``least``.
+        bound = np.concatenate([[0], np.cumsum(np.where(ids >= 0, self.most[np.maximum(ids, 0)], 0.0))])
+        for size in sizes:
             start = np.arange(0, max(1, len(ids) - size // 2), size // 2)
             stop = np.minimum(start + size, len(ids))
-            norm = np.sqrt(total[stop] - total[start])
-            # A projection is no longer than the part in the benchmark's terms, so other windows can't reach ``least``.
-            may = np.flatnonzero((own[stop] - own[start]) >= (least * norm) ** 2)
-            for at in range(0, len(may), 2048):
-                some = may[at : at + 2048]
-                wide = np.minimum(start[some][:, None] + np.arange(size), len(ids) - 1)
-                inside = (wide < stop[some][:, None]) & (ids[wide] >= 0)
-                pair = np.sort((np.arange(len(some))[:, None] << 32 | ids[wide])[inside])
-                new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
-                count = np.diff(np.append(new, len(pair)))
-                whose = pair[new] >> 32
-                first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
-                x = np.zeros((len(some), self.rows.shape[1]), np.float32)
-                x[whose[first]] = np.add.reduceat(self.rows[pair[new] & 0xFFFFFFFF] * (1 + np.log(count))[:, None].astype(np.float32), first, axis=0)
-                cos = (x @ self.latent.T) / np.maximum(norm[some], 1e-9)[:, None]
+            may = bound[stop] - bound[start] >= 0.999 * least
+            start, stop = start[may], stop[may]
+            for at in range(0, len(start), 2048):
+                first, last = start[at : at + 2048], stop[at : at + 2048]
+                x = self._projected(ids, first, last, size)
+                cos = (x @ self.latent.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None], self.lengths)
                 for r, c in zip(*np.nonzero(cos >= least), strict=True):
-                    self._try(best, int(c), float(cos[r, c]), ids, int(start[some[r]]), int(stop[some[r]]))
+                    self._try(best, int(c), float(cos[r, c]), ids, int(first[r]), int(last[r]))
         out = []
         for c, (cos, common, end) in best.items():
             n = len(self.items[c][1])
@@ -182,6 +181,19 @@ class Index:
                 out.append((self.items[c][0], cos, common / n, end >= answer * min(tail, n)))
         return out
 
+    def _projected(self, ids: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
+        """The windows in latent space; repeated terms of a window weigh 1 + ln(count)."""
+        wide = np.minimum(start[:, None] + np.arange(size), len(ids) - 1)
+        inside = (start[:, None] + np.arange(size) < stop[:, None]) & (ids[wide] >= 0)
+        pair = np.sort((np.arange(len(start))[:, None] << 32 | ids[wide])[inside])
+        new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        count = np.diff(np.append(new, len(pair)))
+        whose = pair[new] >> 32
+        first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
+        x = np.zeros((len(start), self.rows.shape[1]), np.float32)
+        x[whose[first]] = np.add.reduceat(self.rows[pair[new] & 0xFFFFFFFF] * (1 + np.log(count))[:, None].astype(np.float32), first, axis=0)
+        return x
+
     def _try(self, best: dict, c: int, cos: float, ids: np.ndarray, start: int, stop: int) -> None:
         item = self.items[c][1]
         around = ids[max(0, start - len(item)) : stop + len(item)]

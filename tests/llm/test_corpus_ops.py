@@ -189,6 +189,22 @@ def test_decontamination_equals_exact_containment(spark, small):
     assert all(len(set(items[i].split()) & set(docs[d].split())) > 0.5 * len(set(items[i].split())) for d, i in got)
 
 
+@pytest.mark.parametrize("n", [10**4, 6 * 10**5, 6 * 10**6])
+def test_decontamination_recall_holds_as_the_corpus_grows(n):
+    """Passages of ordinary words, a quarter replaced by unseen ones, among unseen words."""
+    items = [(i, " ".join(words(38, i)).encode()) for i in range(60)]
+    vocabulary = decontaminate.Vocabulary({w for _, t in items for w in decontaminate.terms(t)})
+    index = decontaminate.Index(items, n, np.full(len(vocabulary.ids), n // 20), vocabulary)
+    whole = np.zeros((60, decontaminate.DIMS))
+    for row, (_, t) in zip(whole, items, strict=True):
+        np.add.at(row, *decontaminate.weigh(decontaminate.terms(t), index.idf_of)[:2])
+    index.project(np.linalg.svd(whole, full_matrices=False)[2].T.astype(np.float32))
+    for i, t in items:
+        changed = [w if k % 4 else b"new%d" % k for k, w in enumerate(t.split())]
+        text = b" ".join([b"before%d" % k for k in range(100)] + changed + [b"after%d" % k for k in range(100)])
+        assert i in {x[0] for x in index.search(text, 0.35, 0.6, 0.5)}
+
+
 def test_lcs_is_exact():
     r = random.Random(1)
     for _ in range(40):
