@@ -1,14 +1,16 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF rows over hashed terms, with document frequencies of the whole corpus. A randomised SVD,
-computed by Spark over the rows, gives the latent space. Document windows are projected into it and those with a high
-cosine to a passage are candidates; a longest common subsequence of words and a check of the passage's end decide.
+Benchmark passages, in parts of a window at most, become TF-IDF rows over hashed terms, with document frequencies of the
+whole corpus. A randomised SVD of each block of rows, no more than its rank, gives the block's latent space. Document
+windows are projected into it and those with a high cosine to a part are candidates; a longest common subsequence of words
+and a check of the passage's end decide.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql import types as T
 from ._common import WordHash, chunks, written
 
 DIMS = 1 << 14
+#: Words of the longest part of a passage, those of the largest window; blocks that a task holds at once.
+PART, BLOCKS = 48, 8
 _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 
 
@@ -64,39 +68,31 @@ def _bucket(words: list[bytes]) -> np.ndarray:
     return (WordHash(5).of(words) % np.uint64(DIMS)).astype(np.int64)
 
 
-def latent_basis(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int = 7) -> np.ndarray:
-    """Right singular vectors (DIMS, rank) of the TF-IDF rows (terms array<binary>), by a randomised SVD.
-
-    One pass of Spark computes A'(A W) for a random W, task by task; sums of DIMS x (rank + 8) numbers reach the driver
-    whatever the number of rows.
+def latent_bases(rows: DataFrame, idf: dict[bytes, float], rank: int, seed: int = 7) -> dict[int, np.ndarray]:
+    """For each block its right singular vectors (DIMS, rank) of the TF-IDF rows (block, terms array<binary>), by a
+    randomised SVD from A'(A W) for a random W. A block is a task's; its vectors come to the driver.
     """
-    wide = rank + 8
-    start = np.random.default_rng(seed).standard_normal((DIMS, wide), np.float32)
 
-    def sketch(batches):
-        total = np.zeros((DIMS, wide))
-        for pdf in batches:
-            for words in pdf["terms"]:
-                at, w, _ = weigh([bytes(x) for x in words], idf)
-                total[at] += np.outer(w, w @ start[at])
-        at = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"k": at, "v": pd.Series([x.tolist() for x in total[at]], dtype=object)})
-
-    each = rows.select("terms").mapInPandas(sketch, "k long, v array<double>").select("k", F.posexplode("v").alias("j", "x"))
-    got = each.groupBy("k", "j").agg(F.sum("x").alias("x")).toPandas()
-    if not len(got):
-        return np.zeros((DIMS, 1), np.float32)
-    dims, at = np.unique(got["k"].to_numpy(np.int64), return_inverse=True)  # the others are zero
-    z = np.zeros((len(dims), wide))
-    z[at, got["j"].to_numpy(np.int64)] = got["x"].to_numpy()
-    del got
-    # Singular vectors of the Nystroem form of A'A; the null directions go.
-    q, r = np.linalg.qr(z)
-    u, s, _ = np.linalg.svd(r @ np.linalg.pinv(start[dims].T.astype(float) @ z) @ r.T)
-    keep = s > 1e-6 * max(s[0], 1e-12)
-    found = (q @ u[:, keep])[:, :rank].astype(np.float32)
-    out = np.zeros((DIMS, found.shape[1]), np.float32)
-    out[dims] = found
+    def svd(pdf):
+        each = [weigh([bytes(x) for x in words], idf)[:2] for words in pdf["terms"]]
+        dims = np.unique(np.concatenate([at for at, _ in each]))  # the others are zero
+        start = np.random.default_rng(seed).standard_normal((DIMS, rank + 8), np.float32)[dims].astype(float)
+        z = np.zeros(start.shape)
+        for at, w in each:
+            np.add.at(z, np.searchsorted(dims, at), np.outer(w, w @ start[np.searchsorted(dims, at)]))
+        # Singular vectors of the Nystroem form of A'A; the null directions go.
+        q, r = np.linalg.qr(z)
+        u, s, _ = np.linalg.svd(r @ np.linalg.pinv(start.T @ z) @ r.T)
+        keep = s > 1e-6 * max(s[0], 1e-12)
+        found = (q @ u[:, keep])[:, : min(rank, len(each))].astype(np.float32)
+        return pd.DataFrame({"block": pdf["block"][:1], "dims": [dims.tobytes()], "v": [found.tobytes()]})
+
+    out = {}
+    for r in rows.groupBy("block").applyInPandas(svd, "block long, dims binary, v binary").collect():
+        dims = np.frombuffer(r.dims, np.int64)
+        found = np.frombuffer(r.v, np.float32).reshape(len(dims), -1)
+        out[r.block] = np.zeros((DIMS, found.shape[1]), np.float32)
+        out[r.block][dims] = found
     return out
 
 
@@ -124,30 +120,51 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-class Index:
-    """Benchmark passages in latent space, and the search of whole texts against them."""
+def parts(words: list[bytes]) -> list[list[bytes]]:
+    """The words in as few even parts of at most PART words as there can be."""
+    n = -(-len(words) // PART)
+    return [words[len(words) * i // n : len(words) * (i + 1) // n] for i in range(n)]
 
-    def __init__(self, items: list[tuple[int, bytes]], n: int, df: np.ndarray, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        words = list(vocabulary.ids)
-        self.idf_of = {w: math.log((n + 1) / (df[i] + 0.5)) + 0.05 if df[i] < n else 0.05 for w, i in vocabulary.ids.items()}
-        self.idf = np.array([self.idf_of[w] for w in words] or [0.0])
-        self.items = [(i, vocabulary.of(terms(t)), terms(t)) for i, t in items]
-        self.items = [x for x in self.items if len(x[1])]
 
-    def project(self, basis: np.ndarray) -> None:
-        words = list(self.vocabulary.ids)
-        self.rows = (self.idf[:, None] * basis[_bucket(words)]).astype(np.float32) if words else np.zeros((0, basis.shape[1]), np.float32)
+class Block:
+    """Up to a rank of parts in a latent space of their own. ``ids`` are those of their words; ``owners`` the parts' items."""
+
+    def __init__(self, ids: np.ndarray, idf: np.ndarray, words: list[bytes], own: list[list[bytes]], owners: list[int], idf_of: dict[bytes, float], size: int, basis: np.ndarray):
+        self.local = np.full(size + 1, -1, np.int32)  # the last is for other words
+        self.local[ids] = np.arange(len(ids))
+        self.owners = owners
+        self.rows = (idf[:, None] * basis[_bucket(words)]).astype(np.float32)
         latent = []
-        for _, _, ws in self.items:
-            at, w, length = weigh(ws, self.idf_of)
+        for ws in own:
+            at, w, length = weigh(ws, idf_of)
             latent.append(length * (w @ basis[at]))
-        x = np.array(latent) if latent else np.zeros((0, basis.shape[1]))
+        x = np.array(latent)
         self.lengths = np.maximum(np.linalg.norm(x, axis=1), 1e-9).astype(np.float32)
         self.latent = (x / self.lengths[:, None]).astype(np.float32)
-        self.most = np.zeros(len(words))
-        for at in range(0, len(words) if len(latent) else 0, 4096):
-            self.most[at : at + 4096] = np.maximum((self.rows[at : at + 4096] @ self.latent.T / self.lengths).max(1), 0)
+        #: The largest share of a part's length that a word can give; 0 for other words.
+        self.most = np.append(np.maximum((self.rows @ self.latent.T / self.lengths).max(1), 0), 0.0)
+
+
+class Index:
+    """Benchmark passages in latent spaces, and the search of whole texts against them."""
+
+    def __init__(self, items: list[tuple[int, bytes]], n: int, df: np.ndarray, vocabulary: Vocabulary, rank: int = 256):
+        self.vocabulary = vocabulary
+        self.idf_of = {w: math.log((n + 1) / (df[i] + 0.5)) + 0.05 if df[i] < n else 0.05 for w, i in vocabulary.ids.items()}
+        self.items = [(i, vocabulary.of(terms(t)), terms(t)) for i, t in items]
+        self.items = [x for x in self.items if len(x[1])]
+        own = [(c, ws) for c, x in enumerate(self.items) for ws in parts(x[2])]
+        n_blocks = -(-len(own) // rank)
+        #: (item's place, words) of the parts of each block
+        self.parts = [own[len(own) * i // n_blocks : len(own) * (i + 1) // n_blocks] for i in range(n_blocks)]
+        self.blocks: list[Block] = []
+
+    def project(self, *bases: np.ndarray) -> None:
+        self.blocks = []
+        for own, basis in zip(self.parts, bases, strict=True):
+            words = sorted({w for _, ws in own for w in ws})
+            idf = np.array([self.idf_of[w] for w in words])
+            self.blocks.append(Block(self.vocabulary.of(words), idf, words, [ws for _, ws in own], [c for c, _ in own], self.idf_of, len(self.vocabulary.ids), basis))
 
     def search(self, text: bytes, least: float, share: float, answer: float, sizes=(24, 48)) -> list[tuple[int, float, float, bool]]:
         """(item, cosine, share of its words in common order, end found) of the passages that the text holds.
@@ -159,20 +176,23 @@ class Index:
         if not self.items or not (ids >= 0).any():
             return []
         best: dict[int, tuple[float, int, int]] = {}
-        # A window's product with a passage is at most the sum of its words' largest ones, as 1 + ln(count) is at most the
-        # count; divided by the passage's length it is at least the cosine, so other windows can't reach ``least``.
-        bound = np.concatenate([[0], np.cumsum(np.where(ids >= 0, self.most[np.maximum(ids, 0)], 0.0))])
-        for size in sizes:
-            start = np.arange(0, max(1, len(ids) - size // 2), size // 2)
-            stop = np.minimum(start + size, len(ids))
-            may = bound[stop] - bound[start] >= 0.999 * least
-            start, stop = start[may], stop[may]
-            for at in range(0, len(start), 2048):
-                first, last = start[at : at + 2048], stop[at : at + 2048]
-                x = self._projected(ids, first, last, size)
-                cos = (x @ self.latent.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None], self.lengths)
-                for r, c in zip(*np.nonzero(cos >= least), strict=True):
-                    self._try(best, int(c), float(cos[r, c]), ids, int(first[r]), int(last[r]))
+        tried: dict[tuple, tuple[int, int]] = {}
+        for block in self.blocks:
+            own = block.local[ids]
+            # A window's product with a part is at most the sum of its words' largest ones, as 1 + ln(count) is at most
+            # the count; divided by the part's length it is at least the cosine, so other windows can't reach ``least``.
+            bound = np.concatenate([[0], np.cumsum(block.most[own])])
+            for size in sizes:
+                start = np.arange(0, max(1, len(ids) - size // 2), size // 2)
+                stop = np.minimum(start + size, len(ids))
+                may = bound[stop] - bound[start] >= 0.999 * least
+                start, stop = start[may], stop[may]
+                for at in range(0, len(start), 2048):
+                    first, last = start[at : at + 2048], stop[at : at + 2048]
+                    x = self._projected(block, own, first, last, size)
+                    cos = (x @ block.latent.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None], block.lengths)
+                    for r, c in zip(*np.nonzero(cos >= least), strict=True):
+                        self._try(best, tried, block.owners[c], float(cos[r, c]), ids, int(first[r]), int(last[r]))
         out = []
         for c, (cos, common, end) in best.items():
             n = len(self.items[c][1])
@@ -181,7 +201,7 @@ class Index:
                 out.append((self.items[c][0], cos, common / n, end >= answer * min(tail, n)))
         return out
 
-    def _projected(self, ids: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
+    def _projected(self, block: Block, ids: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int) -> np.ndarray:
         """The windows in latent space; repeated terms of a window weigh 1 + ln(count)."""
         wide = np.minimum(start[:, None] + np.arange(size), len(ids) - 1)
         inside = (start[:, None] + np.arange(size) < stop[:, None]) & (ids[wide] >= 0)
@@ -190,56 +210,77 @@ class Index:
         count = np.diff(np.append(new, len(pair)))
         whose = pair[new] >> 32
         first = np.flatnonzero(np.concatenate([[True], whose[1:] != whose[:-1]]))
-        x = np.zeros((len(start), self.rows.shape[1]), np.float32)
-        x[whose[first]] = np.add.reduceat(self.rows[pair[new] & 0xFFFFFFFF] * (1 + np.log(count))[:, None].astype(np.float32), first, axis=0)
+        x = np.zeros((len(start), block.rows.shape[1]), np.float32)
+        x[whose[first]] = np.add.reduceat(block.rows[pair[new] & 0xFFFFFFFF] * (1 + np.log(count))[:, None].astype(np.float32), first, axis=0)
         return x
 
-    def _try(self, best: dict, c: int, cos: float, ids: np.ndarray, start: int, stop: int) -> None:
+    def _try(self, best: dict, tried: dict, c: int, cos: float, ids: np.ndarray, start: int, stop: int) -> None:
         item = self.items[c][1]
-        around = ids[max(0, start - len(item)) : stop + len(item)]
-        common, end = lcs(item, around), lcs(item[-max(3, len(item) // 5) :], around)
+        n = len(item)
+        if n > PART:  # the windows of a long passage share their surroundings
+            start -= start % (n // 4)
+            stop = start + n // 4 + PART
+        if (c, start, stop) not in tried:
+            around = ids[max(0, start - n) : stop + n]
+            tried[c, start, stop] = lcs(item, around), lcs(item[-max(3, n // 5) :], around)
+        common, end = tried[c, start, stop]
         old = best.get(c)
         if old is None or (common, cos) > (old[1], old[0]):
             best[c] = (cos, common, end)
 
 
-def build_index(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, rank: int, most_bytes: int) -> Index:
+def build_indexes(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str, rank: int, most_bytes: int) -> Iterator[Index]:
+    """Indexes of passages with BLOCKS blocks about; a passage is whole in one of them."""
     size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     if size > most_bytes:
         raise ValueError(f"the benchmark has {size} bytes, more than most_bytes; pass its parts one by one")
     items = [(r[0], (r[1] or "").encode()) for r in benchmark.select(item, item_text).where(F.col(item).isNotNull()).collect()]
     vocabulary = Vocabulary({w for _, t in items for w in terms(t)})
     n, df = document_frequencies(docs, vocabulary, text)
-    index = Index(items, n, df, vocabulary)
-    idf = index.idf_of
-    if index.items:
-        spark = docs.sparkSession
-        rows = spark.createDataFrame([(ws,) for _, _, ws in index.items], T.StructType([T.StructField("terms", T.ArrayType(T.BinaryType()))]))
-        index.project(latent_basis(rows, idf, min(rank, len(index.items))))
-    else:
-        index.project(np.zeros((DIMS, 1), np.float32))
-    return index
+    groups, held = [[]], 0
+    for x in items:
+        more = -(-len(terms(x[1])) // PART)
+        if groups[-1] and held + more > BLOCKS * rank:
+            groups.append([])
+            held = 0
+        groups[-1].append(x)
+        held += more
+    kind = T.StructType([T.StructField("block", T.LongType()), T.StructField("terms", T.ArrayType(T.BinaryType()))])
+    for group in groups:
+        own = Vocabulary({w for _, t in group for w in terms(t)})
+        index = Index(group, n, df[vocabulary.of(list(own.ids))], own, rank)
+        if index.parts:
+            rows = docs.sparkSession.createDataFrame([(k, ws) for k, block in enumerate(index.parts) for _, ws in block], kind)
+            bases = latent_bases(rows, index.idf_of, rank)
+            index.project(*[bases[k] for k in range(len(index.parts))])
+        yield index
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", least: float = 0.35, share: float = 0.6, answer: float = 0.5, rank: int = 256, most_bytes: int = 64 << 20) -> DataFrame:
     """(key, item, cosine, lcs_share, answer_found): each passage of ``benchmark`` that a row of ``docs`` holds.
 
-    Windows of 24 and 48 words, half overlapping, at a latent cosine of ``least`` or more are candidates. A candidate counts if at least
+    Windows of 24 and 48 words, half overlapping, at a latent cosine of ``least`` or more to a passage, or a part of a longer
+    one, are candidates. Passages are searched in blocks of ``rank`` parts, and BLOCKS blocks a pass over ``docs``. A candidate counts if at least
     ``share`` of the passage's words stand in the text near the window in the passage's order, and ``answer`` of its last
     fifth too (or ``share`` + 0.2 of all). The benchmark is checked to be at most ``most_bytes``. Null and empty texts
     and passages match nothing; repeated rows match each on their own.
     """
-    index = build_index(docs, benchmark, text, item, item_text, rank, most_bytes)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField(item, benchmark.schema[item].dataType), T.StructField("cosine", T.DoubleType()), T.StructField("lcs_share", T.DoubleType()), T.StructField("answer_found", T.BooleanType())])
 
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf["key"].tolist(), pdf["text"], strict=True):
-                out += [(k, *x) for x in index.search(t or b"", least, share, answer)]
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+    def searched(index):
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for k, t in zip(pdf["key"].tolist(), pdf["text"], strict=True):
+                    out += [(k, *x) for x in index.search(t or b"", least, share, answer)]
+                yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+
+        return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where("key IS NOT NULL").mapInPandas(run, schema)
 
-    return docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text")).where("key IS NOT NULL").mapInPandas(run, schema)
+    found = None
+    for index in build_indexes(docs, benchmark, text, item, item_text, rank, most_bytes):
+        found = searched(index) if found is None else found.unionByName(searched(index))
+    return found
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", **how) -> DataFrame:

@@ -205,6 +205,16 @@ def test_decontamination_recall_holds_as_the_corpus_grows(n):
         assert i in {x[0] for x in index.search(text, 0.35, 0.6, 0.5)}
 
 
+def test_decontamination_finds_copies_beyond_the_rank_and_the_window(spark, docs_of, monkeypatch):
+    """More passages than a block and a pass hold, and passages of several windows; each stands in a text of its own."""
+    monkeypatch.setattr(decontaminate, "BLOCKS", 4, raising=False)
+    items = {i: words(38, 1000 + i) for i in range(200)} | {200: words(600, 7), 201: words(2000, 8)}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    docs = docs_of([(i, " ".join(words(100, 5000 + i) + w + words(100, 9000 + i))) for i, w in items.items()])
+    got = [(r.doc_id, r.item_id, r.lcs_share) for r in decontaminate.contaminated(docs, bench, rank=16).collect()]
+    assert sorted(got) == [(i, i, 1.0) for i in items]
+
+
 def test_lcs_is_exact():
     r = random.Random(1)
     for _ in range(40):
