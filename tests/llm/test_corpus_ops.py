@@ -327,6 +327,16 @@ def test_quality_rejects_gibberish_by_its_language(spark):
     assert all(got[i] == bool(i % 30) for i in range(300))
 
 
+def test_quality_follows_the_labels(spark):
+    at = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    of = {0: [], 1: []}
+    for r in quality.op10_quality(spark, at).collect():
+        if not r.base_failed and r.doc_id in labels:
+            of[labels[r.doc_id]].append(r.kept)
+    assert len(of[0]) > 10 and sum(of[0]) < 0.6 * len(of[0]) and sum(of[1]) >= 0.99 * len(of[1])
+
+
 def test_kneser_ney_is_a_distribution():
     r = np.random.default_rng(1)
     codes = np.unique(r.integers(0, 1 << (quality.BITS * quality.ORDER), 5000))
