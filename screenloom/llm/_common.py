@@ -54,6 +54,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def integer_keys(df: DataFrame, key: str) -> None:
+    """An error unless the column ``key`` holds integers: another key cast to a number would be null and lost in silence."""
+    kind = df.schema[key].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"the key {key} has to be an integer column; it is {kind}")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

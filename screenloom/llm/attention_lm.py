@@ -4,34 +4,39 @@ Texts are split in blocks of a bounded size, written once: each has its distinct
 ids, and its documents as places in that list. So words meet their corpus counts once a block and not once a document,
 and words are cut into subwords once a block.
 
-Each word, and the end of each text, is a target once. Its context window is the subword ids before it, of which those
-before the text's start are masked; windows of neighbouring targets overlap. Masked attention over the window gives the
-probabilities of the target's class, a cluster of words by their subwords; the word's share of its class comes from
-counts of all training texts, and words never seen there are spelled by the subword pairs of their class. Attention weights are trained on
-every target of every training text, each task on its own blocks, and averaged by their targets.
+The output is a mixture of EXPERTS softmaxes over the subword ids. Its weights come from masked attention over the WINDOW
+subword ids before a word, of which those before the text's start are masked; windows of neighbouring words overlap. Each
+expert gives a word's next subword after the one before it, and its end; so each subword, and each text's end, is scored
+once, and what the experts say of a word is needed once a block, not once a place. Words seen in training mix that with
+their share of the corpus, split among the experts by Bayes' rule; unseen words have their spelling alone.
+
+Experts start as clusters of documents. The attention starts as the naive Bayes rule for them and is trained by synchronous steps,
+each over the whole of one of ROUNDS slices of the training texts (by a hash of the key): a step's gradient is summed over
+all tasks, so the scores don't depend on how rows are dealt out, and every training text is used once.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
-from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, chunks, written
+from ._common import WordHash, chunks, integer_keys, written
 from .byte_bpe import default_pattern, encoding, load_ranks
 
 #: Subwords are the vocabulary's first ranks; then the end of a text (or word), then what stands before its start.
 SUBWORDS = 1022
 END, START = SUBWORDS, SUBWORDS + 1
-VOCAB, CLASSES = SUBWORDS + 2, 32
-WINDOW, DIM, HIDDEN = 16, 8, 32
-BATCH = 1024
+VOCAB, EXPERTS = SUBWORDS + 2, 8
+WINDOW, DIM, HIDDEN = 16, EXPERTS, 16
+#: Slices of the training texts, one a training step; slice 0 of a block are its held-out texts.
+ROUNDS = 24
+#: Share of words of one subword among unseen words.
+SHORT = 0.02
 LN10 = np.log(10.0)
 
 
@@ -40,6 +45,11 @@ def held_out(key) -> bool:
     return zlib.crc32(str(int(key)).encode()) % 5 == 1
 
 
+def slice_of(key) -> int:
+    """0 for held-out and null keys, else the training step that uses the text, from 1."""
+    return 0 if key is None or held_out(key) else 1 + zlib.crc32(str(int(key)).encode()) // 5 % ROUNDS
+
+
 def packed(x: np.ndarray) -> bytes:
     """An int32 array, byte by byte of rising weight and compressed: small numbers take little room."""
     import zstandard
@@ -55,33 +65,36 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> DataFrame:
-    """One row a block: its number, keys, text sizes, words' hashes, training counts, subwords, and the texts' words."""
+    """One row a block: its keys and text sizes by slice, words' hashes, training counts, subwords, and the texts' words."""
 
     def block(keys: list, texts: list[bytes], hashes: WordHash) -> dict:
         enc = encoding(ranks, pattern, SUBWORDS)
+        slices = np.array([slice_of(k) for k in keys], np.int64)
+        order = np.argsort(slices, kind="stable")
+        keys, slices = [keys[i] for i in order], slices[order]
         words, sizes = [], []
-        for t in texts:
-            w = t.split()
+        for i in order.tolist():
+            w = texts[i].split()
             words += w
             sizes.append(len(w))
         place: dict[bytes, int] = {}
         at = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int32, len(words))
-        order = list(place)
-        train = np.repeat(np.array([k is not None and not held_out(k) for k in keys], bool), sizes)
-        n = np.bincount(at[train], minlength=len(order))
+        own = np.repeat(slices, sizes)
+        names = list(place)
         # A word's ids are those of its bytes after a space; bytes that are no UTF-8 go as replacement characters.
-        ids = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in order]
+        ids = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in names]
         return {
             "block": uuid.uuid4().int >> 65,
             "keys": np.array([-1 if k is None else int(k) for k in keys], np.int64).tobytes(),
             "nulls": np.array([k is None for k in keys], bool).tobytes(),
             "sizes": np.array(sizes, np.int32).tobytes(),
-            "at": packed(at),
+            "slices": slices.astype(np.int16).tobytes(),
             "sub_sizes": np.array(list(map(len, ids)), np.int32).tobytes(),
             "subs": np.array([x for y in ids for x in y], np.int16).tobytes(),
-            "words": hashes.of(order).view(np.int64),
-            "counts": n.astype(np.int32),
-            "train_texts": int(sum(k is not None and not held_out(k) for k in keys)),
+            "words": hashes.of(names).view(np.int64),
+            "counts": np.bincount(at[own > 0], minlength=len(names)).astype(np.int32),
+            "train_texts": int((slices > 0).sum()),
+            **{f"at{r}": packed(at[own == r]) for r in range(ROUNDS + 1)},
         }
 
     def run(batches):
@@ -91,24 +104,57 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
             for lo, hi, texts in chunks(pdf["text"], block_bytes):
                 yield pd.DataFrame([block(keys[lo:hi], texts, hashes)])
 
-    return docs.mapInPandas(run, "block long, keys binary, nulls binary, sizes binary, at binary, sub_sizes binary, subs binary, words array<long>, counts array<int>, train_texts long")
+    return docs.mapInPandas(run, "block long, keys binary, nulls binary, sizes binary, slices binary, sub_sizes binary, subs binary, words array<long>, counts array<int>, train_texts long, " + ", ".join(f"at{r} binary" for r in range(ROUNDS + 1)))
+
+
+def _columns(slices: range) -> list[str]:
+    return ["sizes", "slices", "sub_sizes", "subs", *[f"at{r}" for r in slices]]
+
+
+#: The columns of the training texts.
+_TRAIN = range(1, ROUNDS + 1)
 
 
 class Block:
-    """A block's arrays, of all its texts or of those that are learnt from."""
+    """A block's arrays, of its texts in ``slices``: sizes in words, and the words' places in the block's list."""
 
-    def __init__(self, row: dict, training_only: bool = False):
-        self.sizes, self.at = np.frombuffer(row["sizes"], np.int32).astype(np.int64), unpacked(row["at"])
-        self.keys, self.nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
-        self.held = np.array([bool(n) or held_out(k) for k, n in zip(self.keys.tolist(), self.nulls.tolist(), strict=True)], bool)
+    def __init__(self, row: dict, slices: range = range(ROUNDS + 1)):
+        of = np.frombuffer(row["slices"], np.int16)
+        self.texts = np.flatnonzero((of >= slices.start) & (of < slices.stop))
+        self.sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)[self.texts]
+        self.at = np.concatenate([unpacked(row[f"at{r}"]) for r in slices])
         self.subs, self.lens = np.frombuffer(row["subs"], np.int16), np.frombuffer(row["sub_sizes"], np.int32).astype(np.int64)
-        if training_only:
-            self.at, self.sizes = self.at[np.repeat(~self.held, self.sizes)], self.sizes[~self.held]
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def used(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the list's words that these texts have, the texts' words as places among those)."""
+        seen = np.zeros(len(self.lens), bool)
+        seen[self.at] = True
+        words = np.flatnonzero(seen)
+        place = np.cumsum(seen) - 1
+        return words, place[self.at]
 
-    def targets(self, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(flat ids, WINDOW of START before each text; for each target, where it starts there; its class).
+    def spelled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(subwords and an END for each of ``words``, what stands before each, words' lengths with the end, is single).
 
-        Targets are the words of each text and its end. ``cls``: the class of each of the block's words.
+        Before the first is START; a word of one subword has END before it and has no end of its own.
+        """
+        n = self.lens[words]
+        single = n == 1
+        m = n + ~single
+        first = np.cumsum(m) - m
+        of = np.repeat(np.arange(len(words)), m)
+        k = np.arange(m.sum()) - first[of]
+        last = k == n[of]
+        seq = np.where(last, END, np.append(self.subs, END).astype(np.int64)[self.starts[words][of] + k])
+        before = np.roll(seq, 1)
+        before[first] = np.where(single, END, START)
+        return seq, before, m, single
+
+    def targets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(flat ids, WINDOW of START before each text; for each target, where it starts there; its word, -1 for an end).
+
+        Targets are the words of each text and its end.
         """
         n_docs = len(self.sizes)
         if not n_docs:
@@ -117,12 +163,13 @@ class Block:
         lens = np.append(self.lens, [1, WINDOW])  # an end, and what stands before a text
         subs = np.concatenate([self.subs, [END], np.full(WINDOW, START, np.int16)])
         starts = np.cumsum(lens) - lens
-        seq = np.insert(self.at.astype(np.int64), np.repeat(np.concatenate([[0], ends]), np.concatenate([[1], np.full(n_docs - 1, 2), [1]])), np.tile([len(self.lens) + 1, len(self.lens)], n_docs))
+        end, start = len(self.lens), len(self.lens) + 1
+        seq = np.insert(self.at.astype(np.int64), np.repeat(np.concatenate([[0], ends]), np.concatenate([[1], np.full(n_docs - 1, 2), [1]])), np.tile([start, end], n_docs))
         n = lens[seq]
         places = np.cumsum(n) - n
         flat = subs[np.repeat(starts[seq] - places, n) + np.arange(n.sum())].astype(np.int32)
-        real = seq <= len(self.lens)
-        return flat, places[real], np.append(cls, CLASSES)[seq[real]]
+        real = seq != start
+        return flat, places[real], np.where(seq[real] == end, -1, seq[real])
 
 
 def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -130,286 +177,359 @@ def windows(flat: np.ndarray, places: np.ndarray) -> np.ndarray:
     return flat[places[None, :] - 1 - np.arange(WINDOW)[:, None]]
 
 
-@dataclass
-class Tables:
-    """Word clusters from subword pairs within the training words, and the pairs' smoothed probabilities."""
+def _summed(blocks: DataFrame, run, size: int) -> np.ndarray:
+    """Sums (k, n) by k: made in each task and then by Spark; ``size`` numbers at most come to the driver."""
+    got = blocks.mapInPandas(run, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
+    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy()
+    return out
+
 
-    vectors: np.ndarray
-    centres: np.ndarray
-    pair: np.ndarray
+def _rows(held: np.ndarray) -> pd.DataFrame:
+    at = np.flatnonzero(held)
+    return pd.DataFrame({"k": at, "n": held[at].astype(float)})
 
-    def classes(self, block: Block) -> np.ndarray:
-        """The class of each word: the centre nearest to the mean of its subwords' vectors."""
-        if not len(block.lens):
-            return np.zeros(0, np.int64)
-        mean = np.add.reduceat(self.vectors[block.subs], np.cumsum(block.lens) - block.lens, axis=0) / block.lens[:, None]
-        return np.argmax(mean @ self.centres.T - (self.centres**2).sum(1) / 2, axis=1)
 
+def neighbours(blocks: DataFrame) -> np.ndarray:
+    """(SUBWORDS, SUBWORDS) counts of neighbouring subwords in the training texts."""
 
-def tables(pairs: np.ndarray, prior: float = 8.0, seed: int = 3) -> Tables:
-    uni = pairs.sum(0) + 0.5
-    p = (pairs + prior * uni / uni.sum()) / (pairs.sum(1, keepdims=True) + prior)
-    # Spectral embedding of the subwords: those of one kind of word (a language, say) are near each other.
-    inner = pairs[:SUBWORDS, :SUBWORDS]
-    both = inner + inner.T
+    def run(batches):
+        held = np.zeros(VOCAB * VOCAB)
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                flat = Block(row, _TRAIN).targets()[0].astype(np.int64)
+                held += np.bincount(flat[:-1] * VOCAB + flat[1:], minlength=len(held))
+        yield _rows(held)
+
+    return _summed(blocks.select(*_columns(_TRAIN)), run, VOCAB * VOCAB).reshape(VOCAB, VOCAB)[:SUBWORDS, :SUBWORDS]
+
+
+def embed(pairs: np.ndarray) -> np.ndarray:
+    """Spectral vectors of the subwords from the square roots of their counts as neighbours; zero for unseen ones."""
+    both = np.sqrt(pairs + pairs.T)
     mass = both.sum(1) + 1.0
-    u, s, _ = np.linalg.svd(both / np.sqrt(np.outer(mass, mass)))
-    vectors = u[:, : DIM] * s[:DIM] / np.sqrt(mass)[:, None]
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    u, s, _ = np.linalg.svd(both / np.sqrt(np.outer(mass, mass)), hermitian=True)
+    vectors = u[:, 1 : DIM + 1] * s[1 : DIM + 1] / np.sqrt(mass / mass.mean())[:, None]  # the first is the mass itself
+    vectors *= np.where(vectors[np.argmax(np.abs(vectors), axis=0), np.arange(DIM)] < 0, -1, 1)
     vectors[both.sum(1) == 0] = 0
-    rng = np.random.default_rng(seed)
-    weight = np.sqrt(mass)
-    centres = vectors[rng.choice(len(vectors), CLASSES, replace=False, p=weight / weight.sum())]
-    for _ in range(25):
-        near = np.argmax(vectors @ centres.T - (centres**2).sum(1) / 2, axis=1)
-        total = np.bincount(near, weights=weight, minlength=CLASSES)
-        sums = np.stack([np.bincount(near, weights=weight * vectors[:, d], minlength=CLASSES) for d in range(DIM)], axis=1)
-        centres = np.where(total[:, None] > 0, sums / np.maximum(total, 1e-12)[:, None], centres)
-    return Tables(np.vstack([vectors, np.zeros((VOCAB - SUBWORDS, DIM))]), centres, p)
+    return vectors
+
+
+def text_vectors(blocks: DataFrame, vectors: np.ndarray) -> DataFrame:
+    """(hash, v) of the training texts with words: the unit mean vector of their subwords; hash orders them by key."""
+
+    def run(batches):
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                b = Block(row, _TRAIN)
+                v, _ = _means(b, vectors)
+                keys = np.frombuffer(row["keys"], np.int64)[b.texts]
+                use = b.sizes > 0
+                if use.any():
+                    yield pd.DataFrame({"hash": [zlib.crc32(b"%d" % k) for k in keys[use].tolist()], "key": keys[use], "v": list(v[use])})
+
+    return blocks.select("keys", *_columns(_TRAIN)).mapInPandas(run, "hash long, key long, v array<double>")
+
+
+def _means(b: Block, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit mean vector of each text, number of its words' first)."""
+    if not len(b.lens):
+        return np.zeros((len(b.sizes), DIM)), b.sizes
+    sums = np.add.reduceat(vectors[b.subs], b.starts, axis=0)
+    total = np.vstack([np.zeros(DIM), np.cumsum(sums[b.at], axis=0)])
+    ends = np.cumsum(b.sizes)
+    v = total[ends] - total[ends - b.sizes]
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), b.sizes
+
+
+def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(v @ centres.T - (centres**2).sum(1) / 2, axis=1)
+
+
+def clusters(texts: DataFrame, steps: int = 4, seeds: int = 512) -> np.ndarray:
+    """(EXPERTS, DIM) centres of the texts' vectors: ``steps`` of Lloyd's over all texts, from centres that are spread
+    over the ``seeds`` texts with the smallest hash of their key."""
+    first = texts.orderBy("hash", "key", "v").limit(seeds).toPandas()
+    v = np.array(first["v"].tolist()).reshape(-1, DIM)
+    if not len(v):
+        return np.zeros((EXPERTS, DIM))
+    rng, centres = np.random.default_rng(3), v[:1]
+    while len(centres) < EXPERTS:
+        far = ((v[:, None] - centres[None]) ** 2).sum(2).min(1)
+        centres = np.vstack([centres, v[rng.choice(len(v), p=far / far.sum())] if far.sum() > 1e-9 else v[0]])
+    for _ in range(20):
+        near = nearest(v, centres)
+        centres = np.array([v[near == k].mean(0) if (near == k).any() else centres[k] for k in range(EXPERTS)])
+    for _ in range(steps):
+        now = centres
+
+        def run(batches):
+            held = np.zeros((EXPERTS, DIM + 1))
+            for pdf in batches:
+                x = np.array(pdf["v"].tolist()).reshape(-1, DIM)
+                near = nearest(x, now)
+                for d in range(DIM):
+                    held[:, d] += np.bincount(near, weights=x[:, d], minlength=EXPERTS)
+                held[:, DIM] += np.bincount(near, minlength=EXPERTS)
+            yield pd.DataFrame({"k": np.arange(held.size), "n": held.ravel()})
+
+        got = _summed(texts.select("v"), run, EXPERTS * (DIM + 1)).reshape(EXPERTS, DIM + 1)
+        centres = np.where(got[:, DIM:] > 0, got[:, :DIM] / np.maximum(got[:, DIM:], 1), centres)
+    return centres
+
+
+class Experts:
+    """Softmaxes over the next subword of a word: ``logs`` (EXPERTS, before, next), natural; ``short``: of their training
+    words, the share of those of one subword; ``shares``: of all training words, theirs; ``use``: how often each subword is theirs."""
+
+    def __init__(self, counts: np.ndarray, prior: float = 16.0):
+        pairs = counts.reshape(EXPERTS, VOCAB, VOCAB)
+        pool = pairs.sum(0)
+        uni = pool.sum(0) + 0.5
+        pool = (pool + 4 * uni / uni.sum()) / (pool.sum(1, keepdims=True) + 4)
+        self.logs = np.empty((EXPERTS, VOCAB, VOCAB), np.float32)
+        for k, c in enumerate(pairs):
+            self.logs[k] = np.log((c + prior * pool) / (c.sum(1, keepdims=True) + prior))
+        one, many = pairs[:, END].sum(1), pairs[:, START].sum(1)
+        self.short = (one + 0.5) / (one + many + 1)
+        self.shares = (one + many + 1) / (one + many + 1).sum()
+        self.use = pairs.sum(1)
+
+    def word_logs(self, b: Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(EXPERTS, words) natural logs of each word's probability: as one of training's, and as an unseen one."""
+        if not len(words):
+            return np.zeros((EXPERTS, 0)), np.zeros((EXPERTS, 0))
+        seq, before, m, single = b.spelled(words)
+        at = before * VOCAB + seq
+        first = np.cumsum(m) - m
+        inside = np.stack([np.add.reduceat(x.ravel()[at], first, dtype=np.float64) for x in self.logs])
+        own = np.where(single, np.log(self.short)[:, None], np.log1p(-self.short)[:, None])
+        return inside + own, inside + np.where(single, np.log(SHORT), np.log1p(-SHORT))
+
+    def posterior(self, logs: np.ndarray) -> np.ndarray:
+        """(EXPERTS, words) chance that a training word is the expert's."""
+        x = logs + np.log(self.shares)[:, None]
+        x = np.exp(x - x.max(0))
+        return x / x.sum(0)
+
+
+def expert_counts(blocks: DataFrame, vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(expert, before, next) counts in the words of the training texts; a text is that of the nearest centre's expert.
+    EXPERTS * VOCAB**2 numbers at most, whatever the corpus."""
+
+    def run(batches):
+        held = np.zeros(EXPERTS * VOCAB * VOCAB)
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                b = Block(row, _TRAIN)
+                # A word once a text: names and frequent words say little of how others are spelled.
+                text = np.repeat(np.arange(len(b.sizes)), b.sizes)
+                pair = np.unique(text * max(len(b.lens), 1) + b.at)
+                once = pair % max(len(b.lens), 1)
+                mine = nearest(_means(b, vectors)[0], centres)[pair // max(len(b.lens), 1)]
+                for k in range(EXPERTS):
+                    n = np.bincount(once[mine == k], minlength=len(b.lens))
+                    words = np.flatnonzero(n)
+                    seq, before, m, _ = b.spelled(words)
+                    held[k * VOCAB * VOCAB : (k + 1) * VOCAB * VOCAB] += np.bincount(before * VOCAB + seq, weights=np.repeat(n[words], m), minlength=VOCAB * VOCAB)
+        yield _rows(held)
+
+    return _summed(blocks.select(*_columns(_TRAIN)), run, EXPERTS * VOCAB * VOCAB)
+
+
+def expert_tokens(blocks: DataFrame, experts) -> np.ndarray:
+    """Training words of each expert, each split by Bayes' rule."""
+
+    def run(batches):
+        total = np.zeros(EXPERTS)
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                b = Block(row | {f"at{r}": _NONE for r in range(ROUNDS + 1)})
+                n = np.asarray(row["counts"], float)
+                words = np.flatnonzero(n)
+                total += experts.value.posterior(experts.value.word_logs(b, words)[0]) @ n[words]
+        yield pd.DataFrame({"k": np.arange(EXPERTS), "n": total})
 
+    return _summed(blocks.select("sizes", "slices", "sub_sizes", "subs", "counts"), run, EXPERTS)
 
-_SHAPES = {"e": (VOCAB, DIM), "pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "w1": (HIDDEN, DIM), "w2": (HIDDEN, DIM), "b": (HIDDEN, 1), "o": (CLASSES + 1, HIDDEN), "ob": (CLASSES + 1, 1)}
+
+_NONE = packed(np.zeros(0, np.int32))
+_SHAPES = {"e": (VOCAB, DIM), "pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "w1": (HIDDEN, DIM), "w2": (HIDDEN, DIM), "b": (HIDDEN, 1), "o": (EXPERTS + 1, HIDDEN), "g": (EXPERTS + 1, DIM), "ob": (EXPERTS + 1, 1)}
 _PLACES = np.cumsum([0, *[int(np.prod(s)) for s in _SHAPES.values()]])
 
 
-def start_weights(shares: np.ndarray, seed: int = 1) -> dict[str, np.ndarray]:
-    """Random weights; the output's bias is the log share of each class, so training starts at the class unigram."""
+def start_weights(use: np.ndarray, shares: np.ndarray, gain: float = 4.0, seed: int = 1) -> dict[str, np.ndarray]:
+    """The naive Bayes rule: a subword's values are how much more likely it is under each expert, the attention is even,
+    and the bias is the log share of each expert (and of ends). ``gain``: how many independent subwords a window counts as."""
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * (0.5 if k in ("e", "pos") else s[1] ** -0.5)).astype(np.float32) for k, s in _SHAPES.items()}
-    w["o"] *= 0.1
+    w = {k: (rng.standard_normal(s) * 0.1 * s[1] ** -0.5).astype(np.float32) for k, s in _SHAPES.items()}
+    p = (use + 8 * (use.sum(0) + 0.1) / (use.sum() + 0.1 * VOCAB)) / (use.sum(1, keepdims=True) + 8)
+    all_ = (use.sum(0) + 0.1) / (use.sum() + 0.1 * VOCAB)
+    e = np.clip(np.log(p / all_), -4, 4).T
+    w["e"] = (e - e.mean(1, keepdims=True)).astype(np.float32)
+    w["e"][[END, START]] = 0
+    w["v"] = np.eye(DIM, dtype=np.float32)
+    w["g"] = np.vstack([gain * np.eye(EXPERTS), np.zeros((1, DIM))]).astype(np.float32)
     w["b"] *= 0
     w["ob"] = np.log(shares)[:, None].astype(np.float32)
     return w
 
 
 def forward(w: dict, ids: np.ndarray):
-    """(ln probability of each class (CLASSES + 1, n), what the gradient needs) for windows ``ids`` (WINDOW, n).
+    """(ln weight of each expert, and of an end (EXPERTS + 1, n), what the gradient needs) for windows ``ids`` (WINDOW, n).
 
     Causal: a window holds only what stands before its target. Places before the text's start are masked, but for the
-    nearest.
+    nearest, and what is attended to counts by the share of places that aren't.
     """
     kt, vt = np.ascontiguousarray((w["e"] @ w["k"]).T), np.ascontiguousarray((w["e"] @ w["v"]).T)
-    kp, vp = w["pos"] @ w["k"], w["pos"] @ w["v"]
+    kp = w["pos"] @ w["k"]
+    masked = ids == START
+    real = (1 - masked.mean(0)).astype(kt.dtype)
     x = np.ascontiguousarray(w["e"][ids[0]].T)
-    q = (w["q"].T @ x) * np.float32(DIM**-0.5)
+    q = (w["q"].T @ x) * np.float32(DIM**-0.5) + w["b"][:DIM]
     k, v = np.take(kt, ids, axis=1, mode="clip"), np.take(vt, ids, axis=1, mode="clip")
     a = kp @ q
     for d in range(DIM):
         a += k[d] * q[d]
-    a[1:][ids[1:] == START] = -1e9
+    a[1:][masked[1:]] = -1e9
     a -= a.max(0)
     np.exp(a, out=a)
     a /= a.sum(0)
-    c = vp.T @ a
+    c = np.empty_like(q)
     for d in range(DIM):
-        c[d] += (v[d] * a).sum(0)
+        np.einsum("wn,wn->n", v[d], a, out=c[d])
+    c *= real
     h = w["w1"] @ x
     h += w["w2"] @ c
-    h += w["b"]
     np.maximum(h, 0, out=h)
     z = w["o"] @ h
+    z += w["g"] @ c
     z += w["ob"]
     z -= z.max(0)
     z -= np.log(np.exp(z).sum(0))
-    return z, (x, q, k, v, a, c, h, kp, vp)
+    return z, (x, q, k, v, a, c, h, kp, real)
 
 
 def _spread(ids: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Sums of g (DIM, ...) by id: (VOCAB, DIM)."""
     flat = ids.ravel()
-    return np.stack([np.bincount(flat, weights=x.ravel(), minlength=VOCAB) for x in g], axis=1).astype(np.float32)
+    return np.stack([np.bincount(flat, weights=x.ravel(), minlength=VOCAB) for x in g], axis=1)
 
 
-def gradient(w: dict, ids: np.ndarray, goal: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean log loss of the targets' classes."""
-    z, (x, q, k, v, a, c, h, kp, vp) = forward(w, ids)
-    n = len(goal)
+def gradient(w: dict, ids: np.ndarray, likely: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the summed log loss of the targets. ``likely`` (EXPERTS + 1, n): what each expert, and the end, gives the target,
+    up to a factor of the target's own."""
+    z, (x, q, k, v, a, c, h, kp, real) = forward(w, ids)
     dz = np.exp(z)
-    dz[goal, np.arange(n)] -= 1
-    dz /= np.float32(n)
-    g = {"o": dz @ h.T, "ob": dz.sum(1, keepdims=True)}
+    post = dz * likely
+    post /= np.maximum(post.sum(0), 1e-30)
+    dz -= post
+    g = {"o": dz @ h.T, "g": dz @ c.T, "ob": dz.sum(1, keepdims=True)}
     dh = w["o"].T @ dz
     dh *= h > 0
-    g["w1"], g["w2"], g["b"] = dh @ x.T, dh @ c.T, dh.sum(1, keepdims=True)
-    dx, dc = w["w1"].T @ dh, w["w2"].T @ dh
-    da = vp @ dc
+    g["w1"], g["w2"] = dh @ x.T, dh @ c.T
+    dx, dc = w["w1"].T @ dh, (w["w2"].T @ dh + w["g"].T @ dz) * real
+    da = np.zeros_like(a)
     for d in range(DIM):
         da += v[d] * dc[d]
-    dvp = a @ dc.T
-    ds = a * (da - (da * a).sum(0))
+    ds = a * (da - np.einsum("wn,wn->n", da, a))
     dq = kp.T @ ds
     for d in range(DIM):
-        dq[d] += (k[d] * ds).sum(0)
+        dq[d] += np.einsum("wn,wn->n", k[d], ds)
     dkp = ds @ q.T
     # Of keys and values by id: one sum by (place in the window, id) pairs for each dimension.
     dkt, dvt = _spread(ids, ds[None] * q[:, None]), _spread(ids, a[None] * dc[:, None])
+    g["b"] = np.zeros_like(w["b"])
+    g["b"][:DIM] = dq.sum(1, keepdims=True)
     dq *= np.float32(DIM**-0.5)
     g["q"] = x @ dq.T
     dx += w["q"] @ dq
-    g["k"], g["v"] = w["e"].T @ dkt + w["pos"].T @ dkp, w["e"].T @ dvt + w["pos"].T @ dvp
-    g["pos"] = dkp @ w["k"].T + dvp @ w["v"].T
+    g["k"], g["v"] = w["e"].T @ dkt + w["pos"].T @ dkp, w["e"].T @ dvt
+    g["pos"] = dkp @ w["k"].T
     g["e"] = dkt @ w["k"].T + dvt @ w["v"].T + _spread(ids[0], dx)
     return g
 
 
 class Adam:
-    def __init__(self, w: dict, rate: float = 0.01):
+    def __init__(self, w: dict, rate: float = 0.05):
         self.w, self.rate, self.n = w, rate, 0
         self.m = {k: np.zeros_like(x) for k, x in w.items()}
         self.v = {k: np.zeros_like(x) for k, x in w.items()}
 
     def step(self, g: dict) -> None:
         self.n += 1
-        rate = self.rate * min(1.0, (200 / self.n) ** 0.5) * (1 - 0.99**self.n) ** 0.5 / (1 - 0.9**self.n)
+        rate = self.rate * (1 - self.n / (ROUNDS + 4)) * (1 - 0.95**self.n) ** 0.5 / (1 - 0.8**self.n)
         for k, x in g.items():
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
-
-
-def _small(blocks: DataFrame) -> DataFrame:
-    return blocks.drop("words", "train_texts")
-
-
-def _word_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, id before, id) of every subword and end of the block's training words."""
-    lens, subs = np.frombuffer(row["sub_sizes"], np.int32), np.frombuffer(row["subs"], np.int16).astype(np.int64)
-    use = np.asarray(row["counts"]) > 0
-    subs, own, n = subs[np.repeat(use, lens)], np.flatnonzero(use), lens[use].astype(np.int64)
-    seq = np.insert(subs, np.cumsum(n), END)
-    before = np.concatenate([[START], np.where(seq[:-1] == END, START, seq[:-1])]) if len(seq) else seq
-    return np.repeat(own, n + 1), before, seq
-
-
-def _summed(blocks: DataFrame, run, size: int) -> np.ndarray:
-    """Counts (k, n) by k: summed in each task and then by Spark; ``size`` numbers at most come to the driver."""
-    got = blocks.mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.float32)
-    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(np.float32)
-    return out
-
-
-def pair_counts(blocks: DataFrame) -> np.ndarray:
-    """Counts of subword pairs in the training words of all blocks, a word once a block."""
-
-    def run(batches):
-        held = np.zeros(VOCAB * VOCAB, np.int64)
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                _, before, seq = _word_pairs(row)
-                held += np.bincount(before * VOCAB + seq, minlength=len(held))
-        at = np.flatnonzero(held)
-        yield pd.DataFrame({"k": at, "n": held[at]})
-
-    return _summed(blocks.select("sub_sizes", "subs", "counts"), run, VOCAB * VOCAB).reshape(VOCAB, VOCAB).astype(float)
-
-
-def class_counts(blocks: DataFrame, t: Tables) -> np.ndarray:
-    """Training tokens of each class of words."""
-
-    def run(batches):
-        total = np.zeros(CLASSES)
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                total += np.bincount(t.classes(Block(row)), weights=np.asarray(row["counts"], float), minlength=CLASSES)
-        yield pd.DataFrame({"k": np.arange(CLASSES), "n": total.astype(np.int64)})
-
-    got = _small(blocks).mapInPandas(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(CLASSES)
-    out[got["k"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-    return out
-
-
-def class_spelling(blocks: DataFrame, t: Tables, prior: float = 16.0) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each class and id before, rows of log10 probabilities of the next id): subword pairs in the training words
-    of each class, smoothed by those of all. There are at most (CLASSES + 1) * VOCAB rows, whatever the corpus."""
-
-    def run(batches):
-        held = np.zeros(CLASSES * VOCAB * VOCAB, np.int32)
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                own, before, seq = _word_pairs(row)
-                k, n = np.unique((t.classes(Block(row))[own] * VOCAB + before) * VOCAB + seq, return_counts=True)
-                held[k] += n.astype(np.int32)
-        at = np.flatnonzero(held)
-        yield pd.DataFrame({"k": at, "n": held[at].astype(np.int64)})
-
-    counts = _summed(_small(blocks), run, CLASSES * VOCAB * VOCAB).reshape(CLASSES * VOCAB, VOCAB)
-    seen = np.flatnonzero(counts.any(1))
-    pooled = np.log10(t.pair).astype(np.float16)  # halves keep three digits
-    rows = np.empty((len(seen), VOCAB), np.float16)
-    for k in range(CLASSES):
-        own = np.flatnonzero(seen // VOCAB == k)
-        c = counts[seen[own]]
-        rows[own] = np.log10((c + prior * t.pair[seen[own] % VOCAB]) / (c.sum(1, keepdims=True) + prior))
-    at = np.tile(np.arange(VOCAB), CLASSES)  # contexts that the class doesn't have are those of all
-    at[seen] = VOCAB + np.arange(len(seen))
-    return at.astype(np.int32).reshape(CLASSES, VOCAB), np.vstack([pooled, rows])
-
-
-def spelled(table: tuple[np.ndarray, np.ndarray], block: Block, cls: np.ndarray) -> np.ndarray:
-    """log10 probability of each of the block's words by the subword pairs of its class, its end included."""
-    if not len(block.lens):
-        return np.zeros(0)
-    starts = np.cumsum(block.lens) - block.lens
-    subs = block.subs.astype(np.int64)
-    before = np.concatenate([[START], subs[:-1]])
-    before[starts] = START
-    at, rows = table
-    inside = np.add.reduceat(rows[at[np.repeat(cls, block.lens), before], subs].astype(float), starts)
-    return inside + rows[at[cls, subs[starts + block.lens - 1]], END]
-
-
-def train(blocks: DataFrame, t: Tables, shares: np.ndarray, rounds: int = 1) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` passes over all targets of the training texts: each task steps through its own blocks
-    from the shared start, and its weights count by its targets."""
-    w = start_weights(shares)
-    for _ in range(rounds):
-        now = w
-
-        def run(batches):
-            own, n = {k: x.copy() for k, x in now.items()}, 0
-            adam = Adam(own)
-            rng = np.random.default_rng(5)
+            x = x.astype(self.m[k].dtype)
+            self.m[k] += 0.2 * (x - self.m[k])
+            self.v[k] += 0.05 * (x * x - self.v[k])
+            self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-5))  # rare subwords move little
+
+
+def _likely(per_word: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """(EXPERTS + 1, targets): a word's column of ``per_word`` and no end, or an end alone (goal -1)."""
+    wide = np.zeros((EXPERTS + 1, per_word.shape[1] + 1), np.float32)
+    wide[:EXPERTS, :-1] = per_word
+    wide[EXPERTS, -1] = 1
+    return wide[:, goal]
+
+
+def train(blocks: DataFrame, experts, tokens: np.ndarray, ends: int, batch: int = 4096) -> dict[str, np.ndarray]:
+    """Weights after a step for each slice of the training texts."""
+    shares = np.append(tokens, ends) + 0.5
+    w = start_weights(experts.value.use, shares / shares.sum())
+    adam = Adam(w)
+    for r in range(1, ROUNDS + 1):
+        now = {k: x.copy() for k, x in w.items()}
+
+        def run(batches, r=r, now=now):
+            total, n = np.zeros(_PLACES[-1]), 0
             for pdf in batches:
                 for row in pdf.to_dict("records"):
-                    cls = t.classes(Block(row))
-                    flat, places, goal = Block(row, True).targets(cls)
-                    order = rng.permutation(len(places))
-                    for at in range(0, len(order), BATCH):
-                        some = order[at : at + BATCH]
-                        adam.step(gradient(own, windows(flat, places[some]), goal[some]))
+                    b = Block(row, range(r, r + 1))
+                    words, _ = b.used()
+                    share = np.zeros((EXPERTS, len(b.lens)), np.float32)
+                    share[:, words] = experts.value.posterior(experts.value.word_logs(b, words)[0]) / np.maximum(tokens, 1e-9)[:, None] * tokens.sum()
+                    flat, places, goal = b.targets()
+                    for at in range(0, len(places), batch):
+                        g = gradient(now, windows(flat, places[at : at + batch]), _likely(share, goal[at : at + batch]))
+                        total += np.concatenate([g[k].ravel() for k in _SHAPES])
                     n += len(places)
             if n:
-                v = np.concatenate([own[k].ravel() for k in _SHAPES]).astype(float)
-                yield pd.DataFrame({"k": np.arange(len(v)), "v": v * n, "n": np.full(len(v), float(n))})
+                yield pd.DataFrame({"k": np.arange(-1, len(total)), "n": np.append(n, total)})
 
-        got = _small(blocks).mapInPandas(run, "k long, v double, n double").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+        got = blocks.select(*_columns(range(r, r + 1))).mapInPandas(run, "k long, n double").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
         if len(got):
-            flat = np.zeros(_PLACES[-1])
-            flat[got["k"].to_numpy(np.int64)] = got["v"].to_numpy()
-            w = {k: flat[a:b].reshape(s).astype(np.float32) for (k, s), a, b in zip(_SHAPES.items(), _PLACES[:-1], _PLACES[1:], strict=True)}
+            flat = np.zeros(_PLACES[-1] + 1)
+            flat[got["k"].to_numpy(np.int64) + 1] = got["n"].to_numpy()
+            adam.step({k: (flat[1:][a:b] / flat[0]).reshape(s) for (k, s), a, b in zip(_SHAPES.items(), _PLACES[:-1], _PLACES[1:], strict=True)})
     return w
 
 
-def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarray, some: int = 4096) -> np.ndarray:
-    """ln probability of each target's class."""
+def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarray, per_word: np.ndarray, some: int = 4096) -> np.ndarray:
+    """ln probability of each target. ``per_word``: (EXPERTS, words) ln probabilities."""
     out = np.zeros(len(places))
+    top = per_word.max(0) if per_word.size else np.zeros(per_word.shape[1])
+    share = np.exp(per_word - top).astype(np.float32)
+    top = np.append(top, 0.0)
     for at in range(0, len(places), some):
         z, _ = forward(w, windows(flat, places[at : at + some]))
-        out[at : at + some] = z[goal[at : at + some], np.arange(z.shape[1])]
+        own = goal[at : at + some]
+        out[at : at + some] = np.log((np.exp(z) * _likely(share, own)).sum(0) + 1e-38) + top[own]
     return out
 
 
-def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str | None = None, pattern: str | None = None, block_bytes: int = 12 << 20, rounds: int = 1) -> DataFrame:
-    """For each row of ``df``: key, held_out, n_tokens, n_known, train_tokens, base_score and score.
+def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str | None = None, pattern: str | None = None, block_bytes: int = 12 << 20) -> DataFrame:
+    """For each row of ``df``: key, held_out, n_tokens, n_known, train_tokens, base_score and score; no other columns.
 
     Trained on rows whose key isn't held out (see held_out); tokens are ASCII-white-space separated words, A-Z
     lower-cased, and one end. base_score is the unigram log10 probability with half a count for each token; score is
-    the model's log10 probability of the same words and end. Null and empty texts have only the end. Rows with null
-    keys are scored as held out and not learnt from. Repeated rows each get a row and count each time.
+    the model's log10 probability of the same words and end: of all the subwords that spell them. Null and empty texts have only the end. Rows with null
+    keys are scored as held out and not learnt from; keys are integers (else an error). Repeated rows each get a row and
+    count each time. An empty table gives none. A very long text is whole in one block.
     """
     ranks, pat = load_ranks(rank_file), pattern or default_pattern()
+    integer_keys(df, key)
     docs = df.select(F.col(key).cast("long").alias("key"), F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary").alias("text"))
     blocks = written(_blocks(docs, ranks, pat, block_bytes), "blocks")
     # Word counts of the corpus: a row for each word and block, summed by hash.
@@ -420,36 +540,38 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
     n_train, v = int(total[0] or 0) + ends, int(total[1]) + (ends > 0)
     unseen = min(0.5, ((total[2] or 0) + 0.5) / (n_train + 1))  # the mass of unseen words, by Good and Turing
     known = words.join(corpus, "h").select(F.col("block").alias("at_block"), "i", "c")
-    t = tables(pair_counts(blocks))
-    by_class = class_counts(blocks, t)
-    spelling = blocks.sparkSession.sparkContext.broadcast(class_spelling(blocks, t))
-    w = train(blocks, t, (np.append(by_class, ends) + 0.5) / (n_train + 0.5 * (CLASSES + 1)), rounds)
+    vectors = np.vstack([embed(neighbours(blocks)), np.zeros((VOCAB - SUBWORDS, DIM))])
+    centres = clusters(written(text_vectors(blocks, vectors), "text-vectors"))
+    experts = blocks.sparkSession.sparkContext.broadcast(Experts(expert_counts(blocks, vectors, centres)))
+    tokens = expert_tokens(blocks, experts)
+    w = train(blocks, experts, tokens, ends)
     below = np.log10(n_train + 0.5 * (v + 1))
 
     def run(block, counts):
         out = []
         for row in block.to_dict("records"):
             b = Block(row)
+            keys, nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
             c = np.zeros(len(b.lens))
             c[counts["i"].to_numpy()] = counts["c"].to_numpy()
             own = np.repeat(np.arange(len(b.sizes)), b.sizes)
             base = np.bincount(own, weights=(np.log10(c + 0.5) - below)[b.at], minlength=len(b.sizes)) + np.log10(ends + 0.5) - below
-            cls = t.classes(b)
-            share = np.where(c > 0, np.log10(np.maximum(c, 1) / np.maximum(by_class[cls], 1)) + np.log10(1 - unseen), spelled(spelling.value, b, cls) + np.log10(unseen))
-            flat, places, goal = b.targets(cls)
+            logs, spelling = experts.value.word_logs(b, np.arange(len(b.lens)))
+            # Of seen words, their share of each expert's training words; of all, what is left for the unseen, spelled.
+            share = np.log(np.maximum(experts.value.posterior(logs), 1e-30)) + np.log(np.maximum(c, 1e-30)) - np.log(np.maximum(tokens, 1e-9))[:, None] + np.log1p(-unseen)
+            flat, places, goal = b.targets()
             targets = np.repeat(np.arange(len(b.sizes)), b.sizes + 1)
-            model = np.bincount(targets, weights=target_scores(w, flat, places, goal), minlength=len(b.sizes)) / LN10
-            model += np.bincount(own, weights=share[b.at], minlength=len(b.sizes))
+            each = target_scores(w, flat, places, goal, np.logaddexp(share, spelling + np.log(unseen)))
             out.append(pd.DataFrame({
-                "key": pd.array(np.where(b.nulls, 0, b.keys), "Int64"),
-                "held_out": b.held,
+                "key": pd.array(np.where(nulls, 0, keys), "Int64"),
+                "held_out": np.array([bool(n) or held_out(k) for k, n in zip(keys.tolist(), nulls.tolist(), strict=True)], bool),
                 "n_tokens": b.sizes + 1,
                 "n_known": np.bincount(own, weights=c[b.at] > 0, minlength=len(b.sizes)).astype(np.int64) + (ends > 0),
                 "train_tokens": n_train,
                 "base_score": base,
-                "score": model,
+                "score": np.bincount(targets, weights=each, minlength=len(b.sizes)) / LN10,
             }))
-            out[-1].loc[b.nulls, "key"] = pd.NA
+            out[-1].loc[nulls, "key"] = pd.NA
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     got = blocks.drop("words", "counts").groupBy("block").cogroup(known.groupBy("at_block")).applyInPandas(run, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -246,11 +246,16 @@ def test_lm_edges(spark, docs_of, empty):
     assert all(math.isfinite(r.score) for r in got) and attention_lm.score(empty).count() == 0
 
 
+def lm_block(texts, subs):
+    """A block of texts (lists of words' numbers), all in slice 1; ``subs``: each word's subwords."""
+    none = attention_lm.packed(np.zeros(0, np.int32))
+    return {"sizes": np.array(list(map(len, texts)), np.int32).tobytes(), "slices": np.ones(len(texts), np.int16).tobytes(), "subs": np.array([x for y in subs for x in y], np.int16).tobytes(), "sub_sizes": np.array(list(map(len, subs)), np.int32).tobytes()} | {f"at{r}": none for r in range(attention_lm.ROUNDS + 1)} | {"at1": attention_lm.packed(np.array([x for t in texts for x in t], np.int32))}
+
+
 def test_lm_windows_are_causal_and_cover_each_target_once():
-    row = {"sizes": np.array([2, 0, 1], np.int32).tobytes(), "at": attention_lm.packed(np.array([0, 1, 0], np.int32)), "keys": np.arange(3).tobytes(), "nulls": np.zeros(3, bool).tobytes(), "subs": np.array([5, 6, 7], np.int16).tobytes(), "sub_sizes": np.array([2, 1], np.int32).tobytes()}
-    flat, places, goal = attention_lm.Block(row).targets(np.array([3, 4]))
-    end = attention_lm.CLASSES
-    assert goal.tolist() == [3, 4, end, end, 3, end]
+    block = attention_lm.Block(lm_block([[0, 1], [], [0]], [[5, 6], [7]]))
+    flat, places, goal = block.targets()
+    assert goal.tolist() == [0, 1, -1, -1, 0, -1]
     w = attention_lm.windows(flat, places)
     s = attention_lm.START
     assert w[:3].T.tolist() == [[s, s, s], [6, 5, s], [7, 6, 5], [s, s, s], [s, s, s], [6, 5, s]]
@@ -258,12 +263,13 @@ def test_lm_windows_are_causal_and_cover_each_target_once():
 
 def test_lm_gradient():
     rng = np.random.default_rng(0)
-    w = {k: x.astype(np.float64) for k, x in attention_lm.start_weights(np.full(attention_lm.CLASSES + 1, 1 / (attention_lm.CLASSES + 1))).items()}
-    ids = rng.integers(0, attention_lm.VOCAB, (attention_lm.WINDOW, 6))
+    n = attention_lm.EXPERTS + 1
+    w = {k: x.astype(np.float64) + 0.1 * rng.standard_normal(x.shape) for k, x in attention_lm.start_weights(rng.random((n - 1, attention_lm.VOCAB)) * 20, np.full(n, 1 / n)).items()}
+    ids = rng.integers(0, attention_lm.SUBWORDS, (attention_lm.WINDOW, 6))
     ids[5:, 0] = attention_lm.START
-    goal = rng.integers(0, attention_lm.CLASSES + 1, 6)
-    loss = lambda: -attention_lm.forward(w, ids)[0][goal, np.arange(6)].mean()
-    g = attention_lm.gradient(w, ids, goal)
+    likely = rng.random((n, 6))
+    loss = lambda: -np.log((np.exp(attention_lm.forward(w, ids)[0]) * likely).sum(0)).sum()
+    g = attention_lm.gradient(w, ids, likely)
     for k in w:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         old, eps = w[k][at], 1e-4
@@ -275,6 +281,57 @@ def test_lm_gradient():
         assert abs((up - down) / (2 * eps) - g[k][at]) < 2e-3 * max(abs(g[k][at]), 1e-2), k
 
 
+def test_lm_scores_equal_a_plain_loop():
+    """Attention, experts and mixture, one target and one subword at a time."""
+    rng = np.random.default_rng(4)
+    m, s = attention_lm, attention_lm.START
+    experts = m.Experts(rng.integers(0, 3, (m.EXPERTS, m.VOCAB, m.VOCAB)).ravel().astype(float))
+    w = m.start_weights(experts.use, rng.dirichlet(np.ones(m.EXPERTS + 1)))
+    w = {k: (x + 0.2 * rng.standard_normal(x.shape)).astype(np.float32) for k, x in w.items()}
+    subs = [rng.integers(0, m.SUBWORDS, n).tolist() for n in (1, 3, 2, 1, 5)]
+    texts = [[0, 1, 2, 2, 4, 3, 1, 0, 4], [], [3], [1, 1, 4]]
+    b = m.Block(lm_block(texts, subs))
+    logs, unseen = experts.word_logs(b, np.arange(5))
+    got = m.target_scores(w, *b.targets(), unseen, some=5)
+
+    def spell(k, word):
+        if len(word) == 1:
+            return math.log(m.SHORT) + experts.logs[k, m.END, word[0]]
+        return math.log(1 - m.SHORT) + sum(float(experts.logs[k, x, y]) for x, y in zip([s, *word], [*word, m.END], strict=True))
+
+    assert np.allclose(unseen, [[spell(k, x) for x in subs] for k in range(m.EXPERTS)])
+    assert np.allclose(np.exp(experts.logs).sum(2), 1, atol=1e-4)
+    w = {k: x.astype(float) for k, x in w.items()}
+    want = []
+    for text in texts:
+        past = []
+        for word in [*text, None]:
+            near = (past[::-1] + [s] * m.WINDOW)[: m.WINDOW]
+            x = w["e"][near[0]]
+            q = w["q"].T @ x * m.DIM**-0.5 + w["b"][: m.DIM, 0]
+            score = [(w["e"][i] @ w["k"] + w["pos"][at] @ w["k"]) @ q if at == 0 or i != s else -math.inf for at, i in enumerate(near)]
+            a = np.exp(np.array(score) - max(score))
+            a /= a.sum()
+            c = sum(p * (w["e"][i] @ w["v"]) for p, i in zip(a, near, strict=True)) * sum(i != s for i in near) / m.WINDOW
+            z = w["o"] @ np.maximum(w["w1"] @ x + w["w2"] @ c, 0) + w["g"] @ c + w["ob"][:, 0]
+            p = np.exp(z) / np.exp(z).sum()
+            want.append(math.log(p[-1] if word is None else sum(p[k] * math.exp(spell(k, subs[word])) for k in range(m.EXPERTS))))
+            past += [] if word is None else subs[word]
+    assert np.allclose(got, want, atol=1e-3)
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, docs_of):
+    r = random.Random(5)
+    docs = docs_of([(i, " ".join(f"{r.choice('abcd')}{r.choice('xyz') if i % 2 else r.choice('uvw')}{r.randrange(30)}" for _ in range(80))) for i in range(120)])
+    a, b = ({x.doc_id: x.score for x in attention_lm.score(docs.repartition(n, "doc_id"), block_bytes=size).collect()} for n, size in ((1, 1 << 20), (5, 4000)))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 * abs(a[k]) for k in a)
+
+
+def test_lm_refuses_keys_that_are_no_integers(docs_of):
+    with pytest.raises(TypeError):
+        attention_lm.score(docs_of([(1, "a b")]).withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_lm_beats_the_base_on_held_out_texts(spark, docs_of):
     """Two languages without a common word: context tells which one comes next."""
     r = random.Random(3)
