@@ -22,10 +22,11 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHash, chunks, integer_keys, written
+from ._common import chunks, integer_keys, written
 from .byte_bpe import default_pattern, encoding, load_ranks
 
 #: Subwords are the vocabulary's first ranks; then the end of a text (or word), then what stands before its start.
@@ -34,7 +35,7 @@ END, START = SUBWORDS, SUBWORDS + 1
 VOCAB, EXPERTS = SUBWORDS + 2, 8
 WINDOW, DIM, HIDDEN = 16, EXPERTS, 16
 #: Slices of the training texts, one a training step; slice 0 of a block are its held-out texts.
-ROUNDS = 24
+ROUNDS = 16
 #: Share of words of one subword among unseen words.
 SHORT = 0.02
 LN10 = np.log(10.0)
@@ -64,10 +65,30 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
+def cut(enc, words: list[bytes], some: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """(subwords of all words, number of each). A word's are those of its bytes after a space; bytes that are no UTF-8 go as
+    replacement characters. Words go to the encoder many at a time, a line each, where lines stay apart."""
+    line, ids, sizes = enc.encode_ordinary("\n"), [], []
+    for at in range(0, len(words), some):
+        names = [w.decode("utf-8", "replace") for w in words[at : at + some]]
+        got = np.array(enc.encode_ordinary(" " + "\n ".join(names) + "\n"), np.int64)
+        ends = np.flatnonzero(got == line[0])
+        if len(ends) == len(names) and len(line) == 1:
+            ids.append(np.delete(got, ends))
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        else:  # a word with white space of its own at its end
+            each = [enc.encode_ordinary(" " + w) for w in names]
+            ids.append(np.array([x for y in each for x in y], np.int64))
+            sizes.append(np.array(list(map(len, each)), np.int64))
+    return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> DataFrame:
     """One row a block: its keys and text sizes by slice, words' hashes, training counts, subwords, and the texts' words."""
 
-    def block(keys: list, texts: list[bytes], hashes: WordHash) -> dict:
+    def block(keys: list, texts: list[bytes]) -> dict:
+        import xxhash
+
         enc = encoding(ranks, pattern, SUBWORDS)
         slices = np.array([slice_of(k) for k in keys], np.int64)
         order = np.argsort(slices, kind="stable")
@@ -77,32 +98,29 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
             w = texts[i].split()
             words += w
             sizes.append(len(w))
-        place: dict[bytes, int] = {}
-        at = np.fromiter([place.setdefault(w, len(place)) for w in words], np.int32, len(words))
+        distinct = pa.array(words, pa.binary()).dictionary_encode()
+        at, names = distinct.indices.to_numpy().astype(np.int32), distinct.dictionary.to_pylist()
         own = np.repeat(slices, sizes)
-        names = list(place)
-        # A word's ids are those of its bytes after a space; bytes that are no UTF-8 go as replacement characters.
-        ids = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in names]
+        subs, sub_sizes = cut(enc, names)
         return {
             "block": uuid.uuid4().int >> 65,
             "keys": np.array([-1 if k is None else int(k) for k in keys], np.int64).tobytes(),
             "nulls": np.array([k is None for k in keys], bool).tobytes(),
             "sizes": np.array(sizes, np.int32).tobytes(),
             "slices": slices.astype(np.int16).tobytes(),
-            "sub_sizes": np.array(list(map(len, ids)), np.int32).tobytes(),
-            "subs": np.array([x for y in ids for x in y], np.int16).tobytes(),
-            "words": hashes.of(names).view(np.int64),
+            "sub_sizes": sub_sizes.astype(np.int32).tobytes(),
+            "subs": subs.astype(np.int16).tobytes(),
+            "words": np.array([xxhash.xxh64_intdigest(w, 3) for w in names], np.uint64).view(np.int64),
             "counts": np.bincount(at[own > 0], minlength=len(names)).astype(np.int32),
             "train_texts": int((slices > 0).sum()),
             **{f"at{r}": packed(at[own == r]) for r in range(ROUNDS + 1)},
         }
 
     def run(batches):
-        hashes = WordHash(3)
         for pdf in batches:
             keys = [None if pd.isna(k) else int(k) for k in pdf["key"].tolist()]
             for lo, hi, texts in chunks(pdf["text"], block_bytes):
-                yield pd.DataFrame([block(keys[lo:hi], texts, hashes)])
+                yield pd.DataFrame([block(keys[lo:hi], texts)])
 
     return docs.mapInPandas(run, "block long, keys binary, nulls binary, sizes binary, slices binary, sub_sizes binary, subs binary, words array<long>, counts array<int>, train_texts long, " + ", ".join(f"at{r} binary" for r in range(ROUNDS + 1)))
 
@@ -127,12 +145,11 @@ class Block:
         self.starts = np.cumsum(self.lens) - self.lens
 
     def used(self) -> tuple[np.ndarray, np.ndarray]:
-        """(the list's words that these texts have, the texts' words as places among those)."""
-        seen = np.zeros(len(self.lens), bool)
+        """(the list's words that these texts have, the place among those of each of the list; at -1, their number)."""
+        seen = np.zeros(len(self.lens) + 1, bool)
         seen[self.at] = True
         words = np.flatnonzero(seen)
-        place = np.cumsum(seen) - 1
-        return words, place[self.at]
+        return words, np.append(np.cumsum(seen[:-1]) - 1, len(words))
 
     def spelled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(subwords and an END for each of ``words``, what stands before each, words' lengths with the end, is single).
@@ -212,7 +229,7 @@ def embed(pairs: np.ndarray) -> np.ndarray:
     vectors = u[:, 1 : DIM + 1] * s[1 : DIM + 1] / np.sqrt(mass / mass.mean())[:, None]  # the first is the mass itself
     vectors *= np.where(vectors[np.argmax(np.abs(vectors), axis=0), np.arange(DIM)] < 0, -1, 1)
     vectors[both.sum(1) == 0] = 0
-    return vectors
+    return vectors.astype(np.float32)
 
 
 def text_vectors(blocks: DataFrame, vectors: np.ndarray) -> DataFrame:
@@ -222,7 +239,7 @@ def text_vectors(blocks: DataFrame, vectors: np.ndarray) -> DataFrame:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 b = Block(row, _TRAIN)
-                v, _ = _means(b, vectors)
+                v = _means(b, vectors)
                 keys = np.frombuffer(row["keys"], np.int64)[b.texts]
                 use = b.sizes > 0
                 if use.any():
@@ -231,15 +248,14 @@ def text_vectors(blocks: DataFrame, vectors: np.ndarray) -> DataFrame:
     return blocks.select("keys", *_columns(_TRAIN)).mapInPandas(run, "hash long, key long, v array<double>")
 
 
-def _means(b: Block, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(unit mean vector of each text, number of its words' first)."""
-    if not len(b.lens):
-        return np.zeros((len(b.sizes), DIM)), b.sizes
-    sums = np.add.reduceat(vectors[b.subs], b.starts, axis=0)
-    total = np.vstack([np.zeros(DIM), np.cumsum(sums[b.at], axis=0)])
-    ends = np.cumsum(b.sizes)
-    v = total[ends] - total[ends - b.sizes]
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12), b.sizes
+def _means(b: Block, vectors: np.ndarray) -> np.ndarray:
+    """The unit mean vector of each text's subwords; zero for a text without words."""
+    out = np.zeros((len(b.sizes), DIM))
+    if len(b.at):
+        sums = np.add.reduceat(vectors[b.subs], b.starts, axis=0)
+        full = b.sizes > 0
+        out[full] = np.add.reduceat(sums[b.at], (np.cumsum(b.sizes) - b.sizes)[full], axis=0)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
 def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -324,9 +340,10 @@ def expert_counts(blocks: DataFrame, vectors: np.ndarray, centres: np.ndarray) -
                 b = Block(row, _TRAIN)
                 # A word once a text: names and frequent words say little of how others are spelled.
                 text = np.repeat(np.arange(len(b.sizes)), b.sizes)
-                pair = np.unique(text * max(len(b.lens), 1) + b.at)
+                pair = np.sort(text * max(len(b.lens), 1) + b.at)
+                pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
                 once = pair % max(len(b.lens), 1)
-                mine = nearest(_means(b, vectors)[0], centres)[pair // max(len(b.lens), 1)]
+                mine = nearest(_means(b, vectors), centres)[pair // max(len(b.lens), 1)]
                 for k in range(EXPERTS):
                     n = np.bincount(once[mine == k], minlength=len(b.lens))
                     words = np.flatnonzero(n)
@@ -354,7 +371,8 @@ def expert_tokens(blocks: DataFrame, experts) -> np.ndarray:
 
 
 _NONE = packed(np.zeros(0, np.int32))
-_SHAPES = {"e": (VOCAB, DIM), "pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "w1": (HIDDEN, DIM), "w2": (HIDDEN, DIM), "b": (HIDDEN, 1), "o": (EXPERTS + 1, HIDDEN), "g": (EXPERTS + 1, DIM), "ob": (EXPERTS + 1, 1)}
+#: Trained weights; the embedding "e" beside them comes from the experts' counts.
+_SHAPES = {"pos": (WINDOW, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "b": (1, DIM), "v": (DIM, DIM), "w1": (DIM, HIDDEN), "w2": (DIM, HIDDEN), "o": (HIDDEN, EXPERTS + 1), "g": (DIM, EXPERTS + 1), "ob": (1, EXPERTS + 1)}
 _PLACES = np.cumsum([0, *[int(np.prod(s)) for s in _SHAPES.values()]])
 
 
@@ -362,99 +380,78 @@ def start_weights(use: np.ndarray, shares: np.ndarray, gain: float = 4.0, seed:
     """The naive Bayes rule: a subword's values are how much more likely it is under each expert, the attention is even,
     and the bias is the log share of each expert (and of ends). ``gain``: how many independent subwords a window counts as."""
     rng = np.random.default_rng(seed)
-    w = {k: (rng.standard_normal(s) * 0.1 * s[1] ** -0.5).astype(np.float32) for k, s in _SHAPES.items()}
+    w = {k: (rng.standard_normal(s) * 0.1 * s[0] ** -0.5).astype(np.float32) for k, s in _SHAPES.items()}
     p = (use + 8 * (use.sum(0) + 0.1) / (use.sum() + 0.1 * VOCAB)) / (use.sum(1, keepdims=True) + 8)
     all_ = (use.sum(0) + 0.1) / (use.sum() + 0.1 * VOCAB)
     e = np.clip(np.log(p / all_), -4, 4).T
     w["e"] = (e - e.mean(1, keepdims=True)).astype(np.float32)
     w["e"][[END, START]] = 0
     w["v"] = np.eye(DIM, dtype=np.float32)
-    w["g"] = np.vstack([gain * np.eye(EXPERTS), np.zeros((1, DIM))]).astype(np.float32)
+    w["g"] = np.hstack([gain * np.eye(EXPERTS), np.zeros((DIM, 1))]).astype(np.float32)
     w["b"] *= 0
-    w["ob"] = np.log(shares)[:, None].astype(np.float32)
+    w["ob"] = np.log(shares)[None].astype(np.float32)
     return w
 
 
-def forward(w: dict, ids: np.ndarray):
-    """(ln weight of each expert, and of an end (EXPERTS + 1, n), what the gradient needs) for windows ``ids`` (WINDOW, n).
+def pair_scores(w: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query of each subword, attention score of each nearest subword and any subword, score of it and each place): with
+    so small a vocabulary, products are looked up and not made at each place."""
+    q = w["e"] @ w["q"] * w["e"].dtype.type(DIM**-0.5) + w["b"]
+    return q, q @ (w["e"] @ w["k"]).T, w["pos"] @ w["k"] @ q.T
+
+
+def forward(w: dict, ids: np.ndarray, scores: tuple):
+    """(ln weight of each expert, and of an end (n, EXPERTS + 1), what the gradient needs) for windows ``ids`` (WINDOW, n).
 
     Causal: a window holds only what stands before its target. Places before the text's start are masked, but for the
-    nearest, and what is attended to counts by the share of places that aren't.
+    nearest, and what is attended to counts by the share of places that aren't. ``scores``: pair_scores of ``w``.
     """
-    kt, vt = np.ascontiguousarray((w["e"] @ w["k"]).T), np.ascontiguousarray((w["e"] @ w["v"]).T)
-    kp = w["pos"] @ w["k"]
+    _, pairs, places = scores
+    e = np.take(w["e"], ids, axis=0, mode="clip")
     masked = ids == START
-    real = (1 - masked.mean(0)).astype(kt.dtype)
-    x = np.ascontiguousarray(w["e"][ids[0]].T)
-    q = (w["q"].T @ x) * np.float32(DIM**-0.5) + w["b"][:DIM]
-    k, v = np.take(kt, ids, axis=1, mode="clip"), np.take(vt, ids, axis=1, mode="clip")
-    a = kp @ q
-    for d in range(DIM):
-        a += k[d] * q[d]
+    real = (1 - masked.mean(0)).astype(e.dtype)[:, None]
+    a = np.take(pairs.ravel(), ids[0].astype(np.int64) * VOCAB + ids)
+    a += np.take(places, ids[0], axis=1)
     a[1:][masked[1:]] = -1e9
     a -= a.max(0)
     np.exp(a, out=a)
     a /= a.sum(0)
-    c = np.empty_like(q)
-    for d in range(DIM):
-        np.einsum("wn,wn->n", v[d], a, out=c[d])
-    c *= real
-    h = w["w1"] @ x
-    h += w["w2"] @ c
-    np.maximum(h, 0, out=h)
-    z = w["o"] @ h
-    z += w["g"] @ c
+    c = (e * a[:, :, None]).sum(0) * real
+    y = c @ w["v"]
+    h = np.maximum(e[0] @ w["w1"] + y @ w["w2"], 0)
+    z = h @ w["o"]
+    z += y @ w["g"]
     z += w["ob"]
-    z -= z.max(0)
-    z -= np.log(np.exp(z).sum(0))
-    return z, (x, q, k, v, a, c, h, kp, real)
-
-
-def _spread(ids: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Sums of g (DIM, ...) by id: (VOCAB, DIM)."""
-    flat = ids.ravel()
-    return np.stack([np.bincount(flat, weights=x.ravel(), minlength=VOCAB) for x in g], axis=1)
+    z -= z.max(1, keepdims=True)
+    z -= np.log(np.exp(z).sum(1, keepdims=True))
+    return z, (e, a, c, y, h, real)
 
 
-def gradient(w: dict, ids: np.ndarray, likely: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the summed log loss of the targets. ``likely`` (EXPERTS + 1, n): what each expert, and the end, gives the target,
-    up to a factor of the target's own."""
-    z, (x, q, k, v, a, c, h, kp, real) = forward(w, ids)
+def gradient(w: dict, ids: np.ndarray, likely: np.ndarray, scores: tuple) -> dict[str, np.ndarray]:
+    """Of the summed log loss of the targets, but for the embedding. ``likely`` (n, EXPERTS + 1): what each expert, and the
+    end, gives the target, up to a factor of the target's own."""
+    z, (e, a, c, y, h, real) = forward(w, ids, scores)
+    x, q, scale = e[0], scores[0][ids[0]], e.dtype.type(DIM**-0.5)
     dz = np.exp(z)
     post = dz * likely
-    post /= np.maximum(post.sum(0), 1e-30)
-    dz -= post
-    g = {"o": dz @ h.T, "g": dz @ c.T, "ob": dz.sum(1, keepdims=True)}
-    dh = w["o"].T @ dz
-    dh *= h > 0
-    g["w1"], g["w2"] = dh @ x.T, dh @ c.T
-    dx, dc = w["w1"].T @ dh, (w["w2"].T @ dh + w["g"].T @ dz) * real
-    da = np.zeros_like(a)
-    for d in range(DIM):
-        da += v[d] * dc[d]
+    dz -= post / np.maximum(post.sum(1, keepdims=True), 1e-30)
+    dh = (dz @ w["o"].T) * (h > 0)
+    dy = dh @ w["w2"].T + dz @ w["g"].T
+    g = {"o": h.T @ dz, "g": y.T @ dz, "ob": dz.sum(0, keepdims=True), "w1": x.T @ dh, "w2": y.T @ dh, "v": c.T @ dy}
+    da = ((e * (dy @ w["v"].T * real)).reshape(-1, DIM) @ np.ones(DIM, e.dtype)).reshape(a.shape)
     ds = a * (da - np.einsum("wn,wn->n", da, a))
-    dq = kp.T @ ds
-    for d in range(DIM):
-        dq[d] += np.einsum("wn,wn->n", k[d], ds)
-    dkp = ds @ q.T
-    # Of keys and values by id: one sum by (place in the window, id) pairs for each dimension.
-    dkt, dvt = _spread(ids, ds[None] * q[:, None]), _spread(ids, a[None] * dc[:, None])
-    g["b"] = np.zeros_like(w["b"])
-    g["b"][:DIM] = dq.sum(1, keepdims=True)
-    dq *= np.float32(DIM**-0.5)
-    g["q"] = x @ dq.T
-    dx += w["q"] @ dq
-    g["k"], g["v"] = w["e"].T @ dkt + w["pos"].T @ dkp, w["e"].T @ dvt
-    g["pos"] = dkp @ w["k"].T
-    g["e"] = dkt @ w["k"].T + dvt @ w["v"].T + _spread(ids[0], dx)
+    er, near = (e * ds[:, :, None]).sum(0), ds @ q  # by subword and by place
+    dq = er @ w["k"] + ds.T @ (w["pos"] @ w["k"])
+    g["k"], g["pos"] = er.T @ q + w["pos"].T @ near, near @ w["k"].T
+    g["b"], g["q"] = dq.sum(0, keepdims=True), x.T @ dq * scale
     return g
 
 
 class Adam:
     def __init__(self, w: dict, rate: float = 0.05):
         self.w, self.rate, self.n = w, rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in w.items()}
-        self.v = {k: np.zeros_like(x) for k, x in w.items()}
+        self.m = {k: np.zeros_like(w[k]) for k in _SHAPES}
+        self.v = {k: np.zeros_like(w[k]) for k in _SHAPES}
 
     def step(self, g: dict) -> None:
         self.n += 1
@@ -463,15 +460,15 @@ class Adam:
             x = x.astype(self.m[k].dtype)
             self.m[k] += 0.2 * (x - self.m[k])
             self.v[k] += 0.05 * (x * x - self.v[k])
-            self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-5))  # rare subwords move little
+            self.w[k] -= np.float32(rate) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-5))
 
 
-def _likely(per_word: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """(EXPERTS + 1, targets): a word's column of ``per_word`` and no end, or an end alone (goal -1)."""
-    wide = np.zeros((EXPERTS + 1, per_word.shape[1] + 1), np.float32)
-    wide[:EXPERTS, :-1] = per_word
-    wide[EXPERTS, -1] = 1
-    return wide[:, goal]
+def with_end(per_word: np.ndarray) -> np.ndarray:
+    """(words + 1, EXPERTS + 1): a word's column of ``per_word`` and no end; the last row is the end's alone."""
+    wide = np.zeros((per_word.shape[1] + 1, EXPERTS + 1), np.float32)
+    wide[:-1, :EXPERTS] = per_word.T
+    wide[-1, EXPERTS] = 1
+    return wide
 
 
 def train(blocks: DataFrame, experts, tokens: np.ndarray, ends: int, batch: int = 4096) -> dict[str, np.ndarray]:
@@ -483,16 +480,16 @@ def train(blocks: DataFrame, experts, tokens: np.ndarray, ends: int, batch: int
         now = {k: x.copy() for k, x in w.items()}
 
         def run(batches, r=r, now=now):
-            total, n = np.zeros(_PLACES[-1]), 0
+            total, n, scores = np.zeros(_PLACES[-1]), 0, pair_scores(now)
             for pdf in batches:
                 for row in pdf.to_dict("records"):
                     b = Block(row, range(r, r + 1))
-                    words, _ = b.used()
-                    share = np.zeros((EXPERTS, len(b.lens)), np.float32)
-                    share[:, words] = experts.value.posterior(experts.value.word_logs(b, words)[0]) / np.maximum(tokens, 1e-9)[:, None] * tokens.sum()
+                    words, place = b.used()
+                    share = with_end(experts.value.posterior(experts.value.word_logs(b, words)[0]) / np.maximum(tokens, 1e-9)[:, None] * tokens.sum())
                     flat, places, goal = b.targets()
+                    goal = place[goal]
                     for at in range(0, len(places), batch):
-                        g = gradient(now, windows(flat, places[at : at + batch]), _likely(share, goal[at : at + batch]))
+                        g = gradient(now, windows(flat, places[at : at + batch]), share[goal[at : at + batch]], scores)
                         total += np.concatenate([g[k].ravel() for k in _SHAPES])
                     n += len(places)
             if n:
@@ -510,12 +507,12 @@ def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarra
     """ln probability of each target. ``per_word``: (EXPERTS, words) ln probabilities."""
     out = np.zeros(len(places))
     top = per_word.max(0) if per_word.size else np.zeros(per_word.shape[1])
-    share = np.exp(per_word - top).astype(np.float32)
-    top = np.append(top, 0.0)
+    share = with_end(np.exp(per_word - top))
+    top, scores = np.append(top, 0.0), pair_scores(w)
     for at in range(0, len(places), some):
-        z, _ = forward(w, windows(flat, places[at : at + some]))
+        z, _ = forward(w, windows(flat, places[at : at + some]), scores)
         own = goal[at : at + some]
-        out[at : at + some] = np.log((np.exp(z) * _likely(share, own)).sum(0) + 1e-38) + top[own]
+        out[at : at + some] = np.log(np.einsum("nk,nk->n", np.exp(z), share[own]) + 1e-38) + top[own]
     return out
 
 
@@ -534,13 +531,13 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
     blocks = written(_blocks(docs, ranks, pat, block_bytes), "blocks")
     # Word counts of the corpus: a row for each word and block, summed by hash.
     words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("h"), F.col("x.counts").alias("n"))
-    corpus = written(words.groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "word-counts")
+    corpus = written(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("c")), "word-counts")
     ends = int(blocks.agg(F.sum("train_texts")).first()[0] or 0)
     total = corpus.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))).first()
     n_train, v = int(total[0] or 0) + ends, int(total[1]) + (ends > 0)
     unseen = min(0.5, ((total[2] or 0) + 0.5) / (n_train + 1))  # the mass of unseen words, by Good and Turing
     known = words.join(corpus, "h").select(F.col("block").alias("at_block"), "i", "c")
-    vectors = np.vstack([embed(neighbours(blocks)), np.zeros((VOCAB - SUBWORDS, DIM))])
+    vectors = np.vstack([embed(neighbours(blocks)), np.zeros((VOCAB - SUBWORDS, DIM), np.float32)])
     centres = clusters(written(text_vectors(blocks, vectors), "text-vectors"))
     experts = blocks.sparkSession.sparkContext.broadcast(Experts(expert_counts(blocks, vectors, centres)))
     tokens = expert_tokens(blocks, experts)

@@ -267,10 +267,10 @@ def test_lm_gradient():
     w = {k: x.astype(np.float64) + 0.1 * rng.standard_normal(x.shape) for k, x in attention_lm.start_weights(rng.random((n - 1, attention_lm.VOCAB)) * 20, np.full(n, 1 / n)).items()}
     ids = rng.integers(0, attention_lm.SUBWORDS, (attention_lm.WINDOW, 6))
     ids[5:, 0] = attention_lm.START
-    likely = rng.random((n, 6))
-    loss = lambda: -np.log((np.exp(attention_lm.forward(w, ids)[0]) * likely).sum(0)).sum()
-    g = attention_lm.gradient(w, ids, likely)
-    for k in w:
+    likely = rng.random((6, n))
+    loss = lambda: -np.log((np.exp(attention_lm.forward(w, ids, attention_lm.pair_scores(w))[0]) * likely).sum(1)).sum()
+    g = attention_lm.gradient(w, ids, likely, attention_lm.pair_scores(w))
+    for k in g:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         old, eps = w[k][at], 1e-4
         w[k][at] = old + eps
@@ -308,12 +308,12 @@ def test_lm_scores_equal_a_plain_loop():
         for word in [*text, None]:
             near = (past[::-1] + [s] * m.WINDOW)[: m.WINDOW]
             x = w["e"][near[0]]
-            q = w["q"].T @ x * m.DIM**-0.5 + w["b"][: m.DIM, 0]
+            q = x @ w["q"] * m.DIM**-0.5 + w["b"][0]
             score = [(w["e"][i] @ w["k"] + w["pos"][at] @ w["k"]) @ q if at == 0 or i != s else -math.inf for at, i in enumerate(near)]
             a = np.exp(np.array(score) - max(score))
             a /= a.sum()
             c = sum(p * (w["e"][i] @ w["v"]) for p, i in zip(a, near, strict=True)) * sum(i != s for i in near) / m.WINDOW
-            z = w["o"] @ np.maximum(w["w1"] @ x + w["w2"] @ c, 0) + w["g"] @ c + w["ob"][:, 0]
+            z = np.maximum(x @ w["w1"] + c @ w["w2"], 0) @ w["o"] + c @ w["g"] + w["ob"][0]
             p = np.exp(z) / np.exp(z).sum()
             want.append(math.log(p[-1] if word is None else sum(p[k] * math.exp(spell(k, subs[word])) for k in range(m.EXPERTS))))
             past += [] if word is None else subs[word]
