@@ -23,6 +23,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,13 +94,13 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
         slices = np.array([slice_of(k) for k in keys], np.int64)
         order = np.argsort(slices, kind="stable")
         keys, slices = [keys[i] for i in order], slices[order]
-        words, sizes = [], []
-        for i in order.tolist():
-            w = texts[i].split()
-            words += w
-            sizes.append(len(w))
-        distinct = pa.array(words, pa.binary()).dictionary_encode()
-        at, names = distinct.indices.to_numpy().astype(np.int32), distinct.dictionary.to_pylist()
+        # Words without an object each: split at ASCII white space, then numbered.
+        parts = pc.ascii_split_whitespace(pa.array([texts[i] for i in order.tolist()], pa.binary()).view(pa.string()))
+        full = pc.greater(pc.binary_length(parts.flatten()), 0)
+        sizes = np.bincount(pc.list_parent_indices(parts).filter(full).to_numpy(), minlength=len(keys))
+        distinct = parts.flatten().filter(full).dictionary_encode()
+        at, names = distinct.indices.to_numpy().astype(np.int32), distinct.dictionary.view(pa.binary()).to_pylist()
+        del parts, full, distinct
         own = np.repeat(slices, sizes)
         subs, sub_sizes = cut(enc, names)
         return {
