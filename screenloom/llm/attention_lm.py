@@ -10,7 +10,7 @@ expert gives a word's next subword after the one before it, and its end; so each
 once, and what the experts say of a word is needed once a block, not once a place. Words seen in training mix that with
 their share of the corpus, split among the experts by Bayes' rule; unseen words have their spelling alone.
 
-Experts start as clusters of documents. The attention starts as the naive Bayes rule for them and is trained by synchronous steps,
+Experts are clusters of documents by a random projection of their subwords. The attention starts as the naive Bayes rule for them and is trained by synchronous steps,
 each over the whole of one of ROUNDS slices of the training texts (by a hash of the key): a step's gradient is summed over
 all tasks, so the scores don't depend on how rows are dealt out, and every training text is used once.
 """
@@ -36,7 +36,9 @@ END, START = SUBWORDS, SUBWORDS + 1
 VOCAB, EXPERTS = SUBWORDS + 2, 8
 WINDOW, DIM, HIDDEN = 16, EXPERTS, 16
 #: Slices of the training texts, one a training step; slice 0 of a block are its held-out texts.
-ROUNDS = 16
+ROUNDS = 8
+#: Numbers of a text's vector, by which texts are clustered.
+SKETCH = 16
 #: Share of words of one subword among unseen words.
 SHORT = 0.02
 LN10 = np.log(10.0)
@@ -109,6 +111,7 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
             "nulls": np.array([k is None for k in keys], bool).tobytes(),
             "sizes": np.array(sizes, np.int32).tobytes(),
             "slices": slices.astype(np.int16).tobytes(),
+            "sketch": sketches(subs[np.cumsum(sub_sizes) - sub_sizes][at] if len(at) else at, sizes).tobytes(),
             "sub_sizes": sub_sizes.astype(np.int32).tobytes(),
             "subs": subs.astype(np.int16).tobytes(),
             "words": np.array([xxhash.xxh64_intdigest(w, 3) for w in names], np.uint64).view(np.int64),
@@ -123,7 +126,7 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
             for lo, hi, texts in chunks(pdf["text"], block_bytes):
                 yield pd.DataFrame([block(keys[lo:hi], texts)])
 
-    return docs.mapInPandas(run, "block long, keys binary, nulls binary, sizes binary, slices binary, sub_sizes binary, subs binary, words array<long>, counts array<int>, train_texts long, " + ", ".join(f"at{r} binary" for r in range(ROUNDS + 1)))
+    return docs.mapInPandas(run, "block long, keys binary, nulls binary, sizes binary, slices binary, sketch binary, sub_sizes binary, subs binary, words array<long>, counts array<int>, train_texts long, " + ", ".join(f"at{r} binary" for r in range(ROUNDS + 1)))
 
 
 def _columns(slices: range) -> list[str]:
@@ -208,68 +211,44 @@ def _rows(held: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"k": at, "n": held[at].astype(float)})
 
 
-def neighbours(blocks: DataFrame) -> np.ndarray:
-    """(SUBWORDS, SUBWORDS) counts of neighbouring subwords in the training texts."""
+def sketches(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """(texts, SKETCH) unit vectors: a random projection of how often each subword is the first of a word."""
+    signs = np.random.default_rng(11).choice(np.array([-1, 1], np.float32), (SKETCH, VOCAB))
+    out = np.zeros((len(sizes), SKETCH), np.float32)
+    full = sizes > 0
+    if full.any():
+        starts = (np.cumsum(sizes) - sizes)[full]
+        for d, s in enumerate(signs):
+            out[full, d] = np.add.reduceat(s[first], starts)
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
-    def run(batches):
-        held = np.zeros(VOCAB * VOCAB)
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                flat = Block(row, _TRAIN).targets()[0].astype(np.int64)
-                held += np.bincount(flat[:-1] * VOCAB + flat[1:], minlength=len(held))
-        yield _rows(held)
 
-    return _summed(blocks.select(*_columns(_TRAIN)), run, VOCAB * VOCAB).reshape(VOCAB, VOCAB)[:SUBWORDS, :SUBWORDS]
+def _sketch(row: dict) -> np.ndarray:
+    """Sketches of a block's training texts with words."""
+    use = (np.frombuffer(row["slices"], np.int16) > 0) & (np.frombuffer(row["sizes"], np.int32) > 0)
+    return np.frombuffer(row["sketch"], np.float32).reshape(-1, SKETCH)[use]
 
 
-def embed(pairs: np.ndarray) -> np.ndarray:
-    """Spectral vectors of the subwords from the square roots of their counts as neighbours; zero for unseen ones."""
-    both = np.sqrt(pairs + pairs.T)
-    mass = both.sum(1) + 1.0
-    u, s, _ = np.linalg.svd(both / np.sqrt(np.outer(mass, mass)), hermitian=True)
-    vectors = u[:, 1 : DIM + 1] * s[1 : DIM + 1] / np.sqrt(mass / mass.mean())[:, None]  # the first is the mass itself
-    vectors *= np.where(vectors[np.argmax(np.abs(vectors), axis=0), np.arange(DIM)] < 0, -1, 1)
-    vectors[both.sum(1) == 0] = 0
-    return vectors.astype(np.float32)
+def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argmax(v @ centres.T - (centres**2).sum(1) / 2, axis=1)
 
 
-def text_vectors(blocks: DataFrame, vectors: np.ndarray) -> DataFrame:
-    """(hash, v) of the training texts with words: the unit mean vector of their subwords; hash orders them by key."""
+def clusters(blocks: DataFrame, steps: int = 4, seeds: int = 512) -> np.ndarray:
+    """(EXPERTS, SKETCH) centres of the training texts' sketches: ``steps`` of Lloyd's over all texts, from centres that are
+    spread over the ``seeds`` texts whose sketches have the smallest hash."""
+    small = blocks.select("slices", "sizes", "sketch")
 
-    def run(batches):
+    def rows(batches):
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                b = Block(row, _TRAIN)
-                v = _means(b, vectors)
-                keys = np.frombuffer(row["keys"], np.int64)[b.texts]
-                use = b.sizes > 0
-                if use.any():
-                    yield pd.DataFrame({"hash": [zlib.crc32(b"%d" % k) for k in keys[use].tolist()], "key": keys[use], "v": list(v[use])})
-
-    return blocks.select("keys", *_columns(_TRAIN)).mapInPandas(run, "hash long, key long, v array<double>")
+                x = _sketch(row)
+                if len(x):
+                    yield pd.DataFrame({"hash": [zlib.crc32(v.tobytes()) for v in x], "v": [v.tobytes() for v in x]})
 
-
-def _means(b: Block, vectors: np.ndarray) -> np.ndarray:
-    """The unit mean vector of each text's subwords; zero for a text without words."""
-    out = np.zeros((len(b.sizes), DIM))
-    if len(b.at):
-        sums = np.add.reduceat(vectors[b.subs], b.starts, axis=0)
-        full = b.sizes > 0
-        out[full] = np.add.reduceat(sums[b.at], (np.cumsum(b.sizes) - b.sizes)[full], axis=0)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-
-def nearest(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return np.argmax(v @ centres.T - (centres**2).sum(1) / 2, axis=1)
-
-
-def clusters(texts: DataFrame, steps: int = 4, seeds: int = 512) -> np.ndarray:
-    """(EXPERTS, DIM) centres of the texts' vectors: ``steps`` of Lloyd's over all texts, from centres that are spread
-    over the ``seeds`` texts with the smallest hash of their key."""
-    first = texts.orderBy("hash", "key", "v").limit(seeds).toPandas()
-    v = np.array(first["v"].tolist()).reshape(-1, DIM)
+    first = small.mapInPandas(rows, "hash long, v binary").distinct().orderBy("hash", "v").limit(seeds).toPandas()
+    v = np.frombuffer(b"".join(first["v"]), np.float32).reshape(-1, SKETCH).astype(float)
     if not len(v):
-        return np.zeros((EXPERTS, DIM))
+        return np.zeros((EXPERTS, SKETCH))
     rng, centres = np.random.default_rng(3), v[:1]
     while len(centres) < EXPERTS:
         far = ((v[:, None] - centres[None]) ** 2).sum(2).min(1)
@@ -278,20 +257,20 @@ def clusters(texts: DataFrame, steps: int = 4, seeds: int = 512) -> np.ndarray:
         near = nearest(v, centres)
         centres = np.array([v[near == k].mean(0) if (near == k).any() else centres[k] for k in range(EXPERTS)])
     for _ in range(steps):
-        now = centres
 
-        def run(batches):
-            held = np.zeros((EXPERTS, DIM + 1))
+        def run(batches, now=centres):
+            held = np.zeros((EXPERTS, SKETCH + 1))
             for pdf in batches:
-                x = np.array(pdf["v"].tolist()).reshape(-1, DIM)
-                near = nearest(x, now)
-                for d in range(DIM):
-                    held[:, d] += np.bincount(near, weights=x[:, d], minlength=EXPERTS)
-                held[:, DIM] += np.bincount(near, minlength=EXPERTS)
+                for row in pdf.to_dict("records"):
+                    x = _sketch(row).astype(float)
+                    near = nearest(x, now)
+                    for k in range(EXPERTS):
+                        held[k, :SKETCH] += x[near == k].sum(0)
+                    held[:, SKETCH] += np.bincount(near, minlength=EXPERTS)
             yield pd.DataFrame({"k": np.arange(held.size), "n": held.ravel()})
 
-        got = _summed(texts.select("v"), run, EXPERTS * (DIM + 1)).reshape(EXPERTS, DIM + 1)
-        centres = np.where(got[:, DIM:] > 0, got[:, :DIM] / np.maximum(got[:, DIM:], 1), centres)
+        got = _summed(small, run, EXPERTS * (SKETCH + 1)).reshape(EXPERTS, SKETCH + 1)
+        centres = np.where(got[:, SKETCH:] > 0, got[:, :SKETCH] / np.maximum(got[:, SKETCH:], 1), centres)
     return centres
 
 
@@ -330,7 +309,7 @@ class Experts:
         return x / x.sum(0)
 
 
-def expert_counts(blocks: DataFrame, vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def expert_counts(blocks: DataFrame, centres: np.ndarray) -> np.ndarray:
     """(expert, before, next) counts in the words of the training texts; a text is that of the nearest centre's expert.
     EXPERTS * VOCAB**2 numbers at most, whatever the corpus."""
 
@@ -344,7 +323,8 @@ def expert_counts(blocks: DataFrame, vectors: np.ndarray, centres: np.ndarray) -
                 pair = np.sort(text * max(len(b.lens), 1) + b.at)
                 pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
                 once = pair % max(len(b.lens), 1)
-                mine = nearest(_means(b, vectors), centres)[pair // max(len(b.lens), 1)]
+                sketch = np.frombuffer(row["sketch"], np.float32).reshape(-1, SKETCH)[b.texts]
+                mine = nearest(sketch, centres)[pair // max(len(b.lens), 1)]
                 for k in range(EXPERTS):
                     n = np.bincount(once[mine == k], minlength=len(b.lens))
                     words = np.flatnonzero(n)
@@ -352,7 +332,7 @@ def expert_counts(blocks: DataFrame, vectors: np.ndarray, centres: np.ndarray) -
                     held[k * VOCAB * VOCAB : (k + 1) * VOCAB * VOCAB] += np.bincount(before * VOCAB + seq, weights=np.repeat(n[words], m), minlength=VOCAB * VOCAB)
         yield _rows(held)
 
-    return _summed(blocks.select(*_columns(_TRAIN)), run, EXPERTS * VOCAB * VOCAB)
+    return _summed(blocks.select("sketch", *_columns(_TRAIN)), run, EXPERTS * VOCAB * VOCAB)
 
 
 def expert_tokens(blocks: DataFrame, experts) -> np.ndarray:
@@ -538,9 +518,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
     n_train, v = int(total[0] or 0) + ends, int(total[1]) + (ends > 0)
     unseen = min(0.5, ((total[2] or 0) + 0.5) / (n_train + 1))  # the mass of unseen words, by Good and Turing
     known = words.join(corpus, "h").select(F.col("block").alias("at_block"), "i", "c")
-    vectors = np.vstack([embed(neighbours(blocks)), np.zeros((VOCAB - SUBWORDS, DIM), np.float32)])
-    centres = clusters(written(text_vectors(blocks, vectors), "text-vectors"))
-    experts = blocks.sparkSession.sparkContext.broadcast(Experts(expert_counts(blocks, vectors, centres)))
+    experts = blocks.sparkSession.sparkContext.broadcast(Experts(expert_counts(blocks, clusters(blocks))))
     tokens = expert_tokens(blocks, experts)
     w = train(blocks, experts, tokens, ends)
     below = np.log10(n_train + 0.5 * (v + 1))
