@@ -16,12 +16,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import chunks, mix, written
+from ._common import chunks, integer_keys, mix, written
 from .components import components
 
 #: Members of a bucket that are compared pair by pair; larger buckets take the ways for dense groups.
 BUCKET = 32
-#: The same for wider fingerprints, where more texts share a bucket without being near, and the leads of a larger bucket.
+#: The same for wider fingerprints, where more texts share a bucket without being near, and how many members of a larger
+#: bucket the others are compared with at a time.
 WIDE_BUCKET, LEADS = 64, 256
 
 
@@ -182,8 +183,8 @@ def plan(prints: DataFrame, radius: int, words: int = 1) -> Plan:
     return Plan(tuple(map(tuple, best[2])), best[1])
 
 
-def probe_keys(prints: DataFrame, how: Plan, words: int = 1) -> DataFrame:
-    """(key, id, f0..) rows. Two rows of one key are within a threshold: values at distance 1 or 2 share a neighbour."""
+def probe_keys(prints: DataFrame, how: Plan, words: int = 1, whole: bool = True) -> DataFrame:
+    """(key, id, f0..) rows, without the fingerprints unless ``whole``. Two rows of one key are within a threshold: values at distance 1 or 2 share a neighbour."""
     names = [f"f{k}" for k in range(words)]
     probes = []
     for i, (part, t) in enumerate(zip(how.parts, how.thresholds, strict=True)):
@@ -202,9 +203,9 @@ def probe_keys(prints: DataFrame, how: Plan, words: int = 1) -> DataFrame:
                     for k in range(words):
                         h = mix(h + ((own[:, k] & np.uint64(masks[k] & (1 << 64) - 1)) ^ np.uint64(flip[k] & (1 << 64) - 1)))
                     keys[j] = h
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.tile(ids[at : at + 4096], len(probes)), **{x: np.tile(f[at : at + 4096, k], len(probes)) for k, x in enumerate(names)}})
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.tile(ids[at : at + 4096], len(probes)), **{x: np.tile(f[at : at + 4096, k], len(probes)) for k, x in enumerate(names if whole else [])}})
 
-    return prints.select("id", *names).mapInPandas(run, "key long, id long, " + ", ".join(f"{x} long" for x in names))
+    return prints.select("id", *names).mapInPandas(run, ", ".join(["key long", "id long", *(f"{x} long" for x in names if whole)]))
 
 
 def distance(a: str, b: str, words: int):
@@ -264,38 +265,49 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
     return f.join(named, "f0").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least: float = 0.8, words: int = 2, radius: int = 14, near: int = 14, far: int = 34) -> DataFrame:
+def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least: float = 0.8, words: int = 4, radius: int = 29, far: int = 62, rounds: int = 3) -> DataFrame:
     """(key, component_id) of rows in groups of near-duplicates: the Jaccard similarity of their ``n``-word shingles is
     ``least`` or more along links.
 
     Fingerprints of 64 * ``words`` bits meet in a partition (any two within ``radius`` bits do; most others up to
     similarity ``least`` too), those at most ``far`` bits apart are candidates, and the shingle sets decide. Equal word
-    sequences meet first. Each row is tried with its nearest in each bucket; then those of a bucket that this leaves in
-    different groups are compared. In buckets above WIDE_BUCKET members, these are compared with up to LEADS of them,
-    those within ``near`` bits of one leave, and so on with what is left. Keys are unique integers; rows with null keys
-    or without words are left out, in no group.
+    sequences meet first. In each of ``rounds`` every row is tried with the nearest row of another group that it meets, so
+    that dense groups grow together by a pair a row; then all rows of a bucket that are still in different groups are
+    compared, however large the bucket. Keys are unique integers (another type is an error); rows with null keys or without
+    words are left out, in no group. Empty tables give none; a very long text is whole; repeated rows are one text.
     """
+    integer_keys(df, key)
     names = [f"f{k}" for k in range(words)]
     f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where(F.col("key").isNotNull() & (F.col("text_key") != F.lit(_NO_WORDS))), "fingerprints")
     reps = written(f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names]), "distinct")
     how = plan(reps, radius, words)
-    rows = written(_shared(probe_keys(reps, how, words), names).select("key", "id", *names, "n"), "probes")
+    keys = probe_keys(reps, how, words, whole=False)
+    met = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    rows = written(met.join(reps.select("id", *names), "id").select("key", "id", *names, "n"), "probes")
     whole = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    # First each row with its nearest in each bucket; what that links needs no more comparisons.
-    first = written(_nearest(rows, names, far).distinct(), "nearest")
-    sure = written(verified(whole, first, n, least), "links")
-    known = components(sure)
-    told = rows.join(known, F.col("id") == F.col("node"), "left").select("key", "id", *names, F.coalesce("component", "id").alias("label"))
-    mixed = told.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    rest = written(_between(written(told.join(mixed, "key"), "mixed"), names, near, far).distinct(), "pairs")
-    comp = components(sure.unionByName(verified(whole, rest, n, least)))
+    links, mixed = None, rows.withColumn("label", F.col("id"))
+    for _ in range(rounds):
+        new = written(verified(whole, written(_nearest(mixed, names, far), "nearest"), n, least), "links")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.unionByName(new)
+        told = rows.join(components(links), F.col("id") == F.col("node"), "left").select("key", "id", *names, F.coalesce("component", "id").alias("label"))
+        mixed = written(_mixed(told, names), "mixed")
+    rest = verified(whole, written(_between(mixed, names, far).distinct(), "pairs"), n, least)
+    comp = components(rest if links is None else links.unionByName(rest))
     own = reps.join(comp, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("component_id"))
     return f.join(own, "text_key").select(F.col("key").alias(key), "component_id")
 
 
+def _mixed(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The rows whose bucket has several labels, with n, its rows."""
+    several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    return rows.select("key", "id", *names, "label").join(several, "key")
+
+
 def _bits(x, y, names: list[str]):
-    """Differing bits of two structs or, for x None, of the row and y."""
-    return sum((F.bit_count((F.col(c) if x is None else x[c]).bitwiseXOR(y[c])) for c in names[1:]), F.bit_count((F.col(names[0]) if x is None else x[names[0]]).bitwiseXOR(y[names[0]])))
+    """Differing bits of two structs."""
+    return sum((F.bit_count(x[c].bitwiseXOR(y[c])) for c in names[1:]), F.bit_count(x[names[0]].bitwiseXOR(y[names[0]])))
 
 
 def _lists(rows: DataFrame, cols: list[str]) -> DataFrame:
@@ -304,9 +316,9 @@ def _lists(rows: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _leads(rows: DataFrame, cols: list[str]) -> DataFrame:
-    """key and leads of larger buckets: a row for each remainder of a hash, LEADS of a key at most, with the smallest id."""
+    """key and leads: a row for each remainder of a hash, LEADS of a key at most, with the smallest id."""
     slot = F.pmod(F.xxhash64("id"), F.lit(LEADS))
-    return rows.where(F.col("n") > WIDE_BUCKET).groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", *cols)).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
+    return rows.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", *cols)).alias("lead")).groupBy("key").agg(F.collect_list("lead").alias("leads"))
 
 
 def _pair(a, b):
@@ -314,35 +326,37 @@ def _pair(a, b):
 
 
 def _nearest(rows: DataFrame, names: list[str], far: int) -> DataFrame:
-    """(a, b): each member of a bucket with the nearest other one, or lead, at most ``far`` bits away."""
-    best = lambda l, own: F.array_min(F.transform(F.filter(l, lambda y: y["id"] != own["id"]), lambda y: F.struct(_bits(own, y, names).alias("d"), y["id"].alias("id"))))  # noqa: E731, E741
-    small = _lists(rows, names).select(F.explode(F.transform("l", lambda x: F.struct(x["id"].alias("id"), best(F.col("l"), x).alias("b")))).alias("p")).select("p.id", "p.b")
-    me = F.struct("id", *names)
-    large = rows.where(F.col("n") > WIDE_BUCKET).join(_leads(rows, names), "key").select("id", best(F.col("leads"), me).alias("b"))
-    return small.unionByName(large).where(F.col("b.d") <= far).select(*_pair(F.col("id"), F.col("b.id")))
+    """(a, b): each row with the nearest one of another label that it meets, at most ``far`` bits away, if there is one. In
+    buckets above WIDE_BUCKET members it meets LEADS of them."""
+    cols = [*names, "label"]
+    best = lambda l, own: F.array_min(F.transform(F.filter(l, lambda y: y["label"] != own["label"]), lambda y: F.struct(_bits(own, y, names).alias("d"), y["id"].alias("id"))))  # noqa: E731, E741
+    small = _lists(rows, cols).select(F.explode(F.transform("l", lambda x: F.struct(x["id"].alias("id"), best(F.col("l"), x).alias("b")))).alias("p")).select("p.id", "p.b")
+    large = rows.where(F.col("n") > WIDE_BUCKET)
+    large = large.join(_leads(large, cols), "key").select("id", best(F.col("leads"), F.struct("id", *cols)).alias("b"))
+    return small.unionByName(large).where(F.col("b.d") <= far).groupBy("id").agg(F.min("b").alias("b")).select(*_pair(F.col("id"), F.col("b.id"))).distinct()
 
 
-def _between(rows: DataFrame, names: list[str], near: int, far: int) -> DataFrame:
-    """(a, b): members of a bucket with different labels, at most ``far`` bits apart.
+def _between(rows: DataFrame, names: list[str], far: int) -> DataFrame:
+    """(a, b): members of a bucket with different labels, at most ``far`` bits apart; all such pairs.
 
-    Members of larger buckets are compared with the leads; leads and those within ``near`` bits of one leave, and what is
-    left is a bucket again.
+    Larger buckets are worked off by LEADS members at a time, which are compared with all others of the bucket and leave.
+    Members of the bucket's most frequent label, which may be very many, need not lead: each pair has one that isn't.
     """
     cols, found = [*names, "label"], []
     fits = lambda x, y: (x["label"] != y["label"]) & (_bits(x, y, names) <= far)
     while True:
         one = _lists(rows, cols).select("l", F.posexplode("l").alias("i", "x"))
         found.append(one.select("x", F.explode(F.filter(F.slice("l", F.col("i") + 2, F.lit(WIDE_BUCKET)), lambda y: fits(F.col("x"), y))).alias("y")).select(*_pair(F.col("x.id"), F.col("y.id"))))
-        led = rows.where(F.col("n") > WIDE_BUCKET).join(_leads(rows, cols), "key")
+        large = rows.where(F.col("n") > WIDE_BUCKET)
+        if large.isEmpty():
+            break
+        major = large.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "label")).alias("top")).select("key", F.col("top.label").alias("major"))
+        leads = _leads(large.join(major, "key").where("label != major"), cols)
         me = F.struct("id", *cols)
-        led = led.select("key", "id", *cols, F.filter("leads", lambda y: fits(me, y)).alias("l"), F.exists("leads", lambda y: _bits(None, y, names) <= near).alias("leaves"))
-        led = written(led.withColumn("l", F.transform("l", lambda y: y["id"])), "led")
+        led = large.join(leads, "key").select("key", "id", *cols, F.transform(F.filter("leads", lambda y: fits(me, y)), lambda y: y["id"]).alias("l"), F.exists("leads", lambda y: y["id"] == F.col("id")).alias("leads"))
+        led = written(led, "led")
         found.append(led.select("id", F.explode("l").alias("other")).select(*_pair(F.col("id"), F.col("other"))))
-        left = led.where("NOT leaves")
-        mixed = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        rows = written(left.select("key", "id", *cols).join(mixed, "key"), "mixed")
-        if rows.isEmpty():
-            break
+        rows = written(_mixed(led.where("NOT leads"), names), "mixed")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
@@ -365,8 +379,8 @@ def verified(texts: DataFrame, pairs: DataFrame, n: int, least: float) -> DataFr
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
     """The rows of ``df`` without those of a near-duplicate group whose key isn't the group's smallest."""
-    gone = similar_groups(df, text, key, **how).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone"))
-    return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = similar_groups(df, text, key, **how).where(F.col(key) != F.col("component_id")).select(F.col(key).alias("gone")).alias("gone_keys")
+    return df.join(gone, df[key] == F.col("gone_keys.gone"), "left_anti")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

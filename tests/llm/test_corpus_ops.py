@@ -113,6 +113,61 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs_of, empty):
     assert simhash.keep_first(empty).count() == 0
 
 
+def similar_links(docs, n=5, least=0.8):
+    """Pairs of texts at a Jaccard similarity of ``least`` or more, by an inverted index of their shingles."""
+    sh, by = {}, {}
+    for k, t in docs.items():
+        w = (t or "").encode().lower().split()
+        sh[k] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+        for x in sh[k]:
+            by.setdefault(x, []).append(k)
+    out = set()
+    for k, own in sh.items():
+        common = Counter(j for x in own for j in by[x] if j > k)
+        out |= {(k, j) for j, c in common.items() if c >= least * (len(own) + len(sh[j]) - c)}
+    return out
+
+
+def test_near_dedup_finds_all_links_of_the_table(spark):
+    """Ids divisible by 20 of sf0.01, and all of its links, against all rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    linked = similar_links(texts)
+    want = groups(texts, linked)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert all(got.get(k, k) == want[k] for k in texts if k % 20 == 0)
+    held = sum(got[a] == got[b] for a, b in linked)
+    assert held >= 0.98 * len(linked) and all(want[a] == want[c] for a, c in got.items())
+
+
+def test_near_dedup_in_large_buckets(spark, docs_of, monkeypatch):
+    """More members than a bucket's list or its leads hold, chains of edits among them, and strays around."""
+    monkeypatch.setattr(simhash, "WIDE_BUCKET", 8)
+    monkeypatch.setattr(simhash, "LEADS", 4)
+    r = random.Random(3)
+    base, pairs = words(300, 1), []
+    for i in range(120):  # near copies
+        w = list(base)
+        for _ in range(3):
+            w[r.randrange(300)] = f"x{r.randrange(10**6)}"
+        pairs.append((i, " ".join(w)))
+    w = list(base)
+    for i in range(60):  # a chain, each a few words from the one before
+        for _ in range(4):
+            w[r.randrange(300)] = f"y{r.randrange(10**6)}"
+        pairs.append((1000 + i, " ".join(w)))
+    for i in range(30):  # near in bits, but not similar enough
+        w = list(base)
+        for k in range(0, 300, 24):
+            w[k + r.randrange(5)] = f"z{r.randrange(10**6)}"
+        pairs.append((2000 + i, " ".join(w)))
+    pairs = [p for _, p in sorted((r.random(), p) for p in pairs)]
+    texts = dict(pairs)
+    want = groups(texts, similar_links(texts))
+    got = {x.doc_id: x.component_id for x in simhash.similar_groups(docs_of(pairs)).collect()}
+    assert got == want and 1 < len(set(want.values())) < 60
+
+
 def check_substrings(got, pairs, length=50):
     ws = {k: (t or "").encode().split() for k, t in pairs}
     first = {}
