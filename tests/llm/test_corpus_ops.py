@@ -449,11 +449,53 @@ def test_quality_follows_the_labels(spark):
     assert len(of[0]) > 10 and sum(of[0]) < 0.6 * len(of[0]) and sum(of[1]) >= 0.99 * len(of[1])
 
 
-def test_kneser_ney_is_a_distribution():
-    r = np.random.default_rng(1)
-    codes = np.unique(r.integers(0, 1 << (quality.BITS * quality.ORDER), 5000))
-    t = quality.kneser_ney(codes, r.integers(1, 6, len(codes)).astype(float)).table()
-    assert np.allclose((10**t).reshape(-1, quality.SIGNS).sum(1), 1)
+def brute_kneser_ney(texts, order):
+    """p(sign, what stands before it), by the definition; n-grams count once a text."""
+    seqs = [[0] * (order - 1) + [int(x) for x in quality.signs(np.array([ord(c) for c in t.lower()], np.uint32))] for t in texts]
+    c = {order: Counter(g for s in seqs for g in {tuple(s[i : i + order]) for i in range(len(s) - order + 1)})}
+    for k in range(order - 1, 0, -1):
+        c[k] = Counter(g[1:] for g in c[k + 1])
+    d = {k: [0.0, *quality.discounts(*[float(sum(v == i for v in c[k].values())) for i in (1, 2, 3, 4)])] for k in c}
+
+    def p(sign, before):
+        k = len(before) + 1
+        own = {g: n for g, n in c[k].items() if g[:-1] == before}
+        low = p(sign, before[1:]) if k > 1 else 1 / quality.SIGNS
+        if not own:
+            return low
+        n, total = own.get((*before, sign), 0), sum(own.values())
+        return (n - d[k][min(n, 3)]) / total + sum(d[k][min(x, 3)] for x in own.values()) / total * low
+
+    return p
+
+
+def test_kneser_ney_equals_its_definition(spark):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcd éЖ😀漢") for _ in range(r.randrange(1, 25))) for _ in range(40)]
+    texts = [t for t in texts if zlib.crc32(t.encode()) % 2 == 0]  # of one half: one model
+    model = quality.train(spark.createDataFrame([(t, "xx") for t in texts] + [("ab" * 9, "yy"), (None, None)], "text string, lang string"))
+    lang = 2 * quality.lang_key("xx")
+    codes, own, sizes = quality.ngram_codes([t.encode() for t in texts])
+    one = quality.train(spark.createDataFrame([(t, "xx") for t in texts], "text string, lang string"))
+    p = brute_kneser_ney(texts, quality.ORDER)
+    parts = lambda c: [(int(c) >> quality.BITS * i) & (quality.SIGNS - 1) for i in range(quality.ORDER - 1, -1, -1)]
+    got = one.log10(lang, codes[:150])
+    assert np.allclose(got, [math.log10(p(g[-1], tuple(g[:-1]))) for g in map(parts, codes[:150])], atol=1e-5)
+    assert np.allclose(quality.Lookup(one, 4).log10(lang, codes), one.log10(lang, codes), atol=1e-6)
+    for m in (one, model):
+        for context in (int(codes[7]) >> quality.BITS, int(codes[60]) >> quality.BITS, 0, 123456789):
+            every = np.arange(quality.SIGNS, dtype=np.int64) + (context << quality.BITS)
+            assert abs((10 ** m.log10(lang, every)).sum() - 1) < 1e-4
+    assert sum(sizes) == len(own) == len(codes)
+
+
+def test_quality_judges_a_language_of_few_texts(spark):
+    """Its band is as wide as that of other languages, about its own median."""
+    r = random.Random(9)
+    good = lambda a: " ".join("".join(r.choice(a) for _ in range(3)) for _ in range(80))
+    rows = [(i, good(["ba", "no", "ri", "ta"]), "en") for i in range(200)] + [(1000 + i, good(["ко", "ла", "ми"]), "ru") for i in range(9)] + [(2000, " ".join("".join(r.choice("фщъэюцхжб") for _ in range(6)) for _ in range(80)), "ru")]
+    got = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not got[2000] and sum(got.values()) >= 205
 
 
 def test_pipeline_stages(spark, small):
