@@ -87,7 +87,7 @@ def chunks(texts: Iterable[bytes | None], most: int = 1 << 20) -> Iterator[tuple
 class WordHash(dict):
     """Word -> XXH64 as int, kept for the words of a task; emptied when it grows beyond ``most`` words."""
 
-    def __init__(self, seed: int, most: int = 500_000):
+    def __init__(self, seed: int, most: int = 200_000):
         super().__init__()
         import xxhash
 

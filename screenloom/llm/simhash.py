@@ -183,8 +183,8 @@ def plan(prints: DataFrame, radius: int, words: int = 1) -> Plan:
     return Plan(tuple(map(tuple, best[2])), best[1])
 
 
-def probe_keys(prints: DataFrame, how: Plan, words: int = 1, whole: bool = True) -> DataFrame:
-    """(key, id, f0..) rows, without the fingerprints unless ``whole``. Two rows of one key are within a threshold: values at distance 1 or 2 share a neighbour."""
+def probe_keys(prints: DataFrame, how: Plan, words: int = 1, sent: int | None = None) -> DataFrame:
+    """(key, id, f0..) rows, with the first ``sent`` words of the fingerprints (None: all). Two rows of one key are within a threshold: values at distance 1 or 2 share a neighbour."""
     names = [f"f{k}" for k in range(words)]
     probes = []
     for i, (part, t) in enumerate(zip(how.parts, how.thresholds, strict=True)):
@@ -203,9 +203,9 @@ def probe_keys(prints: DataFrame, how: Plan, words: int = 1, whole: bool = True)
                     for k in range(words):
                         h = mix(h + ((own[:, k] & np.uint64(masks[k] & (1 << 64) - 1)) ^ np.uint64(flip[k] & (1 << 64) - 1)))
                     keys[j] = h
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.tile(ids[at : at + 4096], len(probes)), **{x: np.tile(f[at : at + 4096, k], len(probes)) for k, x in enumerate(names if whole else [])}})
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.tile(ids[at : at + 4096], len(probes)), **{x: np.tile(f[at : at + 4096, k], len(probes)) for k, x in enumerate(names[:sent])}})
 
-    return prints.select("id", *names).mapInPandas(run, ", ".join(["key long", "id long", *(f"{x} long" for x in names if whole)]))
+    return prints.select("id", *names).mapInPandas(run, ", ".join(["key long", "id long", *(f"{x} long" for x in names[:sent])]))
 
 
 def distance(a: str, b: str, words: int):
@@ -265,12 +265,13 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
     return f.join(named, "f0").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least: float = 0.8, words: int = 4, radius: int = 29, far: int = 62, rounds: int = 3) -> DataFrame:
+def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least: float = 0.8, words: int = 3, radius: int = 26, far: int = 48, first: int = 22, rounds: int = 2) -> DataFrame:
     """(key, component_id) of rows in groups of near-duplicates: the Jaccard similarity of their ``n``-word shingles is
     ``least`` or more along links.
 
     Fingerprints of 64 * ``words`` bits meet in a partition (any two within ``radius`` bits do; most others up to
-    similarity ``least`` too), those at most ``far`` bits apart are candidates, and the shingle sets decide. Equal word
+    similarity ``least`` too); those at most ``first`` bits apart in the first 64 and ``far`` bits in all are candidates, and
+    the shingle sets decide. Equal word
     sequences meet first. In each of ``rounds`` every row is tried with the nearest row of another group that it meets, so
     that dense groups grow together by a pair a row; then all rows of a bucket that are still in different groups are
     compared, however large the bucket. Keys are unique integers (another type is an error); rows with null keys or without
@@ -280,25 +281,38 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
     names = [f"f{k}" for k in range(words)]
     f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where(F.col("key").isNotNull() & (F.col("text_key") != F.lit(_NO_WORDS))), "fingerprints")
     reps = written(f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names]), "distinct")
-    how = plan(reps, radius, words)
-    keys = probe_keys(reps, how, words, whole=False)
-    met = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
-    rows = written(met.join(reps.select("id", *names), "id").select("key", "id", *names, "n"), "probes")
+    rows = written(_meeting(probe_keys(reps, plan(reps, radius, words), words, 1), ["f0"], first), "probes")
     whole = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+
+    def linked(pairs):
+        one, two = (reps.select(F.col("id").alias(c), F.struct(*names).alias(f"f{c}")) for c in "ab")
+        near = written(pairs, "pairs").join(one, "a").join(two, "b").where(_bits(F.col("fa"), F.col("fb"), names) <= far).select("a", "b")
+        return written(verified(whole, written(near, "near"), n, least), "links")
+
     links, mixed = None, rows.withColumn("label", F.col("id"))
     for _ in range(rounds):
-        new = written(verified(whole, written(_nearest(mixed, names, far), "nearest"), n, least), "links")
+        new = linked(_nearest(mixed, ["f0"], first))
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        told = rows.join(components(links), F.col("id") == F.col("node"), "left").select("key", "id", *names, F.coalesce("component", "id").alias("label"))
-        mixed = written(_mixed(told, names), "mixed")
-    rest = verified(whole, written(_between(mixed, names, far).distinct(), "pairs"), n, least)
+        told = rows.join(components(links), F.col("id") == F.col("node"), "left").select("key", "id", "f0", F.coalesce("component", "id").alias("label"))
+        mixed = written(_mixed(told, ["f0"]), "mixed")
+    rest = linked(_between(mixed, ["f0"], first).distinct())
     comp = components(rest if links is None else links.unionByName(rest))
     own = reps.join(comp, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("component_id"))
     return f.join(own, "text_key").select(F.col("key").alias(key), "component_id")
 
 
+def _meeting(keys: DataFrame, names: list[str], far: int) -> DataFrame:
+    """The rows of ``keys`` (key, id, names) that share their key, with n, its rows. In buckets of at most WIDE_BUCKET rows
+    only those with another one within ``far`` bits; the members of larger buckets are never gathered."""
+    met = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+    large = F.col("n") > WIDE_BUCKET
+    lists = met.groupBy("key", "n", F.when(large, F.col("id")).alias("alone")).agg(F.collect_list(F.struct("id", *names)).alias("l"))
+    near = F.filter("l", lambda x: large | F.exists("l", lambda y: (x["id"] != y["id"]) & (_bits(x, y, names) <= far)))
+    return lists.select("key", "n", F.explode(near).alias("x")).select("key", "x.*", "n")
+
+
 def _mixed(rows: DataFrame, names: list[str]) -> DataFrame:
     """The rows whose bucket has several labels, with n, its rows."""
     several = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
