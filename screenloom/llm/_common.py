@@ -54,6 +54,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, needed: DataFrame) -> None:
+    """Removes the tables that ``written`` made in this session, but for those that ``needed`` reads."""
+    used = {x.rsplit("/", 2)[-2] for x in needed.inputFiles()}
+    for s, path in list(_written):
+        if s is spark and path.rsplit("/", 1)[-1] not in used:
+            _remove(s, path)
+            _written.remove((s, path))
+
+
 def integer_keys(df: DataFrame, key: str) -> None:
     """An error unless the column ``key`` holds integers: another key cast to a number would be null and lost in silence."""
     kind = df.schema[key].dataType.typeName()

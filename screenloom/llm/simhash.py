@@ -195,15 +195,15 @@ def probe_keys(prints: DataFrame, how: Plan, words: int = 1, sent: int | None =
     def run(batches):
         for pdf in batches:
             ids, f = pdf["id"].to_numpy(), pdf[names].to_numpy(np.int64)
-            for at in range(0, len(ids), 4096):
-                own = f[at : at + 4096].view(np.uint64)
+            for at in range(0, len(ids), 1024):
+                own = f[at : at + 1024].view(np.uint64)
                 keys = np.empty((len(probes), len(own)), np.uint64)
                 for j, (i, masks, flip) in enumerate(probes):
                     h = np.full(len(own), np.uint64(i * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
                     for k in range(words):
                         h = mix(h + ((own[:, k] & np.uint64(masks[k] & (1 << 64) - 1)) ^ np.uint64(flip[k] & (1 << 64) - 1)))
                     keys[j] = h
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.tile(ids[at : at + 4096], len(probes)), **{x: np.tile(f[at : at + 4096, k], len(probes)) for k, x in enumerate(names[:sent])}})
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.tile(ids[at : at + 1024], len(probes)), **{x: np.tile(f[at : at + 1024, k], len(probes)) for k, x in enumerate(names[:sent])}})
 
     return prints.select("id", *names).mapInPandas(run, ", ".join(["key long", "id long", *(f"{x} long" for x in names[:sent])]))
 
@@ -280,7 +280,9 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
     integer_keys(df, key)
     names = [f"f{k}" for k in range(words)]
     f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where(F.col("key").isNotNull() & (F.col("text_key") != F.lit(_NO_WORDS))), "fingerprints")
-    reps = written(f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names]), "distinct")
+    reps = f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names])
+    # A row becomes some two hundred keys next, so the few rows are spread over as many tasks as a shuffle has.
+    reps = written(reps.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"), "distinct")
     rows = written(_meeting(probe_keys(reps, plan(reps, radius, words), words, 1), ["f0"], first), "probes")
     whole = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
