@@ -281,9 +281,10 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
     names = [f"f{k}" for k in range(words)]
     f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where(F.col("key").isNotNull() & (F.col("text_key") != F.lit(_NO_WORDS))), "fingerprints")
     reps = f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names])
-    # A row becomes some two hundred keys next, so the few rows are spread over as many tasks as a shuffle has.
-    reps = written(reps.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id"), "distinct")
-    rows = written(_meeting(probe_keys(reps, plan(reps, radius, words), words, 1), ["f0"], first), "probes")
+    reps = written(reps, "distinct")
+    # A row becomes some two hundred keys, so the few rows are first spread over as many tasks as a shuffle has.
+    spread = reps.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    rows = written(_meeting(probe_keys(spread, plan(reps, radius, words), words, 1), ["f0"], first), "probes")
     whole = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def linked(pairs):
