@@ -63,6 +63,12 @@ def release(spark: SparkSession, needed: DataFrame) -> None:
             _written.remove((s, path))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on at most ``rows`` rows go to Python at a time: whole texts are long, and what a batch takes is held on
+    both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def integer_keys(df: DataFrame, key: str) -> None:
     """An error unless the column ``key`` holds integers: another key cast to a number would be null and lost in silence."""
     kind = df.schema[key].dataType.typeName()
