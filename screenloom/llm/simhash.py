@@ -265,12 +265,12 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", n: i
     return f.join(named, "f0").select(F.col("key").alias(key), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least: float = 0.8, words: int = 3, radius: int = 26, far: int = 48, first: int = 22, rounds: int = 2) -> DataFrame:
+def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: int = 5, least: float = 0.8, words: int = 3, radius: int = 26, far: int = 48, first: int = 36, rounds: int = 2) -> DataFrame:
     """(key, component_id) of rows in groups of near-duplicates: the Jaccard similarity of their ``n``-word shingles is
     ``least`` or more along links.
 
     Fingerprints of 64 * ``words`` bits meet in a partition (any two within ``radius`` bits do; most others up to
-    similarity ``least`` too); those at most ``first`` bits apart in the first 64 and ``far`` bits in all are candidates, and
+    similarity ``least`` too); those at most ``first`` bits apart in the first 128 and ``far`` bits in all are candidates, and
     the shingle sets decide. Equal word
     sequences meet first. In each of ``rounds`` every row is tried with the nearest row of another group that it meets, so
     that dense groups grow together by a pair a row; then all rows of a bucket that are still in different groups are
@@ -279,12 +279,13 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
     """
     integer_keys(df, key)
     names = [f"f{k}" for k in range(words)]
+    short = names[:2]
     f = written(fingerprints(df.select(key, text), text, n, words).select(F.col(key).cast("long").alias("key"), *names, "text_key").where(F.col("key").isNotNull() & (F.col("text_key") != F.lit(_NO_WORDS))), "fingerprints")
     reps = f.groupBy("text_key").agg(F.min(F.struct("key", *names)).alias("r")).select("text_key", F.col("r.key").alias("id"), *[F.col(f"r.{c}") for c in names])
     reps = written(reps, "distinct")
     # A row becomes some two hundred keys, so the few rows are first spread over as many tasks as a shuffle has.
     spread = reps.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    rows = written(_meeting(probe_keys(spread, plan(reps, radius, words), words, 1), ["f0"], first), "probes")
+    rows = written(_meeting(probe_keys(spread, plan(reps, radius, words), words, 2), short, first), "probes")
     whole = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
 
     def linked(pairs):
@@ -294,13 +295,13 @@ def similar_groups(df: DataFrame, text: str = "text", key: str = "doc_id", n: in
 
     links, mixed = None, rows.withColumn("label", F.col("id"))
     for _ in range(rounds):
-        new = linked(_nearest(mixed, ["f0"], first))
+        new = linked(_nearest(mixed, short, first))
         if new.isEmpty():
             break
         links = new if links is None else links.unionByName(new)
-        told = rows.join(components(links), F.col("id") == F.col("node"), "left").select("key", "id", "f0", F.coalesce("component", "id").alias("label"))
-        mixed = written(_mixed(told, ["f0"]), "mixed")
-    rest = linked(_between(mixed, ["f0"], first).distinct())
+        told = rows.join(components(links), F.col("id") == F.col("node"), "left").select("key", "id", *short, F.coalesce("component", "id").alias("label"))
+        mixed = written(_mixed(told, short), "mixed")
+    rest = linked(_between(mixed, short, first).distinct())
     comp = components(rest if links is None else links.unionByName(rest))
     own = reps.join(comp, F.col("id") == F.col("node"), "left").select("text_key", F.coalesce("component", "id").alias("component_id"))
     return f.join(own, "text_key").select(F.col("key").alias(key), "component_id")
@@ -343,14 +344,17 @@ def _pair(a, b):
 
 
 def _nearest(rows: DataFrame, names: list[str], far: int) -> DataFrame:
-    """(a, b): each row with the nearest one of another label that it meets, at most ``far`` bits away, if there is one. In
-    buckets above WIDE_BUCKET members it meets LEADS of them."""
+    """(a, b): each row with one of another label that it meets, at most ``far`` bits away, if there is one: the smallest id
+    of those about as near as the nearest, so that dense groups agree on it. Of buckets above WIDE_BUCKET members a row takes
+    part in its largest, and meets LEADS of them there."""
     cols = [*names, "label"]
-    best = lambda l, own: F.array_min(F.transform(F.filter(l, lambda y: y["label"] != own["label"]), lambda y: F.struct(_bits(own, y, names).alias("d"), y["id"].alias("id"))))  # noqa: E731, E741
+    step = (far + 2) // 3
+    other = lambda l, own: F.filter(l, lambda y: (y["label"] != own["label"]) & (_bits(own, y, names) <= far))  # noqa: E731, E741
+    best = lambda l, own: F.array_min(F.transform(other(l, own), lambda y: F.struct(F.floor(_bits(own, y, names) / step).alias("d"), y["id"].alias("id"))))  # noqa: E731, E741
     small = _lists(rows, cols).select(F.explode(F.transform("l", lambda x: F.struct(x["id"].alias("id"), best(F.col("l"), x).alias("b")))).alias("p")).select("p.id", "p.b")
-    large = rows.where(F.col("n") > WIDE_BUCKET)
+    large = rows.where(F.col("n") > WIDE_BUCKET).groupBy("id").agg(F.max(F.struct("n", "key", *cols)).alias("x")).select("id", "x.*")
     large = large.join(_leads(large, cols), "key").select("id", best(F.col("leads"), F.struct("id", *cols)).alias("b"))
-    return small.unionByName(large).where(F.col("b.d") <= far).groupBy("id").agg(F.min("b").alias("b")).select(*_pair(F.col("id"), F.col("b.id"))).distinct()
+    return small.unionByName(large).where("b IS NOT NULL").groupBy("id").agg(F.min("b").alias("b")).select(*_pair(F.col("id"), F.col("b.id"))).distinct()
 
 
 def _between(rows: DataFrame, names: list[str], far: int) -> DataFrame:
