@@ -91,9 +91,9 @@ def type_sql() -> str:
     return f"CASE {' '.join(out)} WHEN regexp_matches(class_words, '{ad}') OR regexp_matches(own_id, '{ad}') THEN 'ad' WHEN tag IN ('p', 'span', 'div', 'section', 'main') AND coalesce(role, '') IN ('', 'text') THEN 'text' ELSE tag END"
 
 
-BOXES_SQL = """WITH k AS (SELECT greatest(1, count(*) // 10) AS k FROM orders),
-r AS (SELECT *, (l_partkey * 37) % 14 AS gx, (l_suppkey * 53 + l_linenumber * 29) % 10 AS gy, l_orderkey % (SELECT k FROM k) AS screen FROM lineitem),
-boxes AS (
+BOXES_SQL = """WITH k AS MATERIALIZED (SELECT greatest(1, count(*) // 10) AS k FROM orders),
+r AS MATERIALIZED (SELECT *, (l_partkey * 37) % 14 AS gx, (l_suppkey * 53 + l_linenumber * 29) % 10 AS gy, l_orderkey % (SELECT k FROM k) AS screen FROM lineitem),
+boxes AS MATERIALIZED (
   SELECT screen, row_number() OVER (PARTITION BY screen ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS seq,
          gx * 100 + l_suppkey % 9 AS x, gy * 86 + l_partkey % 7 AS y,
          CASE WHEN l_linenumber = 7 THEN 320 + l_partkey % 80 WHEN l_linenumber = 6 THEN 90 + l_partkey % 5 ELSE 70 + l_partkey % 25 END AS w,
@@ -102,19 +102,19 @@ boxes AS (
          l_partkey AS part, l_suppkey AS supp, CAST(l_linenumber AS BIGINT) AS line
   FROM r)"""
 ELEMENTS_SQL = f"""{BOXES_SQL},
-raw AS (
+raw AS MATERIALIZED (
   SELECT *, {sql_pick(TAGS, "part")} AS tag, {sql_pick(ROLES, "supp")} AS role, {sql_pick(WORDS, "part + line")} AS class_words, {sql_pick(IDS, "part + supp")} AS own_id,
          CASE WHEN part % 23 = 0 THEN 'true' END AS aria_hidden, CASE WHEN seq > 0 THEN (seq - 1) // 2 END AS parent,
          'item ' || (part % 100) || ' of lot ' || (supp % 10) AS inner_text, CASE WHEN part % 5 = 0 THEN {sql_pick(CLASSES, "cls")} WHEN part % 5 = 1 THEN 'unknown' END AS label,
          CASE WHEN line % 2 = 0 THEN 'text' ELSE 'submit' END AS kind, part % 31 = 0 AS onclick
   FROM boxes),
-typed AS (SELECT *, {type_sql()} AS type FROM raw),
-elements AS (
+typed AS MATERIALIZED (SELECT *, {type_sql()} AS type FROM raw),
+elements AS MATERIALIZED (
   SELECT *, (type IN ({_quoted(PROTECTED_TYPES)}) OR coalesce(role, '') IN ({_quoted(PROTECTED_ROLES)}) OR tag IN ({_quoted(PROTECTED_TAGS)}) OR onclick) AS protected,
          CASE WHEN lower(coalesce(label, '')) NOT IN ('', 'unknown') THEN label ELSE type END AS klass
   FROM typed)"""
 EVAL_SQL = f"""{BOXES_SQL},
-gt AS (SELECT screen, seq, x, y, w, h, {sql_pick(CLASSES, "cls")} AS label FROM boxes),
-pred AS (SELECT screen, seq, x + supp % 7 - 3 AS x, y + part % 5 - 2 AS y, w, h, {sql_pick(CLASSES, "cls + CASE WHEN part % 11 = 0 THEN 1 ELSE 0 END")} AS label,
+gt AS MATERIALIZED (SELECT screen, seq, x, y, w, h, {sql_pick(CLASSES, "cls")} AS label FROM boxes),
+pred AS MATERIALIZED (SELECT screen, seq, x + supp % 7 - 3 AS x, y + part % 5 - 2 AS y, w, h, {sql_pick(CLASSES, "cls + CASE WHEN part % 11 = 0 THEN 1 ELSE 0 END")} AS label,
                 ((part * 31 + supp * 17) % 1000) / 1000.0 AS score FROM boxes WHERE line <> 5)"""
 INTER_SQL = "greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))"
