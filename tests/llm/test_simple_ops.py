@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 
 import duckdb
 import public_tokenizers
@@ -31,19 +32,57 @@ def test_html_without_article():
     assert html_text.extract(page) == f"{words}\n{words}!"
 
 
-def test_html_scan_is_the_best_region():
-    """The linear scan against all regions."""
+def brute_text(page, weights):
+    """The text of the region that is best of all regions, to the ends of its blocks."""
+    row = html_text.placed(html_text.events(page))
+    score = [0 if k == "break" else weights[k] * (len(t.split()) if k.startswith("word") else 1) for k, t, _ in row]
+    best = max([(0, 0, 0)] + [(sum(score[i:j]), -j, i) for i in range(len(row)) for j in range(i + 1, len(row) + 1)])
+    lo, hi = best[2], -best[1]
+    cuts = [-1] + [i for i, x in enumerate(row) if x[0] == "break"] + [len(row)]
+    lo, hi = max(c for c in cuts if c < lo or c == -1) + 1, min(c for c in cuts if c >= hi)
+    blocks = "".join("\0" if k == "break" else t for k, t, _ in row[lo:hi]).split("\0")
+    return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
+
+
+@pytest.mark.parametrize("rooted", [False, True])
+def test_html_scan_is_the_best_region(rooted):
+    """extract against all regions, with whole weights so that ties are ties."""
     r = random.Random(4)
-    for _ in range(30):
-        page = "".join(r.choice(["<div>", "</div>", "<p>some words here", "<a>link</a>", " more words follow ", "<b>bold</b>"]) for _ in range(25))
-        row = html_text.events(page)
-        score = [0 if k == "break" else html_text.WEIGHTS[k] * (len(t.split()) if t else 1 if k.startswith("tag") else 0) for k, t, _ in row]
-        best = max([0.0] + [sum(score[i:j]) for i in range(len(score)) for j in range(i + 1, len(score) + 1)])
-        run, most = 0.0, 0.0
-        for s in score:
-            run = max(0.0, run + s)
-            most = max(most, run)
-        assert abs(best - most) < 1e-9
+    weights = {k: max(1, round(v)) if k.startswith("word") else min(-1, round(v)) for k, v in html_text.WEIGHTS.items()}
+    parts = ["<div>", "</div>", "<p>some words here", "<a>link</a>", " more words follow ", "<b>bold</b>", "<ul><li>one</ul>"]
+    some = 0
+    for _ in range(60):
+        page = "".join(r.choice(parts + (["<main>", "</main>", "<article>x"] if rooted else [])) for _ in range(30))
+        got = html_text.extract(page, weights)
+        assert got == brute_text(page, weights)
+        some += got not in ("", html_text.extract(f"<p>{page}", dict.fromkeys(weights, 1)))
+    assert some > 20  # the scan leaves something out
+
+
+def test_html_scan_draws_the_bounds_without_known_names():
+    """Menus and links in plain elements, with and without an article around the text."""
+    links = "<div>" + "".join(f"<div><a>Item {i}</a></div>" for i in range(12)) + "</div>"
+    prose = "<p>" + " ".join(f"word{i}" for i in range(30)) + "</p>"
+    text = html_text.extract(prose)
+    for page in (f"{links}<div>{prose}{prose}</div>{links}", f"{links}<article>{prose}{prose}</article>{links}", f"{links}<main>{prose}</main><article>{prose}</article>{links}"):
+        assert html_text.extract(page) == f"{text}\n{text}"
+    assert html_text.extract(f"{links}<article><h1>Short</h1><ul><li>a<li>b</ul></article>{links}") == "Short\na\nb"
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<!", "</", "<a<", "<!--", "<div></b>", "<a><div>", "<div>", "<span>", "<a '\"", "<a '>\" "])
+def test_html_of_a_very_long_broken_page(piece):
+    """Linear time: the square of this many would take hours."""
+    began = time.monotonic()
+    html_text.extract(piece * 100000 + "</a>" * 100000)
+    assert time.monotonic() - began < 60
+
+
+def test_html_tags_with_odd_quotes():
+    x = html_text.extract
+    assert x("<p title='a>b'>one two</p>") == "one two" and x('<p title="a>b" class=\'c"d\'>one two</p>') == "one two"
+    assert x("<p>one <i x='>two three four") == "one two three four"
+    assert x("<p>one < two three</p><!-- <p>no --><p>four five six") == "one < two three\nfour five six"
+    assert x("<p>one two<!-- no") == x("<p>one two<![CDATA[ no") == "one two"
 
 
 def test_html_table(spark, clash):
