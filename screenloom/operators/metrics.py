@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -186,3 +188,32 @@ def summary(long: DataFrame, model: str = "model", metric: str = "metric", value
 
 
 __all__ = ["clamped", "page_cells", "label_cells", "matches", "average_precision", "recall", "assignment", "edit_distances", "summary", "overlapping"]
+
+
+#: Each measure and the names that it may be asked for by.
+ALIASES = {
+    "page_iou": ("page_iou",),
+    "page_recall": ("page_iou_recall", "pageiou_recall", "page_iou_rec"),
+    "label_page_iou": ("label_page_iou", "labelawarepageiou"),
+    "map": ("map", "map_50", "map50"),
+    "recall_label": ("recall", "recall_label", "recall_labelaware"),
+    "recall_any": ("recall_agnostic", "recall_nolabel", "recall_any"),
+    "ned": ("ned", "normalized_edit_distance"),
+}
+
+
+def measure_of(name: Column) -> Column:
+    """The measure that a name asks for; null if there is none."""
+    out = F.lit(None).cast("string")
+    for measure, names in ALIASES.items():
+        out = F.when(name.isin(*names), F.lit(measure)).otherwise(out)
+    return out
+
+
+def measures_of(names: list[str]) -> list[str]:
+    """The measures that names ask for, each once in order; names of none are warned of and skipped."""
+    known = {n: measure for measure, ns in ALIASES.items() for n in ns}
+    for n in names:
+        if n not in known:
+            warnings.warn(f"no measure is named {n!r}", stacklevel=2)
+    return list(dict.fromkeys(known[n] for n in names if n in known))

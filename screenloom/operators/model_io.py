@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
-from ..functions.text import shorten
+from ..functions.text import shorten, strip
 from ..schema import CLASSES, QUALITY
 
 SCALE = 1000.0
@@ -184,6 +184,29 @@ def predicted(df: DataFrame, keys: list[str], predictor: Predictor) -> DataFrame
     return df.mapInPandas(run, schema)
 
 
+def crop_of(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, scale: float = 1.0) -> Column:
+    """The pixels of a box in an image: sides times ``scale``, rounded half to even; a corner left of or above the image moves
+    to its edge without a change of size, and what is beyond the far edges is cut. Null if nothing is left."""
+    x1, y1, w1, h1 = (F.rint(c * scale).cast("long") for c in (x, y, w, h))
+    left, top = F.greatest(x1, F.lit(0)), F.greatest(y1, F.lit(0))
+    right, bottom = F.least(left + w1, width), F.least(top + h1, height)
+    return F.when((right > left) & (bottom > top), F.struct(left.alias("left"), top.alias("top"), (right - left).alias("width"), (bottom - top).alias("height")))
+
+
+def element_texts(elements: DataFrame, keys: list[str], index: str, predictor: Predictor, scale: float = 1.0) -> DataFrame:
+    """keys, element_index and text that a recogniser reads in each element's crop, less what is blank.
+
+    ``elements`` has x, y, w, h, image_width, image_height and what the predictor wants (an image's path or bytes); it gets
+    them with left, top, width and height of the crop, and gives the column text. Crops that hold no pixel aren't sent; a batch
+    that fails gives no texts.
+    """
+    sides = ("left", "top", "width", "height")
+    crop = crop_of(*(F.col(c) for c in ("x", "y", "w", "h", "image_width", "image_height")), scale)
+    asked = elements.drop(*sides).withColumn("_crop", crop).where("_crop IS NOT NULL").withColumns({c: F.col(f"_crop.{c}") for c in sides}).drop("_crop")
+    read = predicted(asked, [*keys, index], predictor).withColumn("text", strip(F.col("text")))
+    return read.where("text <> ''").select(*keys, F.col(index).alias("element_index"), "text")
+
+
 def snippet(tag: Column, attrs: Column, text: Column) -> Column:
     """An element as a line of HTML: known attributes up to 120 characters, its text up to 200."""
     bits = [F.when(F.try_element_at(attrs, F.lit(a)) != "", F.concat(F.lit(f' {a}="'), shorten(F.try_element_at(attrs, F.lit(a)), 120, 117, "...", 0), F.lit('"'))).otherwise(F.lit("")) for a in ("id", "class", "role", "type", "aria-label", "aria-hidden", "href", "value", "name", "placeholder")]

@@ -271,6 +271,19 @@ def snk13(spark, d):
     return j.select("screen", F.size(F.from_json("elements", "array<struct<label:string>>")).cast("long").alias("n"))
 
 
+_SLUG_SQL = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'unknown')[1:{1}]"
+
+
+@query("snk15_run_ids", f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'm0-model' WHEN o_orderkey % 3 = 1 THEN 'm2-' || {_SLUG_SQL.format("o_orderstatus || '_v2'", 20)} || '+' || {_SLUG_SQL.format("o_orderpriority", 20)} ELSE 'm7-a+a+a+a+a+2' END
+|| '_n' || o_custkey || '_ds-' || CASE WHEN o_orderkey % 4 = 0 THEN 'ss-web' WHEN o_orderkey % 4 = 1 THEN 'ss' ELSE 'ss-' || {_SLUG_SQL.format("o_custkey || ' (' || o_orderpriority || ')'", 16)} END || '_map-c55' AS run_id FROM orders""")
+def snk15(spark, d):
+    k = F.col("o_orderkey")
+    models = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.concat("o_orderstatus", F.lit("_v2")), "o_orderpriority")).otherwise(F.array(*[F.lit("A!")] * 7))
+    root = F.when(k % 4 == 1, F.lit("/data/My-WebSet/")).otherwise(F.concat(F.lit("/x/"), F.col("o_custkey"), F.lit(" ("), "o_orderpriority", F.lit(")")))
+    data = sinks.dataset_token(root, "ss", "webset", F.when(k % 4 == 0, F.lit("Web")).otherwise("all"))
+    return table(spark, d, "orders").select("o_orderkey", sinks.run_id(models, F.col("o_custkey"), data, F.lit("c55")).alias("run_id"))
+
+
 @query("snk14_inference_rows", f"{ELEMENTS_SQL} SELECT screen, seq, type, CASE WHEN part % 2 = 0 THEN 'own' ELSE inner_text END AS text FROM elements")
 def snk14(spark, d):
     own = F.when(F.col("part") % 2 == 0, "own").otherwise("")
@@ -617,6 +630,18 @@ def val02(spark, d):
     return validate.checked(_label_files(spark, d)).where("issue <> 'none'").groupBy("issue").agg(F.count("*").alias("n"))
 
 
+@query("val03_data_config", """SELECT 'd' || p_partkey AS path, CASE p_partkey % 4 WHEN 1 THEN 'names' WHEN 2 THEN 'path,train,val,nc,names' ELSE '' END AS missing,
+CASE WHEN p_partkey % 4 <> 2 AND p_partkey % 5 = 0 THEN '/data/' || p_partkey || '/images/val' ELSE '' END AS absent, p_partkey % 4 IN (0, 3) AS valid FROM part""")
+def val03(spark, d):
+    k = F.col("p_partkey")
+    head = F.concat(F.lit("# made by hand\npath: /data/"), k, F.lit("/\ntrain: 'images/train'\nval: images/val  # small\nnc: 2\n"))
+    text = F.when(k % 4 == 0, F.concat(head, F.lit("names:\n  0: a\n  test: b\n"))).when(k % 4 == 1, head).when(k % 4 == 3, F.concat(F.lit('{"path": "/data/'), k, F.lit('", "train": "images/train", "val": "images/val", "nc": 1, "names": ["a"]}'))).otherwise("")
+    p = table(spark, d, "part")
+    there = p.select(F.explode(F.array(*[F.when((k % 5 != 0) | F.lit(s == "train"), F.concat(F.lit("/data/"), k, F.lit(f"/images/{s}"))) for s in ("train", "val")])).alias("path")).where("path IS NOT NULL")
+    got = validate.configs(p.select(F.concat(F.lit("d"), k).alias("path"), text.alias("text")), there)
+    return got.select("path", F.array_join("missing", ",").alias("missing"), F.array_join("absent", ",").alias("absent"), "valid")
+
+
 def _map_sql(schema):
     if schema == "eight":
         cases = " ".join(f"WHEN label IN ({_quoted(v)}) THEN '{k}'" for k, v in EIGHT_OF.items())
@@ -647,6 +672,15 @@ def map03(spark, d):
     return table(spark, d, "part").select("p_partkey", L.ocr_label(pick(("header", "footnote", "chart title", None), F.col("p_partkey"))).alias("label"))
 
 
+@query("ext10_element_texts", f"""{BOXES_SQL}, c AS (SELECT screen, seq, greatest(0, CAST(round_even((x - 200) * 0.5, 0) AS BIGINT)) AS l, greatest(0, CAST(round_even(y * 0.5, 0) AS BIGINT)) AS t, CAST(round_even(w * 0.5, 0) AS BIGINT) AS w, CAST(round_even(h * 0.5, 0) AS BIGINT) AS h FROM boxes)
+SELECT screen, seq AS element_index, l || ',' || t || ',' || (least(l + w, 500) - l) || ',' || (least(t + h, 400) - t) AS text FROM c WHERE least(l + w, 500) > l AND least(t + h, 400) > t AND (l + t) % 3 <> 0""")
+def ext10(spark, d):
+    """The recogniser is a stub that writes the crop it got, with blanks around, or nothing."""
+    read = model_io.CallablePredictor(lambda r: "  " if (r["left"] + r["top"]) % 3 == 0 else f" {r['left']},{r['top']},{r['width']},{r['height']} ", "text string")
+    b = boxes(spark, d).select("screen", "seq", (F.col("x") - 200).alias("x"), "y", "w", "h", F.lit(500).alias("image_width"), F.lit(400).alias("image_height"))
+    return model_io.element_texts(b, ["screen"], "seq", read, 0.5)
+
+
 @query("prd01_answers", f"{BOXES_SQL} SELECT screen, seq, CASE WHEN part % 2 = 0 THEN 'Button' ELSE 'Link' END AS label, round(least(1000, part % 1200) / 1000.0 * {_W}, 6) AS x, round(least(1000, 10 + part % 50) / 1000.0 * {_H}, 6) AS y, 0.25::DOUBLE AS score FROM boxes WHERE part % 4 <> 3")
 def prd01(spark, d):
     b = boxes(spark, d)
@@ -782,6 +816,14 @@ def met12(spark, d):
     return got.groupBy(F.col("label").isNull().alias("failed")).agg(F.count("*").alias("n"))
 
 
+_ASKED = ("page_iou", "page_iou_rec", "labelawarepageiou", "map50", "recall", "recall_nolabel", "normalized_edit_distance", "f1")
+
+
+@query("met13_aliases", """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'page_iou' WHEN 1 THEN 'page_recall' WHEN 2 THEN 'label_page_iou' WHEN 3 THEN 'map' WHEN 4 THEN 'recall_label' WHEN 5 THEN 'recall_any' WHEN 6 THEN 'ned' END AS measure FROM part""")
+def met13(spark, d):
+    return table(spark, d, "part").select("p_partkey", metrics.measure_of(pick(_ASKED, F.col("p_partkey"))).alias("measure"))
+
+
 @query("met14_model_matrix", "SELECT 'm' || (user_id % 3) AS model, event_type AS metric, sum(CAST(round_even(value * 100, 0) AS BIGINT))::BIGINT AS cents FROM events GROUP BY ALL")
 def met14(spark, d):
     return table(spark, d, "events").groupBy(F.concat(F.lit("m"), F.col("user_id") % 3).alias("model"), F.col("event_type").alias("metric")).agg(F.sum(F.rint(F.col("value") * 100).cast("long")).alias("cents"))

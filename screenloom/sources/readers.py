@@ -243,13 +243,23 @@ def png_size(content: Column) -> dict[str, Column]:
 
 
 def class_config(text: str) -> list[str]:
-    """Class names of a list file, a JSON list, or a JSON object with ``categories`` (by id) or ``classes``."""
+    """Class names of a list file, of a JSON or YAML list, or of an object with ``categories`` (by id, those with a name) or ``classes``.
+
+    Text that is neither JSON nor looks like YAML (``classes:`` or a first line that begins with ``- ``) is a list of lines.
+    """
     import json
+    import re
 
     try:
         got = json.loads(text)
     except ValueError:
-        return [x.strip() for x in text.splitlines() if x.strip()]
+        if not re.search(r"(?m)\A(?:\s*(?:#.*)?\n)*- |^classes\s*:", text):
+            return [x.strip() for x in text.splitlines() if x.strip()]
+        try:
+            import yaml
+        except ImportError as e:
+            raise RuntimeError("class files in YAML need PyYAML") from e
+        got = yaml.safe_load(text)
     if isinstance(got, dict) and "categories" in got:
-        return [c["name"] for c in sorted(got["categories"], key=lambda c: c["id"])]
+        return [str(c["name"]) for c in sorted(got["categories"], key=lambda c: c.get("id", 0)) if "name" in c]
     return list(map(str, got["classes"] if isinstance(got, dict) else got))

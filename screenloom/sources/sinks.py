@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,11 +38,30 @@ def prediction_json(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.to_json(F.transform(F.array_sort(F.collect_list(el)), lambda v: v["e"])).alias("elements"))
 
 
-def slug(s: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", s.lower()).strip("-") or "run"
+def slug(c: Column, most: int = 24) -> Column:
+    """Lower case with one hyphen for each run of other signs than a-z and 0-9, none at the ends, ``most`` characters;
+    ``unknown`` if nothing is left."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "-"), "^-|-$", "")
+    return F.when(plain == "", F.lit("unknown")).otherwise(F.substring(plain, 1, most))
+
+
+def models_token(names: Column) -> Column:
+    """The slugs of an array of names with + between, five at most and then how many more; empty names don't count."""
+    some = F.filter(names, lambda x: x != "")
+    shown = F.array_join(F.transform(F.slice(some, 1, 5), lambda x: slug(x, 20)), "+")
+    return F.when(F.coalesce(F.size(some), F.lit(0)) <= 0, F.lit("model")).when(F.size(some) > 5, F.concat_ws("+", shown, F.size(some) - 5)).otherwise(shown)
+
+
+def dataset_token(root: Column, short: str, known: str | None = None, split: Column | None = None, tag: Column | None = None) -> Column:
+    """``short`` and the slug of the root's last name, or ``short`` alone if that holds ``known``; a split other than all
+    stands for the name; a tag follows."""
+    name = slug(F.element_at(F.split(F.regexp_replace(root, "/+$", ""), "/"), -1), 16)
+    base = F.when(name.contains(known), F.lit(short)).otherwise(F.concat_ws("-", F.lit(short), name)) if known else F.concat_ws("-", F.lit(short), name)
+    if split is not None:
+        base = F.when(F.lower(split) != "all", F.concat_ws("-", F.lit(short), F.lower(split))).otherwise(base)
+    return base if tag is None else F.when(F.coalesce(tag, F.lit("")) != "", F.concat_ws("-", base, slug(tag, 8))).otherwise(base)
 
 
-def run_name(models: list[str], datasets: list[str], schema: str) -> str:
-    """A name for a run by its models, data sets and schema; many of a kind are counted."""
-    part = lambda xs, kind: "+".join(slug(x) for x in xs) if len(xs) <= 3 else f"{len(xs)}-{kind}"
-    return "__".join([part(models, "models"), part(datasets, "datasets"), slug(schema)])
+def run_id(models: Column, rows: Column, dataset: Column, schema: Column) -> Column:
+    """The name of a run by its models, number of samples, data set token and schema token."""
+    return F.concat(F.lit("m"), F.greatest(F.coalesce(F.size(models), F.lit(0)), F.lit(0)), F.lit("-"), models_token(models), F.lit("_n"), rows, F.lit("_ds-"), dataset, F.lit("_map-"), schema)
