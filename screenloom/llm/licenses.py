@@ -1,7 +1,8 @@
 """License scans: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance by directory.
 
-DataFrame functions only. The templates are a fixed table, so their term weights are literals of the plan; a line's
-vector is built in its row, without explode or shuffle, and a path join finds the nearest ancestor directory with a licence.
+DataFrame functions only. The templates are a fixed table, so their term weights are literals of the plan; the vector of a
+line, or of a few lines for a wrapped sentence, is built in its row, without explode or shuffle, and a path join finds the
+nearest ancestor directory with a licence.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Headers and opening sentences by SPDX identifier. Several texts may stand for one licence.
+from ._common import written
+
+#: Headers, titles and opening sentences by SPDX identifier. Several texts may stand for one licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
@@ -21,10 +24,17 @@ TEMPLATES = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
@@ -33,6 +43,8 @@ TEMPLATES = (
     ("Proprietary", "All rights reserved. Proprietary and confidential"),
 )
 TERM = r"[^a-z0-9.]+"
+#: A line has to hold one of these to be compared, alone and with the lines around it.
+ANCHOR = r"(?i)licen|copyright|rights|redistribut|permission|domain"
 #: Columns that scan() makes; those of such names in its input give way.
 _MADE = ("own_license", "cosine", "line", "is_license_file", "license", "inherited_from")
 
@@ -67,8 +79,25 @@ def _dot(vector, weights):
     return F.aggregate(vector, F.lit(0.0), lambda a, y: a + y["w"] * F.coalesce(F.element_at(weights, y["t"]), F.lit(0.0)))
 
 
+def candidates(text, span: int = 3):
+    """(i, line) of each line with an anchor, alone and in the runs of ``span`` lines that it is in, which begin at line i; null
+    for a text without any."""
+
+    def of(lines):
+        hits = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(ANCHOR))
+
+        def run(h, back):
+            first = F.greatest(h["i"] - back, F.lit(0))
+            return F.struct(first.alias("i"), F.array_join(F.slice(lines, first + 1, F.lit(span)), " ").alias("line"))
+
+        return F.flatten(F.transform(hits, lambda h: F.array(h, *[run(h, k) for k in range(span)])))
+
+    return F.when(text.rlike(ANCHOR), F.element_at(F.transform(F.array(F.split(text, r"\r?\n")), of), 1))
+
+
 def nearest_template(lines, model: Model):
-    """Of an array of (i, line): the best (cosine, neg_i, neg_o, license), so the first line and template of equals.
+    """Of an array of (i, line): the best (cosine, neg_i, neg_o, license), so the first line and template of equals, and rival, the
+    best cosine of the same lines to another licence's template.
 
     Null for no lines. Each step reads the one before once: higher-order functions have no common subexpressions.
     """
@@ -83,7 +112,10 @@ def nearest_template(lines, model: Model):
         for o, (name, weights) in enumerate(model.rows):
             dot = _dot(x["v"], _literal(weights))
             out.append(F.struct(F.round(dot / F.greatest(x["n"], F.lit(1e-9)), 9).alias("cosine"), (-x["i"]).alias("neg_i"), F.lit(-o).alias("neg_o"), F.lit(name).alias("license")))
-        return F.array_max(F.array(*out))
+        # Bound to a name, as the array is used several times.
+        best = F.transform(F.array(F.array(*out)), lambda a: F.struct(F.array_max(a).alias("b"), a.alias("a")))
+        other = lambda v: F.array_max(F.transform(F.filter(v["a"], lambda o: o["license"] != v["b"]["license"]), lambda o: o["cosine"]))
+        return F.element_at(F.transform(best, lambda v: F.struct(*[v["b"][c].alias(c) for c in ("cosine", "neg_i", "neg_o", "license")], F.coalesce(other(v), F.lit(0.0)).alias("rival"))), 1)
 
     return F.array_max(F.transform(normed, scored))
 
@@ -92,30 +124,29 @@ def directory(path):
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.6, file_words: int = 60, templates=TEMPLATES) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", least: float = 0.6, file_words: int = 60, templates=TEMPLATES, margin: float = 0.02) -> DataFrame:
     """Each row of ``files`` (path, text) without its text, and: own_license, cosine, line, is_license_file, license, inherited_from.
 
-    A line is a candidate if it has a term that only templates' anchors have (licen, copyright, rights, redistribut,
-    permission, domain); its TF-IDF cosine to each template decides, ``least`` or more. own_license is the best line's
-    (the first line and template of equals). A licence file is named LICENSE, LICENCE or COPYING, or has at most
+    A line is a candidate if it holds an anchor (licen, copyright, rights, redistribut, permission, domain), alone and with its
+    neighbours in runs of three lines; the TF-IDF cosine to each template decides, ``least`` or more. own_license is the best
+    candidate's (the first line and template of equals), or none if another licence comes within ``margin`` of it there. A licence file is named LICENSE, LICENCE or COPYING, or has at most
     ``file_words`` words and an own licence. license is own_license, else that of the nearest ancestor directory with a
     licence file (in one directory: the highest cosine, then the smallest path); inherited_from is that directory.
     Columns of these names give way.
-    Null and empty texts have no own licence; null paths count as the top directory; repeated rows each get a row.
+    Null and empty texts have no own licence; null paths count as the top directory; repeated rows each get a row, an empty
+    table none. Texts of any length are compared whole; each is read once, as what is found is written before it is joined.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    anchor = r"(?i)licen|copyright|rights|redistribut|permission|domain"
-    lines = F.filter(F.transform(F.split(whole, r"\r?\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(anchor))
     own = files.select(
         F.struct(*[c for c in files.columns if c != text and (c == path or c not in _MADE)]).alias("_row"),
         F.coalesce(F.col(path), F.lit("")).alias("_path"),
-        nearest_template(lines, Model(templates)).alias("_best"),
+        nearest_template(candidates(whole), Model(templates)).alias("_best"),
         F.size(F.filter(F.split(whole, r"\s+"), lambda w: w != "")).alias("_words"),
     )
-    sure = F.col("_best.cosine") >= least
+    sure = (F.col("_best.cosine") >= least) & (F.col("_best.cosine") - F.col("_best.rival") >= margin)
     own = own.select("_row", "_path", directory(F.col("_path")).alias("_dir"), "_words", *[F.when(sure, F.col(f"_best.{c}")).alias(to) for c, to in (("license", "own_license"), ("cosine", "cosine"), ("neg_i", "_neg"))])
     named = F.col("_path").rlike(r"(?i)(^|/)(licen[sc]e|copying)(\.[a-z]+)?$")
-    own = own.withColumn("is_license_file", F.col("own_license").isNotNull() & (named | (F.col("_words") <= file_words)))
+    own = written(own.withColumn("is_license_file", F.col("own_license").isNotNull() & (named | (F.col("_words") <= file_words))), "licenses")
     # One row a directory with a licence file, whatever the number of its files.
     by_dir = own.where("is_license_file").groupBy(F.col("_dir").alias("_at")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), "_path", "own_license")).alias("_b"))
     # Each directory that holds files, with its ancestors.
