@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ascii_lower
+from ._common import ascii_lower, written
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -68,26 +68,27 @@ def listed_flag(df: DataFrame, listed: DataFrame, key: str, out: str = "listed",
 
     The list goes into a blocked Bloom filter of at most ``max_blocks`` blocks, which is small enough to broadcast for
     any list; a longer list makes more false positives and no other results, for possible hits go on to an exact hash
-    join. Rows that the filter turns away never shuffle. Null keys and empty lists give false; repeated listed keys count once.
+    join. Rows that the filter turns away never shuffle. Null keys and empty lists give false; repeated listed keys count once,
+    repeated rows each get a row, an empty table none, and a column named ``out`` gives way.
     """
     name = listed.columns[0]
-    keys = listed.select(F.col(name).alias("_key")).where(F.col("_key").isNotNull()).distinct()
+    keys = written(listed.select(F.col(name).alias("_key")).where(F.col("_key").isNotNull()).distinct(), "listed")
     n = keys.count()
     blocks = min(max_blocks, 1 << max(4, math.ceil(math.log2(max(1, n) * bits_per_key / (64 * WORDS) + 1))))
-    block, masks = _bits(F.col("_k"), blocks)
-    probe = df.withColumn("_k", F.col(key)).withColumn("_b", block)
-    held = bloom_blocks(keys, "_key", blocks).withColumnRenamed("block", "_b")
+    block, masks = _bits(F.col("k"), blocks)
+    # Rows ride in a struct, so that no name of theirs meets one made here.
+    probe = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out]).alias("row"), F.col(key).alias("k")).withColumn("block", block)
+    held = bloom_blocks(keys, "_key", blocks)
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    marked = probe.join(F.broadcast(held), "_b", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    # Turned away: the key of the exact join is null, which meets nothing and is not sent anywhere near a hot key.
-    asked = marked.withColumn("_ask", F.when(F.col("_hit"), F.col("_k")))
-    exact = asked.where("_hit").select("_ask").distinct().join(keys, F.col("_ask") == F.col("_key"), "left_semi")
-    sure = exact.select(F.col("_ask").alias("_sure"))
-    joined = asked.where("_hit").join(sure, F.col("_ask") == F.col("_sure"), "left").withColumn(out, F.col("_sure").isNotNull())
-    rest = asked.where("NOT _hit").withColumn(out, F.lit(False))
-    return joined.select(*df.columns, out).unionByName(rest.select(*df.columns, out))
+    marked = probe.join(F.broadcast(held), "block", "left").select("row", F.when(F.coalesce(hit, F.lit(False)), F.col("k")).alias("ask"))
+    # Rows turned away don't go on to the exact join, so they are sent nowhere near a hot key.
+    possible = marked.where("ask IS NOT NULL")
+    sure = possible.select("ask").distinct().join(keys, F.col("ask") == F.col("_key"), "left_semi").select(F.col("ask").alias("sure"))
+    joined = possible.join(sure, F.col("ask") == F.col("sure"), "left").select("row", F.col("sure").isNotNull().alias("flag"))
+    rest = marked.where("ask IS NULL").select("row", F.lit(False).alias("flag"))
+    return joined.unionByName(rest).select("row.*", F.col("flag").alias(out))
 
 
 def filter_urls(df: DataFrame, listed: DataFrame, url: str = "url", rules=RULES) -> DataFrame:

@@ -249,3 +249,18 @@ def test_byte_bpe_edges(spark, docs_of, empty, clash):
     want = {hashlib.sha256(t.encode()).hexdigest() for t in ("", "a\x00b", "x " * 200_000)}
     assert {r.decoded_sha256 for r in got} == want
     assert byte_bpe.decode(byte_bpe.encode(empty)).count() == 0
+
+
+def test_listed_urls_against_a_set(spark):
+    """A list with near misses, absent entries, repeats and nulls, and columns of the filter's own names beside the key."""
+    r = random.Random(8)
+    keys = [f"h{r.randrange(40)}.org/p{r.randrange(40)}" for _ in range(3000)]
+    listed = r.sample(keys, 200) + [k + "/" for k in keys[:200]] + [k[:-1] for k in keys[:200]] + ["absent.org", None] + keys[:5]
+    rows = [(k, i, i, i, "x", i, False) for i, k in enumerate([*keys, None, ""])]
+    df = spark.createDataFrame(rows, "url string, k long, block long, w0 long, `row` string, `a.b` long, listed boolean")
+    for most in (url_filter.MAX_BLOCKS, 1):  # one block: nearly every row is a possible hit
+        got = url_filter.listed_flag(df, spark.createDataFrame([(x,) for x in listed], "sure string"), "url", max_blocks=most)
+        assert got.columns == df.columns
+        assert sorted(got.select("k", "url", "w0", "listed").collect()) == sorted((i, k, i, k in set(listed) and k is not None) for k, i, *_ in rows)
+    assert url_filter.listed_flag(df, df.select("url").limit(0), "url").where("listed").count() == 0
+    assert url_filter.listed_flag(df.limit(0), df.select("url"), "url").count() == 0
