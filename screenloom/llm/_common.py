@@ -63,6 +63,15 @@ def release(spark: SparkSession, needed: DataFrame) -> None:
             _written.remove((s, path))
 
 
+def forget(table: DataFrame) -> None:
+    """Removes the table that ``written`` gave; nothing may read it any more."""
+    used = {x.rsplit("/", 2)[-2] for x in table.inputFiles()}
+    for s, path in list(_written):
+        if s is table.sparkSession and path.rsplit("/", 1)[-1] in used:
+            _remove(s, path)
+            _written.remove((s, path))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """From now on at most ``rows`` rows go to Python at a time: whole texts are long, and what a batch takes is held on
     both sides."""

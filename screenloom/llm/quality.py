@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Rolling, WordHash, chunks, mix, written
+from ._common import Rolling, WordHash, chunks, forget, mix, written
 
 #: Characters of the longest n-gram, bits of a character's sign (five fit a long), and slots of a stored array.
 ORDER, BITS, SLOTS = 5, 12, 1 << 19
@@ -195,10 +195,11 @@ def probabilities(counts: DataFrame) -> DataFrame:
     by_order = {ORDER: counts.select("lang", "code", "n")}
     for k in range(ORDER - 1, 0, -1):
         by_order[k] = by_order[k + 1].groupBy("lang", F.col("code").bitwiseAND((1 << BITS * k) - 1).alias("code")).agg(F.count("*").alias("n"))
-    found = None
+    found, made = None, []
     below = None
     for k in range(1, ORDER + 1):
         own = written(by_order[k], "ngrams")
+        made.append(own)
         ns = own.agg(*[F.sum((F.col("n") == i).cast("long")) for i in (1, 2, 3, 4)]).first()
         d = discounts(*[float(x or 0) for x in ns])
         cut = F.when(F.col("n") >= 3, d[2]).when(F.col("n") == 2, d[1]).otherwise(d[0])
@@ -211,6 +212,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
             own = own.join(below.select("lang", F.col("code").alias("rest"), F.col("p").alias("q")), (own["lang"] == below["lang"]) & (F.col("code").bitwiseAND((1 << BITS * (k - 1)) - 1) == F.col("rest")), "left").drop(below["lang"]).drop("rest")
         below = written(own.select(F.lit(k).alias("k"), "lang", "code", "context", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("back") * F.col("q")).alias("p"), "back", "n", "total"), "smoothed")
         found = below if found is None else found.unionByName(below)
+    for own in made:
+        forget(own)
     return found
 
 
@@ -247,21 +250,28 @@ def train(df: DataFrame, text: str = "text", lang: str = "lang") -> KneserNey:
 
 
 def _smoothed(df: DataFrame, text: str, lang: str) -> DataFrame:
-    return probabilities(written(count_ngrams(df, text, lang), "ngram-counts"))
+    counts = written(count_ngrams(df, text, lang), "ngram-counts")
+    out = probabilities(counts)
+    forget(counts)
+    return out
 
 
 def exact(smoothed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(lang, code, v): KneserNey.log10 of the codes of ``asked`` (lang, code; distinct) by all n-grams. Each asks for its
-    n-gram and its context of every order in one join."""
-    grams = smoothed.select("lang", (2 * F.col("k")).alias("at"), F.col("code").alias("g"), F.log10("p").alias("v"))
+    """(lang, code, v): KneserNey.log10 of the codes of ``asked`` (lang, code; distinct) by all n-grams. Codes that are
+    n-grams themselves have their own value; the others ask for their n-grams and contexts of every order in one join."""
+    longest = smoothed.where(F.col("k") == ORDER).select("lang", "code", F.log10("p").alias("v"))
+    tried = written(asked.join(longest, ["lang", "code"], "left"), "tried")
+    rest = tried.where("v IS NULL").select("lang", "code")
+    grams = smoothed.where(F.col("k") < ORDER).select("lang", (2 * F.col("k")).alias("at"), F.col("code").alias("g"), F.log10("p").alias("v"))
     contexts = smoothed.groupBy("lang", (2 * F.col("k") + 1).alias("at"), F.col("context").alias("g")).agg(F.log10(F.max("back")).alias("v"))
     own = lambda k: F.col("code").bitwiseAND((1 << BITS * k) - 1)
-    probes = [F.struct(F.lit(2 * k + of).alias("at"), (F.shiftright(own(k), BITS) if of else own(k)).alias("g")) for k in range(1, ORDER + 1) for of in (0, 1)]
-    got = asked.select("lang", "code", F.explode(F.array(*probes)).alias("x")).select("lang", "code", "x.*").join(grams.unionByName(contexts), ["lang", "at", "g"])
+    probes = [F.struct(F.lit(2 * k + of).alias("at"), (F.shiftright(own(k), BITS) if of else own(k)).alias("g")) for k in range(1, ORDER + 1) for of in (0, 1) if of or k < ORDER]
+    got = rest.select("lang", "code", F.explode(F.array(*probes)).alias("x")).select("lang", "code", "x.*").join(grams.unionByName(contexts), ["lang", "at", "g"])
     is_gram = F.col("at") % 2 == 0
     found = got.groupBy("lang", "code").agg(F.max(F.when(is_gram, F.struct("at", "v"))).alias("top"), F.array_sort(F.collect_list(F.when(~is_gram, F.struct("at", "v")))).alias("backs"))
     after = F.aggregate(F.filter("backs", lambda x: x["at"] > F.coalesce(F.col("top.at") + 1, F.lit(0))), F.lit(0.0), lambda s, x: s + x["v"])
-    return asked.join(found, ["lang", "code"], "left").select("lang", "code", (F.coalesce("top.v", F.lit(float(-np.log10(SIGNS)))) + F.coalesce(after, F.lit(0.0))).alias("v"))
+    lower = rest.join(found, ["lang", "code"], "left").select("lang", "code", (F.coalesce("top.v", F.lit(float(-np.log10(SIGNS)))) + F.coalesce(after, F.lit(0.0))).alias("v"))
+    return tried.where("v IS NOT NULL").unionByName(lower)
 
 
 #: What score leaves for settled: a row's number, its model, the sums and sizes of its stretches, and stretch and code of
@@ -273,11 +283,11 @@ def settled(scored: DataFrame, smoothed: DataFrame) -> DataFrame:
     """``scored`` (written, see score) with the log_ppl of rows with open characters, and without the columns _LEFT."""
     waiting = scored.where("_open_code IS NOT NULL")
     each = waiting.select("_row", F.col("_model").alias("lang"), F.explode(F.arrays_zip("_open_at", "_open_code")).alias("x")).select("_row", "lang", F.col("x._open_at").alias("at"), F.col("x._open_code").alias("code"))
-    each = each.groupBy("_row", "lang", "at", "code").agg(F.count("*").alias("n"))
     values = exact(smoothed, written(each.select("lang", "code").distinct(), "open"))
-    sums = each.join(values, ["lang", "code"]).groupBy("_row", "at").agg(F.sum(F.col("n") * F.col("v")).alias("v")).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("sums"))
-    mean = F.transform(F.arrays_zip("_known", "_size"), lambda x, i: -(x["_known"] + F.coalesce(F.try_element_at("sums", i), F.lit(0.0))) / x["_size"])
-    full = waiting.select("_row", "_known", "_size").join(sums, "_row").select("_row", F.array_sort(mean).alias("l"))
+    got = each.join(values, ["lang", "code"]).groupBy("_row").agg(F.collect_list(F.struct("at", "v")).alias("got"))
+    each_sum = lambda i: F.aggregate(F.filter("got", lambda y: y["at"] == i), F.lit(0.0), lambda s, y: s + y["v"])
+    mean = F.transform(F.arrays_zip("_known", "_size"), lambda x, i: -(x["_known"] + each_sum(i)) / x["_size"])
+    full = waiting.select("_row", "_known", "_size").join(got, "_row").select("_row", F.array_sort(mean).alias("l"))
     full = written(full.select("_row", F.element_at("l", ((F.size("l") + 1) / 2).cast("int")).alias("_ppl")), "settled")
     out = scored.join(full, "_row", "left").withColumn("log_ppl", F.coalesce("log_ppl", "_ppl"))
     return out.drop("_ppl", *_LEFT)
