@@ -523,6 +523,25 @@ def test_quality_loses_no_ngram_to_a_slot(spark, small, monkeypatch):
     assert all(got[k][0] == v[0] and (v[1] is None) == (got[k][1] is None) and abs((v[1] or 0) - (got[k][1] or 0)) < 1e-5 for k, v in want.items())
 
 
+def test_quality_stores_all_ngrams_that_fit_the_places_together(spark):
+    """Places are those of all orders together: a model that fits them is stored whole, and leaves nothing to joins."""
+    r = random.Random(4)
+    texts = [("".join(r.choice("abcdefgh ") for _ in range(60)), "xx") for _ in range(60)]
+    smoothed = quality._smoothed(spark.createDataFrame(texts, "text string, lang string"), "text", "lang").cache()
+    n = smoothed.count() + smoothed.select("k", "lang", "context").distinct().count()
+    model = quality.stored(smoothed, -(-n // (2 * quality.ORDER)))
+    assert sum(map(len, model.hashes + model.context_hashes)) == n and not len(model.lost)
+    codes, _, _ = quality.ngram_codes([t.encode() for t, _ in texts])
+    langs = [2 * quality.lang_key("xx") + half for half in (0, 1)]
+    want = [model.log10(x, codes) for x in langs]
+    assert not np.isnan(want).any()
+    few = quality.stored(smoothed, n // (4 * quality.ORDER))
+    assert 0 < sum(map(len, few.hashes + few.context_hashes)) <= n // 2 and len(few.lost)
+    got = [few.log10(x, codes) for x in langs]
+    assert np.isnan(got).any() and np.allclose(np.where(np.isnan(got), want, got), want, atol=1e-6)
+    smoothed.unpersist()
+
+
 def test_quality_judges_a_language_of_few_texts(spark):
     """Its band is as wide as that of other languages, about its own median."""
     r = random.Random(9)
