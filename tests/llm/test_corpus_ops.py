@@ -542,6 +542,15 @@ def test_quality_stores_all_ngrams_that_fit_the_places_together(spark):
     smoothed.unpersist()
 
 
+def test_quality_stage_leaves_no_model_on_disk(spark, small):
+    """A model that is stored whole leaves its tables before texts are scored, and none are made to settle characters."""
+    from screenloom.llm import _common
+
+    before = {path for _, path in _common._written}
+    quality.keep(spark.read.parquet(f"{small}/documents.parquet"))
+    assert {path.rsplit("/", 1)[-1].split("-")[0] for _, path in _common._written if path not in before} == {"quality", "quartiles", "bands"}
+
+
 def test_quality_judges_a_language_of_few_texts(spark):
     """Its band is as wide as that of other languages, about its own median."""
     r = random.Random(9)
