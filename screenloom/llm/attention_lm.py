@@ -497,6 +497,34 @@ def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarra
     return out
 
 
+def corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(block, i, c, n_tokens, n_words, n_once): for each block and bucket of word hashes, places in the block's list and the
+    corpus counts of these words, as arrays; tokens, words with a count, and those with a count of 1, of a bucket in one of
+    its rows. Words move as arrays, not as rows."""
+
+    def dealt(batches):
+        for pdf in batches:
+            for block, words, counts in zip(pdf["block"], pdf["words"], pdf["counts"], strict=True):
+                h, n = np.asarray(words, np.int64), np.asarray(counts, np.int32)
+                own = h.view(np.uint64) % np.uint64(buckets)
+                order = np.argsort(own, kind="stable").astype(np.int32)
+                parts = np.split(order, np.searchsorted(own[order], np.arange(1, buckets, dtype=np.uint64)))
+                full = [(k, x) for k, x in enumerate(parts) if len(x)]
+                yield pd.DataFrame({"bucket": [k for k, _ in full], "block": block, "i": [x.tobytes() for _, x in full], "h": [h[x].tobytes() for _, x in full], "n": [n[x].tobytes() for _, x in full]})
+
+    def summed(pdf):
+        h, n = np.frombuffer(b"".join(pdf["h"]), np.int64), np.frombuffer(b"".join(pdf["n"]), np.int32)
+        kinds, at = np.unique(h, return_inverse=True)
+        c = np.bincount(at, weights=n, minlength=len(kinds)).astype(np.int64)
+        ends = np.cumsum([len(x) // 8 for x in pdf["h"]])
+        first = np.arange(len(pdf)) == 0
+        each = [x.tobytes() for x in np.split(c[at], ends[:-1])]
+        return pd.DataFrame({"block": pdf["block"], "i": pdf["i"], "c": each, "n_tokens": first * c.sum(), "n_words": first * (c > 0).sum(), "n_once": first * (c == 1).sum()})
+
+    parts = blocks.select("block", "words", "counts").mapInPandas(dealt, "bucket int, block long, i binary, h binary, n binary")
+    return parts.groupBy("bucket").applyInPandas(summed, "block long, i binary, c binary, n_tokens long, n_words long, n_once long")
+
+
 def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str | None = None, pattern: str | None = None, block_bytes: int = 12 << 20) -> DataFrame:
     """For each row of ``df``: key, held_out, n_tokens, n_known, train_tokens, base_score and score; no other columns.
 
@@ -510,14 +538,12 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
     integer_keys(df, key)
     docs = df.select(F.col(key).cast("long").alias("key"), F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").cast("binary").alias("text"))
     blocks = written(_blocks(docs, ranks, pat, block_bytes), "blocks")
-    # Word counts of the corpus: a row for each word and block, summed by hash.
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("i", "x")).select("block", "i", F.col("x.words").alias("h"), F.col("x.counts").alias("n"))
-    corpus = written(words.where("n > 0").groupBy("h").agg(F.sum("n").alias("c")), "word-counts")
-    ends = int(blocks.agg(F.sum("train_texts")).first()[0] or 0)
-    total = corpus.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))).first()
-    n_train, v = int(total[0] or 0) + ends, int(total[1]) + (ends > 0)
+    found = blocks.agg(F.sum("train_texts"), F.count("*")).first()
+    ends = int(found[0] or 0)
+    known = written(corpus_counts(blocks, min(512, max(8, found[1] // 8))), "word-counts")
+    total = known.agg(F.sum("n_tokens"), F.sum("n_words"), F.sum("n_once")).first()
+    n_train, v = int(total[0] or 0) + ends, int(total[1] or 0) + (ends > 0)
     unseen = min(0.5, ((total[2] or 0) + 0.5) / (n_train + 1))  # the mass of unseen words, by Good and Turing
-    known = words.join(corpus, "h").select(F.col("block").alias("at_block"), "i", "c")
     experts = blocks.sparkSession.sparkContext.broadcast(Experts(expert_counts(blocks, clusters(blocks))))
     tokens = expert_tokens(blocks, experts)
     w = train(blocks, experts, tokens, ends)
@@ -529,7 +555,8 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
             b = Block(row)
             keys, nulls = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["nulls"], bool)
             c = np.zeros(len(b.lens))
-            c[counts["i"].to_numpy()] = counts["c"].to_numpy()
+            for i, n in zip(counts["i"], counts["c"], strict=True):
+                c[np.frombuffer(i, np.int32)] = np.frombuffer(n, np.int64)
             own = np.repeat(np.arange(len(b.sizes)), b.sizes)
             base = np.bincount(own, weights=(np.log10(c + 0.5) - below)[b.at], minlength=len(b.sizes)) + np.log10(ends + 0.5) - below
             logs, spelling = experts.value.word_logs(b, np.arange(len(b.lens)))
@@ -550,7 +577,7 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
             out[-1].loc[nulls, "key"] = pd.NA
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    got = blocks.drop("words", "counts").groupBy("block").cogroup(known.groupBy("at_block")).applyInPandas(run, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    got = blocks.drop("words", "counts").groupBy("block").cogroup(known.select(F.col("block").alias("at_block"), "i", "c").groupBy("at_block")).applyInPandas(run, "key long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return got.withColumnRenamed("key", key)
 
 

@@ -418,6 +418,22 @@ def test_lm_beats_the_base_on_held_out_texts(spark, docs_of):
     assert sum(x.score for x in got) > sum(x.base_score for x in got) + 0.15 * sum(x.n_tokens for x in got)
 
 
+def test_lm_corpus_counts_move_as_arrays(spark, small):
+    """Counts of all blocks are those of a plain count, and no step of the query makes a row of each word."""
+    r = random.Random(5)
+    rows = [(b, sorted(r.sample(range(-40, 40), r.randrange(0, 40)))) for b in range(30)]
+    rows = [(b, h, [r.randrange(0, 2) for _ in h]) for b, h in rows]
+    want = Counter()
+    for _, h, n in rows:
+        want.update(dict(zip(h, n, strict=True)))
+    of = {b: h for b, h, _ in rows}
+    got = attention_lm.corpus_counts(spark.createDataFrame(rows, "block long, words array<long>, counts array<int>"), 4).collect()
+    seen = [(x.block, of[x.block][i], int(c)) for x in got for i, c in zip(np.frombuffer(x.i, np.int32), np.frombuffer(x.c, np.int64), strict=True)]
+    assert sorted(seen) == sorted((b, h, want[h]) for b in of for h in of[b])
+    assert [sum(x[k] for x in got) for k in ("n_tokens", "n_words", "n_once")] == [sum(want.values()), sum(n > 0 for n in want.values()), sum(n == 1 for n in want.values())]
+    assert "Generate" not in attention_lm.op5_attention_lm(spark, small)._jdf.queryExecution().toString()
+
+
 def brute_quality(text):
     b = (text or "").encode()
     w = b.split()
