@@ -78,6 +78,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """From now on a query's shuffle files go when it has ended, and not when the driver happens to collect its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def integer_keys(df: DataFrame, key: str) -> None:
     """An error unless the column ``key`` holds integers: another key cast to a number would be null and lost in silence."""
     kind = df.schema[key].dataType.typeName()

@@ -178,6 +178,19 @@ def test_near_dedup_loses_no_link_at_the_threshold(spark, docs_of):
     assert got == {k: k // 2 * 2 for k, _ in pairs}
 
 
+def test_near_dedup_verifies_all_pairs_and_stores_no_sets(spark):
+    """Texts that are in many pairs, on either side; sets of shingles are as large as the texts and aren't written."""
+    from screenloom.llm import _common
+
+    base = words(120, 1)
+    texts = {i: " ".join(base[: 120 - 2 * i] + words(2 * i, 70 + i)) for i in range(14)} | {20: None, 21: "a b", 22: "A  b"}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    before = list(_common._written)
+    got = simhash.verified(spark.createDataFrame(list(texts.items()), "id long, text string"), spark.createDataFrame(pairs, "a long, b long"), 5, 0.8).collect()
+    assert _common._written == before
+    assert sorted(map(tuple, got)) == sorted(similar_links(texts)) and 10 < len(got) < len(pairs)
+
+
 def test_near_dedup_meets_by_rare_shingles(spark, docs_of):
     """A passage that very many unrelated texts begin with brings few of them together; order and sketches lose no pair."""
     head = words(40, 1)
@@ -558,6 +571,24 @@ def test_quality_stores_all_ngrams_that_fit_the_places_together(spark):
     smoothed.unpersist()
 
 
+def test_near_dedup_stage_leaves_no_shuffle_files_and_no_large_tables(spark, small):
+    import time
+
+    from screenloom.llm import _common
+
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: (f := disk.getAllFiles()) and sum(f.apply(i).getName().startswith("shuffle_") for i in range(f.size()))
+    files, before = shuffles(), {path for _, path in _common._written}
+    corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{small}/documents.parquet"), small).write.format("noop").mode("overwrite").save()
+    left = {path.rsplit("/", 1)[-1].rsplit("-", 1)[0] for _, path in _common._written if path not in before}
+    assert left <= {"text-keys", "distinct", "links", "edges"}
+    for _ in range(40):  # files go in the background
+        if shuffles() <= files:
+            break
+        time.sleep(0.5)
+    assert shuffles() <= files
+
+
 def test_quality_stage_leaves_no_model_on_disk(spark, small):
     """A model that is stored whole leaves its tables before texts are scored, and none are made to settle characters."""
     from screenloom.llm import _common
