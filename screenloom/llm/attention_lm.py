@@ -17,8 +17,10 @@ all tasks, so the scores don't depend on how rows are dealt out, and every train
 
 from __future__ import annotations
 
+import copy
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,8 @@ WINDOW, DIM, HIDDEN = 16, EXPERTS, 16
 ROUNDS = 8
 #: Numbers of a text's vector, by which texts are clustered.
 SKETCH = 16
+#: Words of a block's texts that are worked on at a time, since each takes numbers of its own beside those of the list.
+PART = 1 << 17
 #: Share of words of one subword among unseen words.
 SHORT = 0.02
 LN10 = np.log(10.0)
@@ -93,7 +97,7 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
         import xxhash
 
         enc = encoding(ranks, pattern, SUBWORDS)
-        slices = np.array([slice_of(k) for k in keys], np.int64)
+        slices = np.array([slice_of(k) for k in keys], np.int16)
         order = np.argsort(slices, kind="stable")
         keys, slices = [keys[i] for i in order], slices[order]
         # Words without an object each: split at ASCII white space, then numbered.
@@ -110,7 +114,7 @@ def _blocks(docs: DataFrame, ranks: bytes, pattern: str, block_bytes: int) -> Da
             "keys": np.array([-1 if k is None else int(k) for k in keys], np.int64).tobytes(),
             "nulls": np.array([k is None for k in keys], bool).tobytes(),
             "sizes": np.array(sizes, np.int32).tobytes(),
-            "slices": slices.astype(np.int16).tobytes(),
+            "slices": slices.tobytes(),
             "sketch": sketches(subs[np.cumsum(sub_sizes) - sub_sizes][at] if len(at) else at, sizes).tobytes(),
             "sub_sizes": sub_sizes.astype(np.int32).tobytes(),
             "subs": subs.astype(np.int16).tobytes(),
@@ -155,6 +159,17 @@ class Block:
         words = np.flatnonzero(seen)
         return words, np.append(np.cumsum(seen[:-1]) - 1, len(words))
 
+    def parts(self, most: int) -> Iterator[tuple[int, int, Block]]:
+        """(from, to, a block of these texts) with about ``most`` words together; a longer text comes alone and whole."""
+        ends, lo = np.cumsum(self.sizes), 0
+        while lo < len(self.sizes):
+            first = ends[lo] - self.sizes[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, first + most, "right")))
+            part = copy.copy(self)
+            part.texts, part.sizes, part.at = self.texts[lo:hi], self.sizes[lo:hi], self.at[first : ends[hi - 1]]
+            yield lo, hi, part
+            lo = hi
+
     def spelled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(subwords and an END for each of ``words``, what stands before each, words' lengths with the end, is single).
 
@@ -167,7 +182,7 @@ class Block:
         of = np.repeat(np.arange(len(words)), m)
         k = np.arange(m.sum()) - first[of]
         last = k == n[of]
-        seq = np.where(last, END, np.append(self.subs, END).astype(np.int64)[self.starts[words][of] + k])
+        seq = np.where(last, END, np.append(self.subs, END)[self.starts[words][of] + k].astype(np.int64))
         before = np.roll(seq, 1)
         before[first] = np.where(single, END, START)
         return seq, before, m, single
@@ -318,23 +333,28 @@ def expert_counts(blocks: DataFrame, centres: np.ndarray) -> np.ndarray:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 b = Block(row, _TRAIN)
-                # A word once a text: names and frequent words say little of how others are spelled.
-                text = np.repeat(np.arange(len(b.sizes)), b.sizes)
-                pair = np.sort(text * max(len(b.lens), 1) + b.at)
-                pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
-                once = pair % max(len(b.lens), 1)
                 sketch = np.frombuffer(row["sketch"], np.float32).reshape(-1, SKETCH)[b.texts]
-                mine = nearest(sketch, centres)[pair // max(len(b.lens), 1)]
+                n = np.zeros((EXPERTS, max(len(b.lens), 1)), np.int64)
+                for lo, hi, part in b.parts(PART):
+                    # A word once a text: names and frequent words say little of how others are spelled.
+                    pair = np.sort(np.repeat(np.arange(hi - lo), part.sizes) * n.shape[1] + part.at)
+                    pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
+                    n += np.bincount(nearest(sketch[lo:hi], centres)[pair // n.shape[1]] * n.shape[1] + pair % n.shape[1], minlength=n.size).reshape(n.shape)
                 for k in range(EXPERTS):
-                    n = np.bincount(once[mine == k], minlength=len(b.lens))
-                    words = np.flatnonzero(n)
+                    words = np.flatnonzero(n[k])
                     seq, before, m, _ = b.spelled(words)
-                    held[k * VOCAB * VOCAB : (k + 1) * VOCAB * VOCAB] += np.bincount(before * VOCAB + seq, weights=np.repeat(n[words], m), minlength=VOCAB * VOCAB)
+                    held[k * VOCAB * VOCAB : (k + 1) * VOCAB * VOCAB] += np.bincount(before * VOCAB + seq, weights=np.repeat(n[k, words], m), minlength=VOCAB * VOCAB)
         yield _rows(held)
 
     return _summed(blocks.select("sketch", *_columns(_TRAIN)), run, EXPERTS * VOCAB * VOCAB)
 
 
+def _some(words: np.ndarray, most: int = 1 << 15) -> Iterator[np.ndarray]:
+    """At most ``most`` of the words at a time, since a word takes several numbers for each expert."""
+    for at in range(0, len(words), most):
+        yield words[at : at + most]
+
+
 def expert_tokens(blocks: DataFrame, experts) -> np.ndarray:
     """Training words of each expert, each split by Bayes' rule."""
 
@@ -344,8 +364,8 @@ def expert_tokens(blocks: DataFrame, experts) -> np.ndarray:
             for row in pdf.to_dict("records"):
                 b = Block(row | {f"at{r}": _NONE for r in range(ROUNDS + 1)})
                 n = np.asarray(row["counts"], float)
-                words = np.flatnonzero(n)
-                total += experts.value.posterior(experts.value.word_logs(b, words)[0]) @ n[words]
+                for words in _some(np.flatnonzero(n)):
+                    total += experts.value.posterior(experts.value.word_logs(b, words)[0]) @ n[words]
         yield pd.DataFrame({"k": np.arange(EXPERTS), "n": total})
 
     return _summed(blocks.select("sizes", "slices", "sub_sizes", "subs", "counts"), run, EXPERTS)
@@ -486,10 +506,17 @@ def train(blocks: DataFrame, experts, tokens: np.ndarray, ends: int, batch: int
 
 def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarray, per_word: np.ndarray, some: int = 4096) -> np.ndarray:
     """ln probability of each target. ``per_word``: (EXPERTS, words) ln probabilities."""
-    out = np.zeros(len(places))
+    return _scored(w, flat, places, goal, *_scaled(per_word), pair_scores(w), some)
+
+
+def _scaled(per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(what each expert gives a word, and the end, by the most that one gives; the ln of that)."""
     top = per_word.max(0) if per_word.size else np.zeros(per_word.shape[1])
-    share = with_end(np.exp(per_word - top))
-    top, scores = np.append(top, 0.0), pair_scores(w)
+    return with_end(np.exp(per_word - top)), np.append(top, 0.0)
+
+
+def _scored(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarray, share: np.ndarray, top: np.ndarray, scores: tuple, some: int = 4096) -> np.ndarray:
+    out = np.zeros(len(places))
     for at in range(0, len(places), some):
         z, _ = forward(w, windows(flat, places[at : at + some]), scores)
         own = goal[at : at + some]
@@ -497,6 +524,32 @@ def target_scores(w: dict, flat: np.ndarray, places: np.ndarray, goal: np.ndarra
     return out
 
 
+def word_scores(experts: Experts, b: Block, c: np.ndarray, tokens: np.ndarray, unseen: float) -> np.ndarray:
+    """(EXPERTS, words) ln probabilities of the list's words, of corpus counts ``c``: of seen words, their share of each
+    expert's training words; of all, what is left for the ``unseen``, spelled."""
+    out = np.empty((EXPERTS, len(b.lens)))
+    for words in _some(np.arange(len(b.lens))):
+        logs, spelling = experts.word_logs(b, words)
+        share = np.log(np.maximum(experts.posterior(logs), 1e-30)) + np.log(np.maximum(c[words], 1e-30)) - np.log(np.maximum(tokens, 1e-9))[:, None] + np.log1p(-unseen)
+        out[:, words] = np.logaddexp(share, spelling + np.log(unseen))
+    return out
+
+
+def text_scores(w: dict, b: Block, c: np.ndarray, per_word: np.ndarray, most: int = PART) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text of ``b``: the sum of log10(c + 0.5) over its words, how many of these have a count, and its ln
+    probability with its end. What a word takes in its text is held for about ``most`` words at a time."""
+    base, known, own = (np.zeros(len(b.sizes)) for _ in range(3))
+    logs, seen, scores = np.log10(c + 0.5), c > 0, pair_scores(w)
+    share, top = _scaled(per_word)
+    for lo, hi, part in b.parts(most):
+        of = np.repeat(np.arange(hi - lo), part.sizes)
+        base[lo:hi] = np.bincount(of, weights=logs[part.at], minlength=hi - lo)
+        known[lo:hi] = np.bincount(of, weights=seen[part.at], minlength=hi - lo)
+        of = np.repeat(np.arange(hi - lo), part.sizes + 1)
+        own[lo:hi] = np.bincount(of, weights=_scored(w, *part.targets(), share, top, scores), minlength=hi - lo)
+    return base, known.astype(np.int64), own
+
+
 def corpus_counts(blocks: DataFrame, buckets: int) -> DataFrame:
     """(block, i, c, n_tokens, n_words, n_once): for each block and bucket of word hashes, places in the block's list and the
     corpus counts of these words, as arrays; tokens, words with a count, and those with a count of 1, of a bucket in one of
@@ -557,22 +610,15 @@ def score(df: DataFrame, text: str = "text", key: str = "doc_id", rank_file: str
             c = np.zeros(len(b.lens))
             for i, n in zip(counts["i"], counts["c"], strict=True):
                 c[np.frombuffer(i, np.int32)] = np.frombuffer(n, np.int64)
-            own = np.repeat(np.arange(len(b.sizes)), b.sizes)
-            base = np.bincount(own, weights=(np.log10(c + 0.5) - below)[b.at], minlength=len(b.sizes)) + np.log10(ends + 0.5) - below
-            logs, spelling = experts.value.word_logs(b, np.arange(len(b.lens)))
-            # Of seen words, their share of each expert's training words; of all, what is left for the unseen, spelled.
-            share = np.log(np.maximum(experts.value.posterior(logs), 1e-30)) + np.log(np.maximum(c, 1e-30)) - np.log(np.maximum(tokens, 1e-9))[:, None] + np.log1p(-unseen)
-            flat, places, goal = b.targets()
-            targets = np.repeat(np.arange(len(b.sizes)), b.sizes + 1)
-            each = target_scores(w, flat, places, goal, np.logaddexp(share, spelling + np.log(unseen)))
+            base, n_known, each = text_scores(w, b, c, word_scores(experts.value, b, c, tokens, unseen))
             out.append(pd.DataFrame({
                 "key": pd.array(np.where(nulls, 0, keys), "Int64"),
                 "held_out": np.array([bool(n) or held_out(k) for k, n in zip(keys.tolist(), nulls.tolist(), strict=True)], bool),
                 "n_tokens": b.sizes + 1,
-                "n_known": np.bincount(own, weights=c[b.at] > 0, minlength=len(b.sizes)).astype(np.int64) + (ends > 0),
+                "n_known": n_known + (ends > 0),
                 "train_tokens": n_train,
-                "base_score": base,
-                "score": np.bincount(targets, weights=each, minlength=len(b.sizes)) / LN10,
+                "base_score": base + np.log10(ends + 0.5) - below * (b.sizes + 1),
+                "score": each / LN10,
             }))
             out[-1].loc[nulls, "key"] = pd.NA
         return pd.concat(out) if out else pd.DataFrame(columns=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

@@ -410,6 +410,35 @@ def test_lm_scores_equal_a_plain_loop():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_lm_scores_texts_in_parts_of_a_block():
+    """The same as over the whole block, at a part of its memory; texts without words, and longer than a part."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    m = attention_lm
+    experts = m.Experts(rng.integers(0, 3, (m.EXPERTS, m.VOCAB, m.VOCAB)).ravel().astype(float))
+    w = m.start_weights(experts.use, rng.dirichlet(np.ones(m.EXPERTS + 1)))
+    subs = [rng.integers(0, m.SUBWORDS, 1 + i % 4).tolist() for i in range(300)]
+    texts = [rng.integers(0, 300, n) for n in (0, 700, 0, 30_000, *[500] * 1200, 0)]
+    b, c, tokens = m.Block(lm_block(texts, subs)), rng.integers(0, 3, 300), np.full(m.EXPERTS, 9.0)
+    assert [x for lo, hi, _ in b.parts(10_000) for x in range(lo, hi)] == list(range(len(texts)))
+
+    def held(f):
+        tracemalloc.start()
+        out = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+
+    per_word = m.word_scores(experts, b, c, tokens, 0.01)
+    each, whole = held(lambda: m.target_scores(w, *b.targets(), per_word))
+    (base, known, own), parts = held(lambda: m.text_scores(w, b, c, per_word, most=10_000))
+    of = np.repeat(np.arange(len(texts)), b.sizes + 1)
+    assert np.allclose(own, np.bincount(of, weights=each, minlength=len(texts)), rtol=1e-5)
+    assert np.allclose(base, [np.log10(c[t] + 0.5).sum() for t in texts]) and known.tolist() == [(c[t] > 0).sum() for t in texts]
+    assert parts < 0.5 * whole
+
+
 def test_lm_scores_do_not_depend_on_partitions(spark, docs_of):
     r = random.Random(5)
     docs = docs_of([(i, " ".join(f"{r.choice('abcd')}{r.choice('xyz') if i % 2 else r.choice('uvw')}{r.randrange(30)}" for _ in range(80))) for i in range(120)])
