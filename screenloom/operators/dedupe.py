@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -41,24 +42,116 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+#: Fixed sizes: hashes of a bucket that one call compares, and pairs that are held at a time.
+BLOCK, HELD = 1 << 16, 1 << 20
+
+
+def _spread(n: int, radius: int) -> list[list[int]]:
+    """The masks of 64 bits' ``n`` bands, each as ``radius`` + 1 masks: bits are dealt out in turn, so bits that never
+    differ take a little from every band."""
+    return [[sum(1 << i for i in range(64) if i % n == k and i // n % (radius + 1) == j) for j in range(radius + 1)] for k in range(n)]
+
+
+def _packed(h: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of ``mask``, next to each other."""
+    out = np.zeros(len(h), np.int64)
+    for k, i in enumerate(i for i in range(64) if mask >> i & 1):
+        out |= ((h >> np.uint64(i)) & np.uint64(1)).astype(np.int64) << k
+    return out
+
+
+def _near(a: np.ndarray, b: np.ndarray, free: list[int], errors: int, radius: int):
+    """Hashes (x, y) of the pairs of ``a`` and ``b`` at most ``errors`` bits apart on the bits ``free`` and at most ``radius``
+    in all, some at a time; if ``b`` is ``a``, each pair once. ``b`` is indexed by the free bits, and each of ``a`` looks up
+    the values near its own."""
+    mask, n, same = sum(1 << i for i in free), len(free), a is b
+    if len(a) * len(b) <= HELD >> 3:
+        i, j = np.triu_indices(len(a), 1) if same else (x.ravel() for x in np.indices((len(a), len(b))))
+        ok = (np.bitwise_count((a[i] ^ b[j]) & np.uint64(mask)) <= errors) & (np.bitwise_count(a[i] ^ b[j]) <= radius)
+        yield a[i[ok]], b[j[ok]]
+        return
+
+    def ordered(h):
+        bits = _packed(h, mask)
+        order = np.argsort(bits, kind="stable")
+        return h[order], bits[order]
+
+    (a, key_a), (b, key_b) = (ordered(a),) * 2 if same else (ordered(a), ordered(b))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(key_b, minlength=1 << n))])
+    for flips in (sum(1 << i for i in c) for e in range(errors + 1) for c in itertools.combinations(range(n), e)):
+        rows = np.flatnonzero(key_a & (1 << flips.bit_length() >> 1) == 0) if same and flips else np.arange(len(a))
+        look = key_a[rows] ^ flips
+        start = np.maximum(ends[look], rows + 1) if same and not flips else ends[look]
+        size = ends[look + 1] - start
+        total = np.cumsum(size)
+        at = 0
+        while at < len(rows):  # a slice has HELD pairs at most, or is one hash with a block
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + HELD, "right")))
+            k = size[at:to]
+            x = np.repeat(a[rows[at:to]], k)
+            y = b[np.arange(len(x)) + np.repeat(start[at:to] - (np.cumsum(k) - k), k)]
+            ok = np.bitwise_count(x ^ y) <= radius
+            yield x[ok], y[ok]
+            at = to
+
+
 def within_radius(df: DataFrame, key: str, hash_: str = "hash", radius: int = 8) -> DataFrame:
     """Pairs (hash_a < hash_b, distance) of distinct hashes at most ``radius`` bits apart.
 
-    Two such hashes agree in one of ``radius`` + 1 bands at least, so an equi-join on (band, bits) finds them all; a pair
-    counts in its first common band. Rows of one hash meet before, so copies make no pairs.
+    Of n bands of bits with n * (e + 1) > ``radius``, one of two such hashes' differs in e bits at most, and so one of its
+    e + 1 parts in none: hashes are dealt out by the (band, part, bits) that they have, and in a bucket those that also
+    agree on the band's other bits, but for e of them, are looked up and compared. A pair counts in the first bucket that
+    gives it. Buckets of over BLOCK hashes are dealt out as pairs of blocks. Rows of one hash meet before, so copies make
+    no pairs.
     """
-    reps = df.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct()
-    n = radius + 1
-    widths = [64 // n + (i < 64 % n) for i in range(n)]
-    starts = np.cumsum([0, *widths[:-1]]).tolist()
-    masks = [((1 << w) - 1) << s for w, s in zip(widths, starts, strict=True)]
+    e = 2 if radius >= 8 else 1 if radius >= 3 else 0
+    n = radius // (e + 1) + 1
+    masks = [m for band in _spread(n, e) for m in band]
     signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
-    bands = reps.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("band", "bits"))
-    a, b = bands.select(F.col("h").alias("hash_a"), "band", "bits"), bands.select(F.col("h").alias("hash_b"), "band", "bits")
-    x = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
-    first = F.array_position(F.array(*[x.bitwiseAND(F.lit(m).cast("long")) == 0 for m in signed]), F.lit(True)) - 1
-    pairs = a.join(b, ["band", "bits"]).where((F.col("hash_a") < F.col("hash_b")) & (F.bit_count(x) <= radius) & (first == F.col("band")))
-    return pairs.select("hash_a", "hash_b", F.bit_count(x).alias("distance"))
+    reps = _written(df.where(F.col(hash_).isNotNull()).select(F.col(hash_).alias("h")).distinct(), "hashes")
+    rows = reps.select("h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("part", "bits"))
+    # The few buckets that are larger than a block, if there are any: at most (e + 1) * n * reps / BLOCK rows.
+    large = rows.groupBy("part", "bits").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("part", "bits", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large = _written(large, "large")
+    rows = rows.join(F.broadcast(large), ["part", "bits"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    turn = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", turn).select("part", "bits", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "h")
+    bucket = ["part", "bits", "lo", "hi"]
+
+    def compared(part: int, lo: int, hi: int, own: np.ndarray, h: np.ndarray):
+        band, done = part // (e + 1), [np.uint64(m) for m in masks[:part]]
+        rest = [i for i in range(64) if i % n == band and not masks[part] >> i & 1]
+        left, right = (h, h) if lo == hi else (h[own == lo], h[own == hi])
+        for x, y in _near(left, right, rest, e, radius):
+            v = x ^ y
+            first = np.ones(len(x), bool)
+            for q, m in enumerate(done):  # another bucket before gave the pair
+                whole = np.uint64(sum(masks[q // (e + 1) * (e + 1) :][: e + 1]))
+                first &= ~((v & m == 0) & (np.bitwise_count(v & whole) <= e))
+            x, y, v = x[first].view(np.int64), y[first].view(np.int64), v[first]
+            if len(x):
+                yield pd.DataFrame({"hash_a": np.minimum(x, y), "hash_b": np.maximum(x, y), "distance": np.bitwise_count(v).astype(np.int32)})
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+        for pdf in batches:
+            keys = pdf[bucket].to_numpy(np.int64)
+            h, own = pdf["h"].to_numpy(np.int64).view(np.uint64), pdf["own"].to_numpy()
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(h)], strict=True):
+                if a == b:
+                    continue
+                if held and tuple(keys[a]) != now:
+                    yield from compared(now[0], now[2], now[3], *map(np.concatenate, zip(*held, strict=True)))
+                    held = []
+                now = tuple(keys[a].tolist())
+                held.append((own[a:b], h[a:b]))
+        if held:
+            yield from compared(now[0], now[2], now[3], *map(np.concatenate, zip(*held, strict=True)))
+
+    return rows.repartition(*bucket).sortWithinPartitions(*bucket).mapInPandas(run, "hash_a bigint, hash_b bigint, distance int")
 
 
 _own_dir: dict[str, str] = {}

@@ -154,6 +154,40 @@ def test_radius_join_and_groups(spark):
     assert {(x.id, x.group_id) for x in dedupe.duplicate_groups(df, "id").collect()} == {(i, g) for i, g in group.items() if sizes[g] > 1}
 
 
+@pytest.mark.parametrize("radius,block,held", [(8, 64, 256), (4, 64, 256), (63, 1 << 16, 1 << 20)])
+def test_radius_join_by_index_and_blocks(spark, monkeypatch, radius, block, held):
+    """Small limits make buckets be dealt out as blocks and looked up by index; each pair comes once."""
+    monkeypatch.setattr(dedupe, "BLOCK", block)
+    monkeypatch.setattr(dedupe, "HELD", held)
+    r = random.Random(3)
+    hashes = [r.getrandbits(64) - (1 << 63) for _ in range(60)]
+    for h in list(hashes):
+        for k in range(0, 14, 2):
+            x = h & (1 << 64) - 1
+            for b in r.sample(range(64), k):
+                x ^= 1 << b
+            hashes.append(x - (1 << 64) if x >> 63 else x)
+    got = [tuple(x) for x in dedupe.within_radius(spark.createDataFrame(list(enumerate(hashes)), "id long, hash long"), "id", radius=radius).collect()]
+    all_ = np.unique(np.array(hashes, np.int64))
+    v = np.bitwise_count((all_[:, None] ^ all_[None, :]).view(np.uint64))  # of a negative number it counts the absolute value's
+    i, j = np.nonzero(np.triu(v <= radius, 1))
+    assert len(got) == len(set(got)) and set(got) == set(zip(all_[i].tolist(), all_[j].tolist(), v[i, j].tolist(), strict=True))
+
+
+def test_radius_join_compares_few_pairs(monkeypatch):
+    """A look-up compares a small share of a bucket's pairs, and holds some of them at a time."""
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 20000).astype(np.uint64))
+    seen = []
+    count = np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: (seen.append(x.size), count(x))[1])
+    mask = sum(1 << i for i in range(14))
+    got = {tuple(sorted(p)) for x, y in dedupe._near(h, h, list(range(14)), 2, 18) for p in zip(x.tolist(), y.tolist(), strict=True)}
+    assert sum(seen) < len(h) ** 2 / 200 and max(seen) <= dedupe.HELD
+    v = h[:300, None] ^ h[None, :]
+    i, j = np.nonzero((count(v) <= 18) & (count(v & np.uint64(mask)) <= 2) & (v > 0))
+    assert {tuple(sorted((int(h[a]), int(h[b])))) for a, b in zip(i, j, strict=True)} == {p for p in got if p[0] in set(h[:300].tolist()) or p[1] in set(h[:300].tolist())}
+
+
 def test_long_chain_is_one_component(spark):
     got = dedupe.connected(spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")), "a", "b")
     assert {r.component for r in got.collect()} == {0} and got.count() == 61
