@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import Box, overlapping
 from ..functions.text import normalize
+from .dedupe import _written
 from .filters import _ious, edges
 from .grouped import per_group
 
@@ -97,16 +98,30 @@ def matches(gt: DataFrame, pred: DataFrame, keys: list[str], threshold: float =
 def average_precision(pairs: DataFrame, totals: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """by, n_gt, ap: of (by, score, tp) against truths counted in ``totals`` (by, n_gt), by the envelope of precision.
 
-    Equal scores are taken in ``order``. Without truths 1, with truths and no predictions 0. Running counts per label are
-    windows: a label's predictions are sorted on one task and spill there, as their order is what is measured.
+    Equal scores are taken in ``order``. Without truths 1, with truths and no predictions 0. Predictions are dealt out by
+    ranges of (by, falling score, order): a range counts its own, and sums and maxima of a label's other ranges, a row
+    each, are added. So no task holds a whole label. Null is a label like others.
     """
-    ranked = Window.partitionBy(*by).orderBy(F.desc("score"), *order)
-    up, down = ranked.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*by).orderBy(F.asc("rn")).rowsBetween(0, Window.unboundedFollowing)
-    run = pairs.withColumns({"rn": F.row_number().over(ranked), "tps": F.sum(F.col("tp").cast("long")).over(up)})
-    env = run.withColumn("env", F.max(F.col("tps") / F.col("rn")).over(down)).where("tp")
-    area = env.groupBy(*by).agg(F.sum("env").alias("area"))
-    had = pairs.select(*by).distinct()
-    all_ = totals.select(*by).union(had).distinct().join(totals, by, "left").join(area, by, "left")
+    slim = _written(pairs.select(*by, "score", *order, "tp"), "pairs")
+    ranged = _written(slim.repartitionByRange(*by, F.desc("score"), *order).withColumn("_part", F.spark_partition_id()), "ranked")
+    key = ["_part", *by]
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy(*key).agg(F.count("*").alias("_n"), F.count_if("tp").alias("_t"))
+    parts = parts.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b{k}") for k, c in enumerate(by)], *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", "_t")])
+    meets = lambda: [F.col("_part") == F.col("_p"), *[F.col(c).eqNullSafe(F.col(f"_b{k}")) for k, c in enumerate(by)]]
+    ranked = Window.partitionBy(*key).orderBy(F.desc("score"), *order)
+    run = ranged.withColumns({"_rn": F.row_number().over(ranked), "_tps": F.sum(F.col("tp").cast("long")).over(ranked.rowsBetween(Window.unboundedPreceding, 0))}).where("tp")
+    # The envelope at a true positive is the best precision of those from it on.
+    run = _written(run.join(F.broadcast(parts), meets()).select(*key, (F.col("_n") + F.col("_rn")).alias("_rn"), ((F.col("_t") + F.col("_tps")) / (F.col("_n") + F.col("_rn"))).alias("_v")), "precisions")
+    after = Window.partitionBy(*[f"_b{k}" for k in range(len(by))]).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    best = run.groupBy(*key).agg(F.max("_v").alias("_v")).select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_b{k}") for k, c in enumerate(by)], F.col("_v").alias("_best"))
+    best = best.withColumn("_later", F.max("_best").over(after)).drop("_best")
+    down = Window.partitionBy(*key).orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
+    env = run.withColumn("_env", F.max("_v").over(down)).join(F.broadcast(best), meets())
+    none = lambda kind: F.lit(None).cast(kind)
+    area = env.groupBy(*by).agg(none("bigint").alias("n_gt"), F.sum(F.greatest("_env", "_later")).alias("area"))
+    had = slim.select(*by).distinct().select(*by, none("bigint").alias("n_gt"), none("double").alias("area"))
+    all_ = totals.select(*by, "n_gt", none("double").alias("area")).union(had).union(area).groupBy(*by).agg(F.max("n_gt").alias("n_gt"), F.max("area").alias("area"))
     n = F.coalesce("n_gt", F.lit(0))
     return all_.select(*by, n.alias("n_gt"), F.when(n == 0, 1.0).otherwise(F.coalesce("area", F.lit(0.0)) / n).alias("ap"))
 

@@ -233,6 +233,27 @@ def test_matching_ties_and_nulls(spark):
     assert {(r.label, r.n_gt, round(r.ap, 3)) for r in ap.collect()} == {("A", 2, 1.0), ("B", 1, 0.0), ("C", 0, 1.0)}
 
 
+def test_average_precision_over_ranges(spark):
+    """A label's predictions lie in several ranges; ties, nulls and a null label are ranked as one by one."""
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", None]) if i % 50 else "d", r.choice([None, 0.1, 0.5, 0.9]) if i % 3 else r.random(), i % 17, i, r.random() < 0.3) for i in range(900)]
+    n_gt = {"a": 400, "b": 300, None: 200, "z": 5}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ap = metrics.average_precision(spark.createDataFrame(rows, "label string, score double, screen long, seq long, tp boolean"), spark.createDataFrame(list(n_gt.items()), "label string, n_gt long"), ["label"], ["screen", "seq"])
+        got = {x.label: (x.n_gt, round(x.ap, 9)) for x in ap.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for label in (*n_gt, "d"):
+        own = sorted((x for x in rows if x[0] == label), key=lambda x: (x[1] is None, -(x[1] or 0), x[2], x[3]))
+        tps = np.cumsum([x[4] for x in own]) if own else np.zeros(0)
+        env = np.maximum.accumulate((tps / np.arange(1, len(own) + 1))[::-1])[::-1]
+        n = n_gt.get(label, 0)
+        want[label] = (n, round(float(sum(v for v, x in zip(env, own, strict=True) if x[4])) / n, 9) if n else 1.0)
+    assert got == want
+
+
 def test_edit_distance_counts_missing_but_not_spare(spark):
     t = BOX + ", text string"
     gt = spark.createDataFrame([(0, 0, 0, 0, 9, 9, "Abc"), (0, 1, 0, 0, 9, 9, "xyz"), (1, 0, 0, 0, 9, 9, "q"), (2, 0, 0, 0, 9, 9, " ")], t)
