@@ -233,6 +233,27 @@ def test_matching_ties_and_nulls(spark):
     assert {(r.label, r.n_gt, round(r.ap, 3)) for r in ap.collect()} == {("A", 2, 1.0), ("B", 1, 0.0), ("C", 0, 1.0)}
 
 
+def test_own_text_makes_no_patterns_of_plain_texts(monkeypatch):
+    """A pattern for each text costs most of the time."""
+    monkeypatch.setattr("screenloom.functions.text.re.search", lambda *a: 1 / 0)
+    monkeypatch.setattr("screenloom.functions.text.re.sub", lambda *a, **k: 1 / 0)
+    assert own_text("Pay  NOW or later", [("now", "p"), ("gone", "p")]) == "Pay or later"
+    assert own_text("a  B", [("A", "p"), ("b", "p")]) == ""
+
+
+def test_groups_that_lie_by_key_are_not_dealt_out_again(spark):
+    from pyspark.sql import Window
+
+    from screenloom.operators.grouped import per_group
+
+    df = spark.range(1000, numPartitions=3).select((F.col("id") % 7).alias("k"), (F.col("id") % 3).alias("j"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("v"))
+    ranked = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v")))
+    got = per_group(ranked, ["k", "j"], ["n"], lambda rows: [{"m": len(rows), "nulls": sum(r["v"] is None for r in rows), "sorted": [r["n"] for r in rows] == sorted(r["n"] for r in rows)}], "m bigint, nulls bigint, sorted boolean")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    want = {(k, j): [i for i in range(1000) if i % 7 == k and i % 3 == j] for k in range(7) for j in range(3)}
+    assert {(r.k, r.j): (r.m, r.nulls, r.sorted) for r in got.collect()} == {kj: (len(v), sum(i % 5 == 0 for i in v), True) for kj, v in want.items()}
+
+
 def test_average_precision_over_ranges(spark):
     """A label's predictions lie in several ranges; ties, nulls and a null label are ranked as one by one."""
     r = random.Random(1)
