@@ -254,6 +254,18 @@ def test_groups_that_lie_by_key_are_not_dealt_out_again(spark):
     assert {(r.k, r.j): (r.m, r.nulls, r.sorted) for r in got.collect()} == {kj: (len(v), sum(i % 5 == 0 for i in v), True) for kj, v in want.items()}
 
 
+def test_matching_few_boxes_needs_no_arrays(monkeypatch):
+    """Most groups have a few boxes, and an array for each prediction costs most of the time; results are the same."""
+    r = random.Random(4)
+    cases = [[dict(seq=i, g=r.random() < 0.5, x=float(r.randrange(30)), y=float(r.randrange(30)), w=float(r.randrange(40)), h=float(r.randrange(1, 40)), score=r.choice([None, 0.5, r.random()])) for i in range(r.randrange(1, 12))] for _ in range(200)]
+    get = lambda: [[(p["seq"], bool(hit)) for p, hit in metrics.greedy(rows, 0.3)] for rows in cases]
+    with monkeypatch.context() as m:
+        m.setattr(metrics, "FEW", -1, raising=False)
+        want = get()
+    monkeypatch.setattr(metrics, "_ious", lambda *a: 1 / 0)
+    assert get() == want and any(hit for rows in want for _, hit in rows)
+
+
 def test_average_precision_over_ranges(spark):
     """A label's predictions lie in several ranges; ties, nulls and a null label are ranked as one by one."""
     r = random.Random(1)
