@@ -12,6 +12,8 @@ from ..schema import CONTAINMENT, IOU, MAX_AREA, MIN_AREA, TEXT_TAGS, VIEWPORT_H
 from .grouped import per_group
 
 OWN_TEXT = 15
+#: Fixed value: rows of a screen that are compared with all at a time.
+BAND = 256
 
 
 def passes(protected: Column, width: int = VIEWPORT_W, height: int = VIEWPORT_H, min_area: int = MIN_AREA, max_area: int = MAX_AREA) -> Column:
@@ -28,11 +30,11 @@ def passes(protected: Column, width: int = VIEWPORT_W, height: int = VIEWPORT_H,
 
 
 def _ious(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    w = np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0])
-    h = np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1])
+    w = np.minimum(box[2], others[..., 2]) - np.maximum(box[0], others[..., 0])
+    h = np.minimum(box[3], others[..., 3]) - np.maximum(box[1], others[..., 1])
     inter = np.where((w > 0) & (h > 0), w * h, 0)
-    union = (box[2] - box[0]) * (box[3] - box[1]) + (others[:, 2] - others[:, 0]) * (others[:, 3] - others[:, 1]) - inter
-    return np.divide(inter, union, out=np.zeros(len(others)), where=union > 0)
+    union = (box[2] - box[0]) * (box[3] - box[1]) + (others[..., 2] - others[..., 0]) * (others[..., 3] - others[..., 1]) - inter
+    return np.divide(inter, union, out=np.zeros(union.shape), where=union > 0)
 
 
 def edges(rows: list[dict]) -> np.ndarray:
@@ -48,19 +50,31 @@ def suppressed(rows: list[dict], threshold: float = IOU, same: float = 0.65) ->
     """
     boxes = edges(rows)
     area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-    kind = [(r["klass"] or "").lower() for r in rows]
-    kept: list[int] = []
-    for i in np.argsort(-area, kind="stable").tolist():
-        v = _ious(boxes[i], boxes[kept]) if kept else np.zeros(0)
-        alike = np.array([bool(kind[i]) and kind[j] == kind[i] for j in kept], bool)
-        hits = np.flatnonzero((v > threshold) | alike & (v > threshold * same))
-        if len(hits):
-            first = hits[0]
-            if not (v[first] > threshold and rows[i]["protected"] and not rows[kept[first]]["protected"]):
+    order = np.argsort(-area, kind="stable")
+    ids: dict = {}
+    kind = np.array([ids.setdefault((r["klass"] or "").lower(), len(ids)) for r in rows])[order]
+    kind[kind == ids.get("", -1)] = -1
+    boxes, flags = boxes[order], [bool(rows[i]["protected"]) for i in order.tolist()]
+    # Pairs over a threshold, a band of rows against all at a time; few pairs are, and only those are gone through.
+    before: dict[int, list] = {}
+    for at in range(0, len(rows), BAND):
+        one = boxes[at : at + BAND, None]
+        v = _ious(np.moveaxis(one, -1, 0), boxes[None, : at + BAND])
+        full = v > threshold
+        alike = (kind[at : at + BAND, None] == kind[None, : at + BAND]) & (kind[at : at + BAND, None] >= 0)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(full | alike & (v > threshold * same))), strict=True):
+            if j < i + at:
+                before.setdefault(i + at, []).append((j, bool(full[i, j])))
+    kept: dict[int, None] = {}
+    for i in range(len(rows)):
+        # Kept rows are in order of their places, so the first hit is the one of the lowest place.
+        hit = next(((j, over) for j, over in before.get(i, ()) if j in kept), None)
+        if hit:
+            if not (hit[1] and flags[i] and not flags[hit[0]]):
                 continue
-            del kept[first]
-        kept.append(i)
-    return kept
+            del kept[hit[0]]
+        kept[i] = None
+    return order[list(kept)].tolist() if kept else []
 
 
 def suppress(df: DataFrame, keys: list[str], threshold: float = IOU) -> DataFrame:

@@ -266,6 +266,29 @@ def test_matching_few_boxes_needs_no_arrays(monkeypatch):
     assert get() == want and any(hit for rows in want for _, hit in rows)
 
 
+def test_suppression_compares_rows_in_bands(monkeypatch):
+    """A screen's boxes are compared some hundred at a time, not one; what stays is the same as one by one."""
+    r = random.Random(6)
+    calls, ious = [], filters._ious
+    monkeypatch.setattr(filters, "_ious", lambda a, b: (calls.append(1), ious(a, b))[1])
+    for n in (1, 40, 300):
+        rows = [dict(seq=i, x=r.randrange(60), y=r.randrange(60), w=r.randrange(1, 50), h=r.randrange(1, 50), protected=r.random() < 0.4, klass=r.choice([None, "", "a", "A", "b"])) for i in range(n)]
+        calls.clear()
+        got = filters.suppressed(rows, 0.5)
+        assert len(calls) <= 2
+        box = lambda k: (rows[k]["x"], rows[k]["y"], rows[k]["w"], rows[k]["h"])
+        kept = []
+        for i in sorted(range(n), key=lambda k: -rows[k]["w"] * rows[k]["h"]):
+            alike = lambda j: (rows[i]["klass"] or "").lower() == (rows[j]["klass"] or "").lower() != ""  # noqa: B023, E731
+            hit = next((j for j in kept if (v := iou(box(i), box(j))) > 0.5 or alike(j) and v > 0.325), None)
+            if hit is not None:
+                if not (iou(box(i), box(hit)) > 0.5 and rows[i]["protected"] and not rows[hit]["protected"]):
+                    continue
+                kept.remove(hit)
+            kept.append(i)
+        assert got == kept
+
+
 def test_average_precision_over_ranges(spark):
     """A label's predictions lie in several ranges; ties, nulls and a null label are ranked as one by one."""
     r = random.Random(1)
