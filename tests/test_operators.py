@@ -303,6 +303,34 @@ def test_clusters_of_few_and_many(monkeypatch):
     assert few == once == get() and any(len(c) > 1 for x in few for c in x)
 
 
+def test_parse_holds_some_nodes_at_a_time(spark, monkeypatch):
+    """Nodes leave by and by, not a batch of markups at once, and all come."""
+    import pandas as pd
+
+    sizes, frame = [], pd.DataFrame
+    rows = [[dict(idx=i, parent=None, x=0, y=i, head="<loc_1><loc_2><loc_3><loc_4>", tag="a", text="t") for i in range(30)] for _ in range(50)]
+    df = pd.DataFrame({"k": range(50), "markup": [M.write(r) for r in rows]})
+
+    class Frame:
+        schema = spark.createDataFrame([(1, "")], "k long, markup string").schema
+
+        def __getitem__(self, k):
+            return self.schema[k]
+
+        def select(self, *a):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802
+            sizes.extend(len(x) for x in run([df]))
+            return frame({"n": sizes})
+
+    monkeypatch.setattr(hierarchy, "NODES_AT_ONCE", 100, raising=False)
+    for strict in (False, True):
+        sizes.clear()
+        hierarchy.parse(Frame(), "k", strict=strict)
+        assert sum(sizes) == 1500 and max(sizes) < 130
+
+
 def test_average_precision_over_ranges(spark):
     """A label's predictions lie in several ranges; ties, nulls and a null label are ranked as one by one."""
     r = random.Random(1)
