@@ -331,6 +331,14 @@ def test_parse_holds_some_nodes_at_a_time(spark, monkeypatch):
         assert sum(sizes) == 1500 and max(sizes) < 130
 
 
+def test_own_texts_carry_columns(spark):
+    """Markup of own texts computes its rows once, without a join with them."""
+    df = spark.createDataFrame([(0, 0, None, "div", "a b", 5, None), (0, 1, 0, "p", "b", None, "x"), (1, 7, None, "p", " c ", 9, "y")], "screen int, seq long, parent long, tag string, inner_text string, w int, label string")
+    got = hierarchy.own_texts(df, ["screen"], ("parent", "w", "label"))
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("screen", "int"), ("seq", "bigint"), ("own_text", "string"), ("parent", "bigint"), ("w", "int"), ("label", "string")]
+    assert sorted(map(tuple, got.collect())) == [(0, 0, "a", None, 5, None), (0, 1, "b", 0, None, "x"), (1, 7, "c", None, 9, "y")]
+
+
 def test_average_precision_over_ranges(spark):
     """A label's predictions lie in several ranges; ties, nulls and a null label are ranked as one by one."""
     r = random.Random(1)
